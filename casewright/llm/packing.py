@@ -13,7 +13,6 @@ empty table gives no sequence; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.storage import materialize
 from casewright.llm.tokens import crc_rows, default_path, encoder, with_end
-from casewright.llm.words import as_bytes
+from casewright.llm.words import as_bytes, slices
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BIN = f"fill int, full boolean, items array<struct<{PIECE.replace(' ', ':').replace(',:', ',')}>>"
@@ -60,11 +59,13 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            ids, counts = with_end(*enc.encode(as_bytes(batch.column(1))), end_id)
-            owner, piece, length = _cut(counts, capacity)
-            start = piece * capacity
-            crc = crc_rows(ids, (np.cumsum(counts) - counts)[owner] + start, length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts, doc = as_bytes(batch.column(1)), batch.column(0)
+            for i, j in slices(texts):
+                ids, counts = with_end(*enc.encode(texts[i:j]), end_id)
+                owner, piece, length = _cut(counts, capacity)
+                start = piece * capacity
+                crc = crc_rows(ids, (np.cumsum(counts) - counts)[owner] + start, length)
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(owner + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE)
 

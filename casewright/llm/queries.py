@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, tokencode, warc
+from casewright.llm import decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, secrets, tokencode, warc
 from casewright.llm.storage import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.made_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model).withColumnRenamed("doc", "doc_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -68,6 +73,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_html_extraction": op4_html_extraction,

@@ -25,17 +25,17 @@ _STOP[[ord(c) for c in ".,;:!?"]] = True
 class WordEncoder:
     """Cache of word ids; it starts anew beyond ``max_words`` distinct words."""
 
-    def __init__(self, path: str, max_words: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes ascending, and the word's row
         self.start, self.len, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
         tokenize, full = self.tok.model.tokenize, [i for i, w in enumerate(words) if not (w.isascii() and w.isalpha() and w.islower())]
         got: list[list[int]] = [[t.id for t in tokenize(w)] if w.isascii() and w.isalpha() and w.islower() else [] for w in words]
         for i, e in zip(full, self.tok.encode_batch([words[i] for i in full], add_special_tokens=False), strict=True):
@@ -50,7 +50,13 @@ class WordEncoder:
         self.len[n : n + k], self.start[n : n + k] = lens, self.used + np.cumsum(lens) - lens
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.row.update(zip(hashes, range(n, n + k), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.row = np.insert(self.keys, at, hashes), np.insert(self.row, at, np.arange(n, n + k))
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -86,14 +92,13 @@ class WordEncoder:
         s[at[cut] + 1] = last[cut]
         h = hash_spans(b, s, m)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.row) + len(keys) > self.max_words:
+        if len(self.row) + len(distinct) > self.max_words:
             self.clear()
-        new = [k for k, x in enumerate(keys) if x not in self.row]
-        if new:
+        new = np.flatnonzero(~self._known(distinct))
+        if len(new):
             data = b.tobytes()
-            self._add([keys[k] for k in new], [data[s[f] : s[f] + m[f]].decode() for f in first[new].tolist()])
-        rows = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[back]
+            self._add(distinct[new], [data[s[f] : s[f] + m[f]].decode() for f in first[new].tolist()])
+        rows = self.row[np.searchsorted(self.keys, distinct)][back]
         width = self.len[rows].astype(np.int64)
         ends = np.cumsum(width)
         total = int(ends[-1])
