@@ -50,7 +50,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = line_occurrences(docs, id_col, text_col, min_chars)
     held = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc")).sortWithinPartitions("h1", "h2", "doc", "pos").groupBy("h1", "h2", "doc").agg(F.collect_list("pos").alias("pos"))
     held = materialize(held, "lines")
-    shared = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    # written, so that the join reads two plain exchanges and a hot line's partition can be split
+    shared = materialize(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).drop("n"), "shared")
     lost = held.join(shared, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
     return lost.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("dropped"))
 
