@@ -7,10 +7,12 @@ with chance 0.41, and all 32 bands miss with chance 5e-8.
 
 Equal shingle sets collapse to a class first.  Within a bucket classes are
 held against one member, the bucket's centre, on full sets; links make
-components; buckets that still hold several components get other centres, and
-what then remains apart is compared pair by pair across components.  So each
-candidate pair is either confirmed or refuted on full sets or lies within one
-component already, and a group of any size costs rows in proportion to it.
+components; buckets that still hold several components get another centre.
+For what then remains apart each class has, from its comparison with the first
+centre, the size of both differences and a 256-bit map of their shingles.  Two
+classes whose maps prove that they can't reach the similarity are refuted by
+the join's own condition; the rest is compared on full sets.  So each candidate
+pair is confirmed, refuted, or lies within one component already.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 fewer words than the shingle size make one shingle of the whole sequence;
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.components import components
@@ -108,19 +110,49 @@ def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, set array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFrame:
+    """Pairs (a, b) with the sizes of intersection and union of their full sets, and maps of the differences."""
     one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+    more = [*_maps("a", F.array_except("sa", "sb")), *_maps("b", F.array_except("sb", "sa"))] if maps else []
+    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"), *more)
+
+
+def _maps(name: str, values: Column) -> list[Column]:
+    """256 bits in four words; each value sets one."""
+    return [F.aggregate(F.filter(values, lambda v, k=k: v.bitwiseAND(F.lit(3)) == k), F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(2)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"{name}{k}") for k in range(4)]
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+
+
+def _may_reach(percent: int) -> Column:
+    """False only if the maps of two classes against one centre prove them apart.
+
+    With the centre c, x and y share at most ``|c| - |(c - x) or (c - y)|``
+    shingles of c, and outside of c none whose bit the other lacks.
+    """
+
+    def bits(make) -> Column:
+        out = F.lit(0)
+        for k in range(4):
+            out = out + F.bit_count(make(k))
+        return out
+
+    inside = F.col("nc") - bits(lambda k: F.col(f"xa{k}").bitwiseOR(F.col(f"ya{k}")))
+    left = F.col("na") - F.col("xi") - bits(lambda k: F.col(f"xb{k}").bitwiseAND(F.bitwise_not(F.col(f"yb{k}"))))
+    right = F.col("nb") - F.col("yi") - bits(lambda k: F.col(f"yb{k}").bitwiseAND(F.bitwise_not(F.col(f"xb{k}"))))
+    most = F.least(inside, "xi", "yi") + F.least(left, right)
+    return F.coalesce((100 + percent) * most >= percent * (F.col("na") + F.col("nb")), F.lit(True))
 
 
 def _alike_in_size(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", centre_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", centre_rounds: int = 2) -> DataFrame:
     """(doc, n, component, keep): the component is the least id reachable."""
     spark = docs.sparkSession
     sig = materialize(signatures(docs, n, id_col, text_col).where(F.col("doc").isNotNull()), "signatures")
@@ -137,29 +169,40 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("bigint").alias("__d"), F.col(text_col).alias("__t")).join(wanted, F.col("__d") == F.col("__w"), "left_semi")
     sets = materialize(full_sets(texts, n, "__d", "__t").dropDuplicates(["doc"]), "sets")
 
-    links, tried, now = None, None, in_bucket.withColumn("component", F.col("doc"))
+    # a class in many and large buckets is near the middle of its group
+    sizes = in_bucket.groupBy("bucket").agg(F.count("*").alias("c"))
+    hubs = in_bucket.join(sizes, "bucket").groupBy("doc").agg(F.sum("c").alias("hub"))
+    in_bucket = materialize(in_bucket.join(hubs, "doc").select("bucket", "doc", "n", "hub"), "hubs")
+    links, tried, now, seen, first = None, None, in_bucket.withColumn("component", F.col("doc")), None, None
     for k in range(centre_rounds + 1):
         if k < centre_rounds:
-            # the first centre is the least id; later ones are drawn anew in each open bucket
-            order = F.col("doc") if k == 0 else F.xxhash64(F.lit(k), "doc")
-            centre = now.groupBy("bucket").agg(F.min_by(F.struct("doc", "n", "component"), order).alias("c"))
+            # later centres are drawn anew in each open bucket
+            order = F.struct(F.col("hub"), -F.col("doc")) if k == 0 else F.struct(F.xxhash64(F.lit(k), "doc"), F.col("doc"))
+            centre = now.groupBy("bucket").agg(F.max_by(F.struct("doc", "n", "component"), order).alias("c"))
+            if k == 0:
+                first = materialize(centre.select("bucket", F.col("c.doc").alias("c"), F.col("c.n").alias("nc")), "centres")
             pairs = now.join(centre, "bucket").where(F.col("c.component") != F.col("component")).select(F.col("c.doc").alias("x"), F.col("c.n").alias("na"), F.col("doc").alias("y"), F.col("n").alias("nb"))
         else:
-            # a doc of each component stands against all docs of the others
-            left = now.select("bucket", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"))
-            right = now.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"))
-            pairs = left.join(right, "bucket").where("cx != cy and x < y").where(_alike_in_size(percent))
-        pairs = pairs.where(_alike_in_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            # each doc against those of the other components, with what the first centre tells of both
+            own = now.join(first, "bucket").join(seen, ["c", "doc"], "left")
+            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(4)))
+            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(4)))
+            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & _alike_in_size(percent) & _may_reach(percent))
+        pairs = pairs.where(_alike_in_size(percent)).select(*([F.col("x").alias("a"), F.col("y").alias("b")] if k == 0 else [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")])).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(_confirmed(pairs, sets, percent), "links")
+        compared = materialize(_compared(pairs, sets, maps=k == 0), "compared")
+        if k == 0:  # a is the centre; a document may be the centre of one bucket and a member of another
+            seen = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "i", *(f"{d}{j}" for d in "ab" for j in range(4)))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = _linked(compared, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if k == centre_rounds:
             break
-        labelled = in_bucket.join(labels, in_bucket["doc"] == labels["id"], "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        labelled = in_bucket.join(labels, in_bucket["doc"] == labels["id"], "left").select("bucket", "doc", "n", "hub", F.coalesce("component", "doc").alias("component"))
         # a bucket of two was settled by its one pair
         spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("bucket")
         now = materialize(labelled.join(spread, "bucket"), "open")
