@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from casewright.plans import cases, dashboards, graphs, queues, retrieval, texts  # noqa: F401  they register their queries
+from casewright.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
