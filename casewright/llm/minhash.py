@@ -9,7 +9,7 @@ Equal shingle sets collapse to a class first.  Within a bucket classes are
 held against one member, the bucket's centre, on full sets; links make
 components; buckets that still hold several components get another centre.
 For what then remains apart each class has, from its comparison with the first
-centre, the size of both differences and a 256-bit map of their shingles.  Two
+centre, the size of both differences and a 512-bit map of their shingles.  Two
 classes whose maps prove that they can't reach the similarity are refuted by
 the join's own condition; the rest is compared on full sets.  So each candidate
 pair is confirmed, refuted, or lies within one component already.
@@ -33,7 +33,7 @@ from casewright.llm.components import components
 from casewright.llm.storage import materialize, release
 from casewright.llm.words import as_bytes, mix, shingle_hashes, slices, texts_words
 
-PERMUTATIONS, ROWS = 64, 4
+PERMUTATIONS, ROWS, WORDS = 64, 4, 8
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -120,8 +120,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFram
 
 
 def _maps(name: str, values: Column) -> list[Column]:
-    """256 bits in four words; each value sets one."""
-    return [F.aggregate(F.filter(values, lambda v, k=k: v.bitwiseAND(F.lit(3)) == k), F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(2)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"{name}{k}") for k in range(4)]
+    """512 bits in WORDS words; each value sets one."""
+    return [F.aggregate(F.filter(values, lambda v, k=k: v.bitwiseAND(F.lit(WORDS - 1)) == k), F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(3)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"{name}{k}") for k in range(WORDS)]
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _may_reach(percent: int) -> Column:
 
     def bits(make) -> Column:
         out = F.lit(0)
-        for k in range(4):
+        for k in range(WORDS):
             out = out + F.bit_count(make(k))
         return out
 
@@ -152,7 +152,7 @@ def _alike_in_size(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", centre_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", centre_rounds: int = 3) -> DataFrame:
     """(doc, n, component, keep): the component is the least id reachable."""
     spark = docs.sparkSession
     sig = materialize(signatures(docs, n, id_col, text_col).where(F.col("doc").isNotNull()), "signatures")
@@ -176,17 +176,18 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
     links, tried, now, seen, first = None, None, in_bucket.withColumn("component", F.col("doc")), None, None
     for k in range(centre_rounds + 1):
         if k < centre_rounds:
-            # later centres are drawn anew in each open bucket
-            order = F.struct(F.col("hub"), -F.col("doc")) if k == 0 else F.struct(F.xxhash64(F.lit(k), "doc"), F.col("doc"))
-            centre = now.groupBy("bucket").agg(F.max_by(F.struct("doc", "n", "component"), order).alias("c"))
+            # later, four centres are drawn anew in each open bucket
+            orders = [F.struct(F.col("hub"), -F.col("doc"))] if k == 0 else [F.struct(F.xxhash64(F.lit(4 * k + j), "doc"), F.col("doc")) for j in range(4)]
+            drawn = now.groupBy("bucket").agg(F.array_distinct(F.array(*(F.max_by(F.struct("doc", "n", "component"), o) for o in orders))).alias("cs"))
+            centre = drawn.select("bucket", F.explode("cs").alias("c"))
             if k == 0:
                 first = materialize(centre.select("bucket", F.col("c.doc").alias("c"), F.col("c.n").alias("nc")), "centres")
             pairs = now.join(centre, "bucket").where(F.col("c.component") != F.col("component")).select(F.col("c.doc").alias("x"), F.col("c.n").alias("na"), F.col("doc").alias("y"), F.col("n").alias("nb"))
         else:
             # each doc against those of the other components, with what the first centre tells of both
             own = now.join(first, "bucket").join(seen, ["c", "doc"], "left")
-            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(4)))
-            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(4)))
+            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(WORDS)))
+            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(WORDS)))
             pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & _alike_in_size(percent) & _may_reach(percent))
         pairs = pairs.where(_alike_in_size(percent)).select(*([F.col("x").alias("a"), F.col("y").alias("b")] if k == 0 else [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")])).distinct()
         if tried is not None:
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
         pairs = materialize(pairs, "pairs")
         compared = materialize(_compared(pairs, sets, maps=k == 0), "compared")
         if k == 0:  # a is the centre; a document may be the centre of one bucket and a member of another
-            seen = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "i", *(f"{d}{j}" for d in "ab" for j in range(4)))
+            seen = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "i", *(f"{d}{j}" for d in "ab" for j in range(WORDS)))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = _linked(compared, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
