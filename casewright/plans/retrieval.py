@@ -50,8 +50,8 @@ def val_dims(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.size("embedding") == 64).alias("ok"))
 
 
-POSTINGS = "postings AS (SELECT term, doc_id AS id, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), x -> length(x) > 1) AS ws FROM documents WHERE text IS NOT NULL)) GROUP BY ALL)"
-LEXICAL = f"{POSTINGS}, wanted AS (SELECT DISTINCT q, term FROM (SELECT item_id AS q, unnest(list_transform(regexp_split_to_array(lower(text), '\\s+'), w -> regexp_replace(w, '[^0-9A-Za-z_]', '', 'g'))) AS term FROM benchmark WHERE item_id < 20) WHERE length(term) >= 2), ranked AS (SELECT q, id, sum(1 + ln(tf)) / (1 + ln(any_value(len))) AS rank FROM postings JOIN wanted USING (term) GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rank, 9) DESC, id) AS k FROM ranked)"
+POSTINGS = "postings AS (SELECT term, doc_id AS id, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda x: length(x) > 1) AS ws FROM documents WHERE text IS NOT NULL)) GROUP BY ALL)"
+LEXICAL = f"{POSTINGS}, wanted AS (SELECT DISTINCT q, term FROM (SELECT item_id AS q, unnest(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '[^0-9A-Za-z_]', '', 'g'))) AS term FROM benchmark WHERE item_id < 20) WHERE length(term) >= 2), ranked AS (SELECT q, id, sum(1 + ln(tf)) / (1 + ln(any_value(len))) AS rank FROM postings JOIN wanted USING (term) GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rank, 9) DESC, id) AS k FROM ranked)"
 
 
 @query(f"WITH {LEXICAL} SELECT q, id, round(rank, 6) AS rank FROM best WHERE k <= 10")
@@ -62,14 +62,14 @@ def topk_lexical(spark, d):
     return search.lexical(docs, F.col("text"), q, 10).withColumn("rank", F.round("rank", 6))
 
 
-@query("""WITH g AS (SELECT DISTINCT c_custkey, unnest(list_transform(range(1, length(w) + 2), i -> substr('  ' || w || ' ', i, 3))) AS g FROM (SELECT c_custkey, unnest(list_filter(regexp_split_to_array(lower(c_name), '[^0-9a-z]+'), x -> x <> '')) AS w FROM customer)),
-h AS (SELECT DISTINCT s_suppkey, unnest(list_transform(range(1, length(w) + 2), i -> substr('  ' || w || ' ', i, 3))) AS g FROM (SELECT s_suppkey, unnest(list_filter(regexp_split_to_array(lower(s_name), '[^0-9a-z]+'), x -> x <> '')) AS w FROM supplier)),
+@query("""WITH g AS (SELECT DISTINCT c_custkey, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))) AS g FROM (SELECT c_custkey, unnest(list_filter(regexp_split_to_array(lower(c_name), '[^0-9a-z]+'), lambda x: x <> '')) AS w FROM customer)),
+h AS (SELECT DISTINCT s_suppkey, unnest(list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))) AS g FROM (SELECT s_suppkey, unnest(list_filter(regexp_split_to_array(lower(s_name), '[^0-9a-z]+'), lambda x: x <> '')) AS w FROM supplier)),
 j AS (SELECT c_custkey AS a, s_suppkey AS b, count(*) AS i FROM g JOIN h USING (g) GROUP BY ALL)
-SELECT a, b, round(i / ((SELECT count(*) FROM g WHERE c_custkey = a) + (SELECT count(*) FROM h WHERE s_suppkey = b) - i), 6) AS similarity FROM j WHERE i / ((SELECT count(*) FROM g WHERE c_custkey = a) + (SELECT count(*) FROM h WHERE s_suppkey = b) - i) > 0.5""")
+SELECT a, b, round(i / ((SELECT count(*) FROM g WHERE c_custkey = a) + (SELECT count(*) FROM h WHERE s_suppkey = b) - i), 6) AS similarity FROM j WHERE i / ((SELECT count(*) FROM g WHERE c_custkey = a) + (SELECT count(*) FROM h WHERE s_suppkey = b) - i) > 0.3""")
 def jn_nested_sim(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return search.trigram_join(c, s, 0.5).withColumn("similarity", F.round("similarity", 6))
+    return search.trigram_join(c, s, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 FUSE = f"v AS (SELECT a.vec_id AS id, {COS} AS s FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 7) b ORDER BY s DESC, id LIMIT 40), l AS (SELECT vec_id AS id, (vec_id % 13 + 1) / 13 AS r FROM embeddings WHERE vec_id % 9 = 0), f AS (SELECT coalesce(v.id, l.id) AS id, coalesce(0.4 * s, 0) + coalesce(0.2 * r / (SELECT greatest(max(r), 0.001) FROM l), 0) + CASE WHEN coalesce(v.id, l.id) % 4 = 0 THEN 0.2 ELSE 0 END AS score FROM v FULL JOIN l ON v.id = l.id)"
