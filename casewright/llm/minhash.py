@@ -121,7 +121,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFram
 
 def _maps(name: str, values: Column) -> list[Column]:
     """512 bits in WORDS words; each value sets one."""
-    return [F.aggregate(F.filter(values, lambda v, k=k: v.bitwiseAND(F.lit(WORDS - 1)) == k), F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(3)).bitwiseAND(F.lit(63)).cast("int")))).alias(f"{name}{k}") for k in range(WORDS)]
+
+    def word(k: int) -> Column:
+        own = F.filter(values, lambda v: v.bitwiseAND(F.lit(WORDS - 1)) == k)
+        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(3)).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(bit(v)))
+
+    return [word(k).alias(f"{name}{k}") for k in range(WORDS)]
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:

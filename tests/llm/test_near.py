@@ -84,3 +84,13 @@ def test_components_on_paths_and_stars(spark):
     star = [(5, i) for i in range(300, 360)]
     out = {r.id: r.component for r in components(spark.createDataFrame([*path, *star, (7, 7)], "a bigint, b bigint")).toLocalIterator()}
     assert all(out[i] == 100 for i in range(100, 191)) and all(out[i] == 5 for i in range(300, 360))
+
+
+def test_maps_hold_a_bit_for_each_value(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 40)]) for k in range(5)]
+    df = spark.createDataFrame(rows, "k int, v array<bigint>").select("v", *minhash._maps("m", minhash.F.col("v")))
+    for r in df.toLocalIterator():
+        want = {(v & 7, (v >> 3) & 63) for v in r.v}
+        got = {(k, b) for k in range(8) for b in range(64) if (r[f"m{k}"] >> b) & 1}
+        assert got == want
