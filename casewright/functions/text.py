@@ -44,8 +44,11 @@ def redact(c: Column) -> tuple[Column, Column]:
 
 def protected_flags(categories: Column) -> Column:
     """Sorted flags whose keywords any category contains."""
-    hit = [F.when(F.exists(categories, lambda x, ws=ws: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in ws))), F.lit(flag)) for flag, ws in PROTECTED.items()]
-    return F.array_sort(F.array_compact(F.array(*hit)))
+
+    def hit(words: list[str]) -> Column:
+        return F.exists(categories, lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in words)))
+
+    return F.array_sort(F.array_compact(F.array(*(F.when(hit(words), F.lit(flag)) for flag, words in PROTECTED.items()))))
 
 
 def redaction_status(flags: Column, hits: Column) -> Column:

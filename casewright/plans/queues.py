@@ -15,17 +15,18 @@ def jobs(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), (F.col("user_id") % 10).alias("priority"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 3 == 0, F.expr("ts + INTERVAL 10 DAYS")).alias("locked_until"), (F.col("event_id") % 5).alias("attempt"))
 
 
-NOW = F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+def now():
+    return F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
 
 
 @query(f"WITH {JOBS_SQL} SELECT job_id, priority FROM jobs, now WHERE status IN ('PENDING', 'RETRYING') AND (locked_until IS NULL OR locked_until < t) ORDER BY priority DESC, created_at, job_id LIMIT 25")
 def st_claim(spark, d):
-    return lifecycle.claim(jobs(spark, d), NOW, 25).select("job_id", "priority")
+    return lifecycle.claim(jobs(spark, d), now(), 25).select("job_id", "priority")
 
 
 @query(f"WITH {JOBS_SQL} SELECT CASE WHEN status = 'PROCESSING' AND locked_until < t AND attempt >= 3 THEN 'DEAD_LETTER' WHEN status = 'PROCESSING' AND locked_until < t THEN 'RETRYING' ELSE status END AS status, count(*) AS n FROM jobs, now GROUP BY 1")
 def st_reclaim(spark, d):
-    return lifecycle.reclaim(jobs(spark, d), NOW).groupBy("status").agg(F.count("*").alias("n"))
+    return lifecycle.reclaim(jobs(spark, d), now()).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT job_id, 5 * (2 ** attempt)::INT AS wait FROM jobs WHERE status = 'RETRYING'")

@@ -54,14 +54,19 @@ def retained(rows: DataFrame, now: Column, days: dict[str, int], protected: list
 
 def once(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """Replays of a key within the delay drop out; works on batches and streams."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), at).alias("r")).select("r.*")
+    return timed(stream, at).withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), at).alias("r")).select("r.*")
+
+
+def timed(stream: DataFrame, at: str) -> DataFrame:
+    """Watermarks need timestamps with a zone."""
+    return stream.withColumn(at, F.col(at).cast("timestamp"))
 
 
 def windows(stream: DataFrame, at: str, delay: str, width: str, slide: str | None = None) -> DataFrame:
     """Counts by event type and window with late rows up to ``delay``."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
-    return stream.withWatermark(at, delay).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+    return timed(stream, at).withWatermark(at, delay).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
 def sessions(stream: DataFrame, at: str, delay: str, gap: str) -> DataFrame:
-    return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+    return timed(stream, at).withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
