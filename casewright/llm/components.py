@@ -40,3 +40,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             release(spark, both)
             return labels
     raise RuntimeError(f"labels still move after {max_rounds} rounds")
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after further links (a, b); only links between components are followed."""
+    if labels is None:
+        return components(links)
+    cross = links.select("a", "b")
+    for end in "ab":
+        own = labels.select(F.col("id").alias(end), F.col("component").alias("__top"))
+        cross = cross.join(own, end, "left").withColumn(end, F.coalesce("__top", end)).drop("__top")
+    cross = materialize(cross.where("a != b").distinct(), "cross")
+    if cross.isEmpty():
+        return labels
+    merged = components(cross)
+    moved = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+    new = merged.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    return materialize(moved.unionByName(new), "labels")

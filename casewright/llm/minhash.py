@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.components import components
+from casewright.llm.components import extended
 from casewright.llm.storage import materialize, release
 from casewright.llm.words import as_bytes, mix, shingle_hashes, slices, texts_words
 
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
     sizes = in_bucket.groupBy("bucket").agg(F.count("*").alias("c"))
     hubs = in_bucket.join(sizes, "bucket").groupBy("doc").agg(F.sum("c").alias("hub"))
     in_bucket = materialize(in_bucket.join(hubs, "doc").select("bucket", "doc", "n", "hub"), "hubs")
-    links, tried, now, seen, first = None, None, in_bucket.withColumn("component", F.col("doc")), None, None
+    labels, tried, now, seen, first = None, None, in_bucket.withColumn("component", F.col("doc")), None, None
     for k in range(centre_rounds + 1):
         if k < centre_rounds:
             # later, four centres are drawn anew in each open bucket
@@ -203,10 +203,8 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
         if k == 0:  # a is the centre; a document may be the centre of one bucket and a member of another
             seen = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "i", *(f"{d}{j}" for d in "ab" for j in range(WORDS)))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = _linked(compared, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = extended(labels, _linked(compared, percent))
         if k == centre_rounds:
             break
         labelled = in_bucket.join(labels, in_bucket["doc"] == labels["id"], "left").select("bucket", "doc", "n", "hub", F.coalesce("component", "doc").alias("component"))

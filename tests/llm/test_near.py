@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from casewright.llm import minhash
-from casewright.llm.components import components
+from casewright.llm.components import components, extended
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -86,6 +86,14 @@ def test_components_on_paths_and_stars(spark):
     assert all(out[i] == 100 for i in range(100, 191)) and all(out[i] == 5 for i in range(300, 360))
 
 
+def test_components_grow_by_further_links(spark):
+    edges = lambda *rows: spark.createDataFrame(list(rows), "a bigint, b bigint")
+    labels = extended(None, edges((1, 2), (3, 4), (5, 6)))
+    assert extended(labels, edges((1, 2), (2, 1))) is labels
+    labels = extended(labels, edges((4, 2), (5, 9), (7, 8), (9, 10)))
+    assert {r.id: r.component for r in labels.toLocalIterator()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5, 7: 7, 8: 7}
+
+
 def test_maps_hold_a_bit_for_each_value(spark):
     rng = np.random.default_rng(8)
     rows = [(k, [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 40)]) for k in range(5)]
