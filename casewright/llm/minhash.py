@@ -191,10 +191,13 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
             pairs = now.join(centre, "bucket").where(F.col("c.component") != F.col("component")).select(F.col("c.doc").alias("x"), F.col("c.n").alias("na"), F.col("doc").alias("y"), F.col("n").alias("nb"))
         else:
             # each doc against those of the other components, with what the first centre tells of both
-            own = now.join(first, "bucket").join(seen, ["c", "doc"], "left")
-            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(WORDS)))
-            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(WORDS)))
-            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & _alike_in_size(percent) & _may_reach(percent))
+            open_in = now.groupBy("doc").agg(F.collect_set("bucket").alias("bs"))  # one for each band at most
+            own = now.join(first, "bucket").join(seen, ["c", "doc"], "left").join(open_in, "doc")
+            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), F.col("bs").alias("xbs"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(WORDS)))
+            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), F.col("bs").alias("ybs"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(WORDS)))
+            # a pair that shares several buckets meets in the least of them alone
+            once = left["bucket"] == F.array_min(F.array_intersect("xbs", "ybs"))
+            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & _alike_in_size(percent) & _may_reach(percent) & once)
         pairs = pairs.where(_alike_in_size(percent)).select(*([F.col("x").alias("a"), F.col("y").alias("b")] if k == 0 else [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")])).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
