@@ -1,11 +1,12 @@
 """Benchmark passages in training documents, copied, edited or paraphrased.
 
 Items are a stated query set: they are read in blocks of bounded size and each
-block is held against every document.  Word 3-grams of the items are counted
-over all documents; those that are rare among the item's own seed the search.
-Documents that share at least two rare seeds with an item near one place are
-aligned there by Smith-Waterman over whole words.  Both scans work on one
-document at a time and shuffle nothing but seed counts.
+block is held against every document.  Every word 3-gram of an item seeds the
+search, however often it occurs: a passage copied into many documents makes its
+own seeds common.  Documents that share at least two seeds with an item near
+one place are aligned there by Smith-Waterman over whole words, unless the
+place holds too few of the item's words for the score.  The scan works on one
+document at a time and shuffles nothing.
 
 Defined cases: null or blank texts match nothing; items with fewer words than
 a seed match nothing; repeated rows give repeated results; an empty table on
@@ -33,24 +34,13 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = [r[0] for r in rows]
         self.words = [word_hashes((r[1] or "").encode()) for r in rows]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         grams = [shingle_hashes(w, SEED) for w in self.words]
         flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         self.seeds, back = np.unique(flat, return_inverse=True)
         pairs = np.unique(np.stack([back, owner], 1), axis=0) if len(flat) else np.zeros((0, 2), np.int64)
         self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.seeds) + 1))
-        self.rare = np.ones(len(self.seeds), bool)
-        self.pair_rare = np.ones(len(pairs), bool)
-
-    def keep_rare(self, counts: np.ndarray, times: float) -> None:
-        """A seed serves an item if its count is at most ``times`` the median of that item's seeds."""
-        which = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        median = np.zeros(len(self.ids))
-        for k in range(len(self.ids)):
-            own = which[self.owners == k]
-            median[k] = np.median(counts[own]) if len(own) else 0
-        self.pair_rare = counts[which] <= np.maximum(1, times * median[self.owners])
-        self.rare = np.bincount(which, self.pair_rare, len(self.seeds)) > 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions that hold a seed, and the seeds' numbers."""
@@ -80,12 +70,16 @@ def matches(words: np.ndarray, pos: np.ndarray, seeds: np.ndarray, items: Items,
     """Items found in one document: (item, score, matched words, start, stop)."""
     n = items.first[seeds + 1] - items.first[seeds]
     k = np.arange(int(n.sum())) + np.repeat(items.first[seeds] - np.cumsum(n) + n, n)
-    use = items.pair_rare[k]
-    owner, at, seed = items.owners[k][use], np.repeat(pos, n)[use], np.repeat(seeds, n)[use]
+    owner, at, seed = items.owners[k], np.repeat(pos, n), np.repeat(seeds, n)
+    # items of which the whole document holds too few different seeds go first
+    several, kinds = np.unique(np.unique(owner * len(items.seeds) + seed) // len(items.seeds), return_counts=True)
+    several = several[kinds >= np.where(items.sizes[several] >= SEED + min_seeds, min_seeds, 1)]
+    use = np.isin(owner, several)
+    owner, at, seed = owner[use], at[use], seed[use]
     order = np.lexsort((at, owner))
     owner, at, seed = owner[order], at[order], seed[order]
     found = []
-    for i in np.unique(owner).tolist():
+    for i in several.tolist():
         lo, hi = np.searchsorted(owner, [i, i + 1])
         item, best = items.words[i], None
         m, places = len(item), at[lo:hi]
@@ -97,6 +91,9 @@ def matches(words: np.ndarray, pos: np.ndarray, seeds: np.ndarray, items: Items,
             a, z = max(0, int(at[part[0]]) - m), int(at[part[-1]]) + SEED + m
             for s in range(a, z, 6 * m):
                 window = words[s : min(z, s + 8 * m)]
+                # each matched word gives 2, so fewer than this can't reach the least score
+                if np.isin(item, window).sum() < min_score * m or np.isin(window, item).sum() < min_score * m:
+                    continue
                 score, end = align(item, window)
                 if best is None or score > best[0]:
                     back, begin = align(item[::-1], window[:end][::-1])
@@ -106,25 +103,6 @@ def matches(words: np.ndarray, pos: np.ndarray, seeds: np.ndarray, items: Items,
     return found
 
 
-def _scan(docs: DataFrame, items: Items) -> DataFrame:
-    """(seed, n): documents that hold each seed, summed within each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, j in slices(texts):
-                h, owner = ngrams(*texts_words(texts[i:j]), SEED)
-                hit, seed = items.find(h)
-                if len(hit):
-                    once = np.unique(owner[hit] * len(items.seeds) + seed)
-                    total += np.bincount(once % len(items.seeds), minlength=len(items.seeds))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["seed", "n"])
-
-    return docs.mapInArrow(run, "seed bigint, n bigint")
-
-
 def _search(docs: DataFrame, items: Items, min_seeds: int, min_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +112,6 @@ def _search(docs: DataFrame, items: Items, min_seeds: int, min_score: float) ->
                 words, counts = texts_words(texts[i:j])
                 h, owner = ngrams(words, counts, SEED)
                 hit, seed = items.find(h)
-                hit, seed = hit[items.rare[seed]], seed[items.rare[seed]]
                 ends, grams = np.cumsum(counts), np.bincount(owner, minlength=j - i)
                 before = np.cumsum(grams) - grams
                 for k in np.unique(owner[hit]).tolist():
@@ -161,20 +138,15 @@ def _blocks(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[int, st
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_seeds: int = 2, min_score: float = 0.5, rare_times: float = 4.0, block_chars: int = 8_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_seeds: int = 2, min_score: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """(doc, item_id, score, matched, item_words, start, stop) for every item found in a document.
 
     ``block_chars`` bounds the items that a task holds at once; each block of
-    items costs two scans of the documents.
+    items costs one scan of the documents.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], HIT)
     for rows in _blocks(benchmark.select(F.col(item_col).cast("bigint"), F.col(item_text)), block_chars):
-        items = Items(rows)
-        counts = np.zeros(len(items.seeds))
-        for r in _scan(texts, items).groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r["seed"]] = r["n"]
-        items.keep_rare(counts, rare_times)
-        out = out.unionByName(_search(texts, items, min_seeds, min_score))
+        out = out.unionByName(_search(texts, Items(rows), min_seeds, min_score))
     return out

@@ -43,6 +43,19 @@ def test_planted(spark):
     assert got == want
 
 
+def test_an_edited_copy_in_many_documents(spark):
+    """Under half of the 3-grams stay, and the original is nowhere."""
+    item = prose(40, 300)
+    w = item.split()
+    w[::4] = [f"changed{p}" for p in range(0, len(w), 4)]
+    rows = [(k, f"{prose(60, 400 + k)} {' '.join(w)} {prose(60, 500 + k)}") for k in range(30)]
+    # many other 3-grams of the item occur once, by chance
+    rows += [(100 + k, " ".join([prose(30, 600 + k), *item.split()[k : k + 3], prose(30, 700 + k)])) for k in range(38)]
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {(r.doc, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items).toLocalIterator()}
+    assert got == {(k, 1) for k in range(30)}
+
+
 def test_blocks_give_the_same(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = {tuple(r) for r in decontaminate.contaminated(docs, items).toLocalIterator()}
