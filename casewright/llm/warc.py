@@ -8,7 +8,9 @@ Archives are rows of a table in the shared folder; the reader takes those as
 well as files from the ``binaryFile`` source.
 
 Defined cases: null html is an empty payload; a null url has no target line and
-reads back as null; rows that repeat the smallest page_id of equal payloads are
+a null page_id no id line, and both read back as null; among equal payloads a
+null page_id comes after all others, and where no row has an id all are
+responses; rows that repeat the smallest page_id of equal payloads are
 all responses; an empty table makes no archive; other columns are ignored.
 """
 
@@ -40,15 +42,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | None) -> str:
     h = hashlib.md5(f"page {page_id}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"X-Page-Id: {page_id}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if page_id is not None:
+        lines.append(f"X-Page-Id: {page_id}")
     if url is not None:
         plain = url.isascii() and url.isprintable() and url == url.strip()
         lines.append(f"WARC-Target-URI: {url}" if plain else f"X-Target-Base64: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
@@ -85,7 +89,7 @@ def parse_record(raw: bytes) -> dict:
     if kind not in ("response", "revisit") or kind == "revisit" and (payload or "x-refers-to-page" not in fields):
         raise BadArchive(f"bad record of type {kind}")
     url = base64.b64decode(fields["x-target-base64"]).decode("utf-8", "surrogatepass") if "x-target-base64" in fields else fields.get("warc-target-uri")
-    return {"page_id": int(fields["x-page-id"]), "url": url, "payload": payload if kind == "response" else None, "payload_bytes": int(size), "payload_digest": wanted, "record_type": kind, "refers_to": int(fields["x-refers-to-page"]) if kind == "revisit" else None}
+    return {"page_id": int(fields["x-page-id"]) if "x-page-id" in fields else None, "url": url, "payload": payload if kind == "response" else None, "payload_bytes": int(size), "payload_digest": wanted, "record_type": kind, "refers_to": int(fields["x-refers-to-page"]) if kind == "revisit" else None}
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -143,9 +147,15 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def train(pages: DataFrame, html_col: str, sample_rows: int, size: int) -> bytes:
-    """A dictionary from about ``sample_rows`` pages drawn by a hash of their html."""
-    share = min(1.0, sample_rows / max(1, pages.count()))
-    rows = pages.where(F.pmod(F.xxhash64(html_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring(html_col, 1, 16_384)).toLocalIterator()
+    """A dictionary from the first 16,384 characters of at most ``sample_rows`` different payloads.
+
+    They are drawn by a hash of the html; copies count once, so that the driver
+    gets no more than ``sample_rows`` of them however often a payload occurs.
+    """
+    share = min(1.0, 2 * sample_rows / max(1, pages.agg(F.approx_count_distinct(html_col)).first()[0]))
+    starts = pages.select(F.xxhash64(html_col).alias("h"), F.substring(html_col, 1, 16_384).alias("start"))
+    drawn = starts.where(F.pmod("h", F.lit(1_000_000)) < max(1, int(share * 1_000_000))).groupBy("h").agg(F.first("start").alias("start"))
+    rows = drawn.orderBy("h").limit(sample_rows).select("start").toLocalIterator()
     samples = [make_record(0, "https://example.org/", (r[0] or "").encode(), None) for r in rows]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -163,7 +173,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     repeated = materialize(repeated, "repeated")
     if repeated.count() <= broadcast_rows:
         repeated = F.broadcast(repeated)
-    roles = keyed.join(repeated, "sha", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    roles = keyed.join(repeated, "sha", "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, archive = TaskContext.get().partitionId(), 0, None

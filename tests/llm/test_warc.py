@@ -41,6 +41,23 @@ def test_odd_rows(spark):
     assert not result(pages.limit(0))
 
 
+def test_null_page_ids(spark):
+    rows = [(None, "u", "alone"), (None, "v", "both"), (7, "u", "both"), (9, None, "both"), (None, "u", "twice"), (None, "u", "twice"), (None, None, None)]
+    out = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string")))
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload).decode()) for r in out.toLocalIterator()), key=str)
+    want = [(None, "u", "response", None, "alone"), (None, "v", "revisit", 7, None), (7, "u", "response", None, "both"), (9, None, "revisit", 7, None), (None, "u", "response", None, "twice"), (None, "u", "response", None, "twice"), (None, None, "response", None, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_dictionary_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or warc.zstandard.ZstdCompressionDict(b"some words"))
+    pages = spark.createDataFrame([(k, "hot" if k < 600 else f"page {k}") for k in range(620)], "page_id bigint, html string")
+    warc.train(pages, "html", 1000, 4096)
+    warc.train(pages, "html", 8, 4096)
+    assert len(seen[0]) == len(set(seen[0])) == 21 and 0 < len(seen[1]) <= 8
+
+
 def test_payloads_come_back(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     html = {r.page_id: (r.html or "").encode() for r in pages.toLocalIterator()}
