@@ -8,16 +8,31 @@ import re
 
 SPLIT = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style noscript template textarea title svg math iframe object canvas head select button".split())
+SKIP = frozenset("script style noscript template textarea title svg iframe head select".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: What may stand in a head; anything else ends it, as its end tag and <body> may be left out.
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 #: An open element on the left ends where one on the right begins.
-CLOSES = {"p": SPLIT - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"}, "option": {"option"}}
+CLOSES = {"p": SPLIT - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+MAYBE_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 LABEL = re.compile(r"[a-z]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """By the attributes hidden, aria-hidden and style, whatever other values say."""
+    if not MAYBE_HIDDEN.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(text, path, code points inside links) of each leaf block with text.
 
@@ -46,6 +61,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
     def data(piece: str) -> None:
         nonlocal linked
+        if skipping and open_[-1][0] == "head" and piece.strip():
+            close(len(open_) - 1)
         if piece and not skipping:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -72,6 +89,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     close(k)
                     break
             continue
+        if tag not in IN_HEAD and open_ and open_[-1][0] == "head":
+            close(len(open_) - 1)
         if tag in SPLIT or tag in CLOSES:
             while open_ and tag in CLOSES.get(open_[-1][0], ()):
                 close(len(open_) - 1)
@@ -82,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             at = end.end() if end else len(page)
             continue
         names = " ".join(w for g in NAMED.findall(m[3]) for w in LABEL.findall("".join(g).lower())) if "=" in m[3] else ""
-        skipped = tag in SKIP or bool(m[3] and HIDDEN.search(m[3]))
+        skipped = tag in SKIP or bool(m[3] and _hidden(m[3]))
         open_.append((tag, f"{tag} {names}".strip(), skipped))
         skipping += skipped
         anchors += tag == "a"

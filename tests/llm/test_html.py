@@ -17,6 +17,23 @@ def test_blocks():
         blocks(broken)
 
 
+def test_a_head_ends_without_tags():
+    for page in ("<head><title>x</title><meta charset=utf-8><p>text</p>", "<html><head><style>a</style><link rel=x>text", "<head><title>x</title></head><p>text", "<head><script>a</script><body>text", "<head><template><p>no</p></template><article>text</article>"):
+        assert [b[0] for b in blocks(page)] == ["text"], page
+
+
+def test_hidden_by_attributes_only():
+    for shown in ('title="the hidden cost"', "class='a hidden b'", 'data-x="display: none"', "href=/hidden", 'aria-hidden="false"', 'alt="aria-hidden=\'true\'"'):
+        assert [b[0] for b in blocks(f"<p {shown}>text</p>")] == ["text"], shown
+    for hidden in ("hidden", 'class="a" HIDDEN=""', "hidden=until-found id=x", "aria-hidden=true", 'style="color: red; display :none"', "title=x hidden/"):
+        assert not blocks(f"<div {hidden}>text</div>"), hidden
+
+
+def test_text_elements_stay():
+    page = "<article><p>so <math><mi>x</mi></math> is <object>an object</object> on <canvas>a canvas</canvas> or <button>a button</button>.</p></article>"
+    assert [b[0] for b in blocks(page)] == ["so x is an object on a canvas or a button."]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = htmltext.Labeller(1)
