@@ -1,27 +1,34 @@
 """Near-duplicate documents by min-max hashing.
 
 Each permutation of a document's shingles gives two signature values, its
-minimum and its maximum, so that 64 hash evaluations fill 128 slots.  Bands of
-four slots bring candidates together: at a similarity of 0.8 a band agrees
-with chance 0.41, and all 32 bands miss with chance 5e-8.
+minimum and its maximum, so that 256 hash evaluations fill 512 slots.  Bands of
+eight slots bring candidates together: at a similarity of 0.8 a band agrees
+with chance 0.17 and all 64 bands miss with chance 8e-6; at 0.4, 4 % of pairs
+meet at all.  One bit of each slot makes a sketch of 512 bits, from whose
+agreement the similarity is estimated before a pair becomes a row: pairs whose
+estimate lies 5.5 deviations below the limit (0.66 for 0.8) are left out.
 
 Equal shingle sets collapse to a class first.  Within a bucket classes are
 held against one member, the bucket's centre, on full sets; links make
-components; buckets that still hold several components get another centre.
-For what then remains apart each class has, from its comparison with the first
-centre, the size of both differences and a 512-bit map of their shingles.  Two
-classes whose maps prove that they can't reach the similarity are refuted by
-the join's own condition; the rest is compared on full sets.  So each candidate
-pair is confirmed, refuted, or lies within one component already.
+components; while that goes well, buckets that still hold several components
+get other centres.  From its comparison with a bucket's first centre each class
+has two maps of 512 bits: which shingles of the centre it lacks, by their rank,
+and a hash of those that it adds.  For two classes of one bucket the maps give an
+upper bound of their intersection, exact to a few shingles.  What remains apart
+in a bucket is paired under the conditions of sketch and bound, both inside the
+join, and every pair that passes is confirmed or refuted on full sets.
+Buckets of more than ``SPLIT`` classes are dealt over several tasks.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 fewer words than the shingle size make one shingle of the whole sequence;
-repeated rows of one id are one document; rows with a null id are left out of
-links; an empty table gives an empty result.
+repeated rows of one id are one document, whose largest set counts (ties by its
+fingerprint); rows with a null id come back once each, with a null component, and
+are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +40,8 @@ from casewright.llm.components import extended
 from casewright.llm.storage import materialize, release
 from casewright.llm.words import as_bytes, mix, shingle_hashes, slices, texts_words
 
-PERMUTATIONS, ROWS, WORDS = 64, 4, 8
+PERMUTATIONS, ROWS, SKETCH = 256, 8, 8
+SPLIT = 2000
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -58,46 +66,70 @@ def _sets(texts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
     return sets, np.array([len(s) for s in sets], np.int64)
 
 
-def band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(texts, bands) keys of non-empty sets that lie one after another."""
+def signature(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(slots, texts) minima and maxima of non-empty sets that lie one after another."""
     sig = np.empty((2 * PERMUTATIONS, len(starts)), np.uint64)
+    v, high = np.empty_like(values), np.empty_like(values)
     for p in range(PERMUTATIONS):
-        v = values * _MUL[p] + _ADD[p]
-        v ^= v >> np.uint64(32)
+        np.multiply(values, _MUL[p], out=v)
+        v += _ADD[p]
+        np.right_shift(v, np.uint64(32), out=high)
+        v ^= high
         sig[2 * p], sig[2 * p + 1] = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
-    keys = np.zeros((2 * PERMUTATIONS // ROWS, len(starts)), np.uint64)
+    return sig
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(texts, bands) keys of a signature."""
+    keys = np.zeros((len(sig) // ROWS, sig.shape[1]), np.uint64)
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[r::ROWS])
     return (keys + np.arange(len(keys), dtype=np.uint64)[:, None]).T
 
 
-SIGNATURE = "doc bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(SKETCH, texts) words of one bit for each slot."""
+    bits = (sig & np.uint64(1)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.uint64).T
+
+
+def least_agreement(percent: int, deviations: float = 5.5) -> int:
+    """Sketch bits that sets at the limit agree in, less some standard deviations."""
+    bits, p = 64 * SKETCH, (1 + percent / 100) / 2
+    return math.floor(bits * p - deviations * math.sqrt(bits * p * (1 - p)))
+
+
+_WORDS = [f"s{k}" for k in range(SKETCH)]
+SIGNATURE = f"doc bigint, n bigint, f1 bigint, f2 bigint, {' bigint, '.join(_WORDS)} bigint, bands array<bigint>"
 
 
 def signatures(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, 128-bit set fingerprint and band keys of each document."""
+    """Set size, 128-bit set fingerprint, sketch and band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * PERMUTATIONS // ROWS
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for i, j in slices(texts):
                 sets, sizes = _sets(texts[i:j], n)
                 f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                bands = np.zeros((j - i, 2 * PERMUTATIONS // ROWS), np.uint64)
+                bands, sketch = np.zeros((j - i, width), np.uint64), np.zeros((SKETCH, j - i), np.uint64)
                 full = np.flatnonzero(sizes)
                 if len(full):
                     values = np.concatenate([sets[k] for k in full.tolist()])
                     starts = np.cumsum(sizes[full]) - sizes[full]
                     f1[full], f2[full] = np.add.reduceat(values, starts), np.add.reduceat(mix(values), starts)
-                    bands[full] = band_keys(values, starts)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["doc", "n", "f1", "f2", "bands"])
+                    sig = signature(values, starts)
+                    bands[full], sketch[:, full] = band_keys(sig), sketches(sig)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, width), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
+                own = [f1, f2, *sketch]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in own), lists], names=["doc", "n", "f1", "f2", *_WORDS, "bands"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
 
 
 def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, set): every distinct shingle hash of each text."""
+    """(doc, f1, f2, set): every distinct shingle hash of each text, and the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,33 +137,55 @@ def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             for i, j in slices(texts):
                 sets, sizes = _sets(texts[i:j], n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc", "set"])
+                f = [np.array([h(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for h in (lambda x: x, mix)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, f), lists], names=["doc", "f1", "f2", "set"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, set array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, f1 bigint, f2 bigint, set array<bigint>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFrame:
-    """Pairs (a, b) with the sizes of intersection and union of their full sets, and maps of the differences."""
-    one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity."""
+    one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+    two = one.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    more = [*_maps("a", F.array_except("sa", "sb")), *_maps("b", F.array_except("sb", "sa"))] if maps else []
-    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"), *more)
+    return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).transform(_reaching, percent)
+
 
+def _reaching(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
 
-def _maps(name: str, values: Column) -> list[Column]:
-    """512 bits in WORDS words; each value sets one."""
 
-    def word(k: int) -> Column:
-        own = F.filter(values, lambda v: v.bitwiseAND(F.lit(WORDS - 1)) == k)
-        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", v, F.lit(3)).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(bit(v)))
+_LACKS, _ADDS = ([f"{w}{k}" for k in range(SKETCH)] for w in "la")
+SEEN = f"a bigint, b bigint, i bigint, u bigint, {' bigint, '.join([*_LACKS, *_ADDS])} bigint"
 
-    return [word(k).alias(f"{name}{k}") for k in range(WORDS)]
 
+def _bits(at: np.ndarray) -> list[int]:
+    out = np.zeros(64 * SKETCH, np.uint8)
+    out[at] = 1
+    return np.packbits(out).view(np.int64).tolist()
 
-def _linked(compared: DataFrame, percent: int) -> DataFrame:
-    return compared.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+
+def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (centre a, class b) with intersection, union and the maps of what b lacks and adds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.uint64(64 * SKETCH)
+        for batch in batches:
+            rows = []
+            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (sa, sb))
+                lacks, adds = (~np.isin(p, q, assume_unique=True) for p, q in ((x, y), (y, x)))
+                rank = np.flatnonzero(lacks)
+                both = len(x) - len(rank)
+                if len(x) > size:
+                    rank = rank * int(size) // len(x)
+                rows.append([both, len(x) + len(y) - both, *_bits(rank), *_bits((y[adds] % size).astype(np.int64))])
+            columns = np.array(rows, np.int64).reshape(-1, 2 + 2 * SKETCH).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, np.ascontiguousarray(columns))], names=["a", "b", "i", "u", *_LACKS, *_ADDS])
+
+    one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+    two = one.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
+    return two.select("a", "b", "sa", "sb").mapInArrow(run, SEEN)
 
 
 def _may_reach(percent: int) -> Column:
@@ -141,81 +195,126 @@ def _may_reach(percent: int) -> Column:
     shingles of c, and outside of c none whose bit the other lacks.
     """
 
-    def bits(make) -> Column:
+    def count(make) -> Column:
         out = F.lit(0)
-        for k in range(WORDS):
+        for k in range(SKETCH):
             out = out + F.bit_count(make(k))
         return out
 
-    inside = F.col("nc") - bits(lambda k: F.col(f"xa{k}").bitwiseOR(F.col(f"ya{k}")))
-    left = F.col("na") - F.col("xi") - bits(lambda k: F.col(f"xb{k}").bitwiseAND(F.bitwise_not(F.col(f"yb{k}"))))
-    right = F.col("nb") - F.col("yi") - bits(lambda k: F.col(f"yb{k}").bitwiseAND(F.bitwise_not(F.col(f"xb{k}"))))
+    inside = F.col("nc") - count(lambda k: F.col(f"xl{k}").bitwiseOR(F.col(f"yl{k}")))
+    left = F.col("na") - F.col("xi") - count(lambda k: F.col(f"xa{k}").bitwiseAND(F.bitwise_not(F.col(f"ya{k}"))))
+    right = F.col("nb") - F.col("yi") - count(lambda k: F.col(f"ya{k}").bitwiseAND(F.bitwise_not(F.col(f"xa{k}"))))
     most = F.least(inside, "xi", "yi") + F.least(left, right)
     return F.coalesce((100 + percent) * most >= percent * (F.col("na") + F.col("nb")), F.lit(True))
 
 
-def _alike_in_size(percent: int):
+def _alike_in_size(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", centre_rounds: int = 3) -> DataFrame:
-    """(doc, n, component, keep): the component is the least id reachable."""
+def _alike_in_sketch(percent: int) -> Column:
+    apart = F.lit(0)
+    for w in _WORDS:
+        apart = apart + F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}")))
+    return apart <= 64 * SKETCH - least_agreement(percent)
+
+
+def _share() -> Column:
+    """Which part of a large bucket a class is dealt to."""
+    return F.pmod(F.col("doc"), F.floor(F.col("c") / SPLIT) + 1)
+
+
+def _every_share() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("c") / SPLIT)))
+
+
+def _centres(now: DataFrame, turn: int) -> DataFrame:
+    """(bucket, c, m): the hub of each bucket, later four members drawn by ``turn``."""
+    orders = [F.struct(F.xxhash64(F.lit(4 * turn + j), "doc"), F.col("doc")) for j in range(4)] if turn else [F.struct(F.col("hub"), -F.col("doc"))]
+    drawn = now.groupBy("bucket", "c").agg(F.array_distinct(F.array(*(F.max_by(F.struct("doc", "n", "component"), o) for o in orders))).alias("cs"))
+    return drawn.select("bucket", "c", F.explode("cs").alias("m"))
+
+
+def _centre_pairs(now: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Pairs (centre a, class b) of each bucket."""
+    met = now.withColumn("share", _share()).join(centres.select("bucket", "m", _every_share().alias("share")), ["bucket", "share"])
+    met = met.where(F.col("m.component") != F.col("component")).select(F.col("m.doc").alias("a"), F.col("m.n").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"))
+    return met.where(_alike_in_size(percent)).select("a", "b").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _remaining_pairs(now: DataFrame, sketch: DataFrame, first: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Classes of one bucket and different components that may reach the similarity."""
+    told = seen.select(F.col("a").alias("centre"), F.col("b").alias("doc"), "i", *_LACKS, *_ADDS)
+    own = now.join(sketch, "doc").join(first, "bucket").join(told, ["centre", "doc"], "left")
+
+    def side(x: str, n: str, share: Column) -> DataFrame:
+        return own.select("bucket", "nc", share.alias("share"), F.col("doc").alias(x), F.col("n").alias(n), F.col("component").alias(f"{x}c"), F.col("i").alias(f"{x}i"), *(F.col(w).alias(f"{x}{w}") for w in [*_WORDS, *_LACKS, *_ADDS]))
+
+    left, right = side("x", "na", _share()), side("y", "nb", _every_share()).drop("nc")
+    fits = (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & _alike_in_size(percent) & _alike_in_sketch(percent) & _may_reach(percent)
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["share"] == right["share"]) & fits)
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", gain: float = 0.8) -> DataFrame:
+    """(doc, n, component, keep): the component is the least id reachable.
+
+    Further centres are drawn as long as a round leaves at most ``gain`` of the open entries.
+    """
     spark = docs.sparkSession
-    sig = materialize(signatures(docs, n, id_col, text_col).where(F.col("doc").isNotNull()), "signatures")
-    keyed = sig.select("doc", "n", "f1", "f2")
-    classes = keyed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
-    member = keyed.join(classes, ["n", "f1", "f2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    member = materialize(member.groupBy("doc").agg(F.max("n").alias("n"), F.min("rep").alias("rep")), "classes")
-    reps = sig.join(member.where("doc = rep and n > 0").select("doc"), "doc", "left_semi").select("doc", "n", F.explode("bands").alias("bucket")).distinct()
+    sig = materialize(signatures(docs, n, id_col, text_col), "signatures")
+    whole = sig.where("doc is not null").groupBy("doc").agg(F.max(F.struct("n", "f1", "f2")).alias("s")).select("doc", "s.*")
+    classes = whole.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
+    member = materialize(whole.join(classes, ["n", "f1", "f2"], "left").select("doc", "n", "f1", "f2", F.coalesce("rep", "doc").alias("rep")), "classes")
+    reps = materialize(sig.join(member.where("doc = rep and n > 0"), ["doc", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc"]), "representatives")
+    nameless = sig.where("doc is null").select("doc", "n", F.lit(None).cast("bigint").alias("component"), F.lit(True).alias("keep"))
     # only buckets with company matter
-    shared = reps.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    in_bucket = materialize(reps.join(shared, "bucket"), "buckets")
-    release(spark, sig)
-    wanted = in_bucket.select(F.col("doc").alias("__w")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("__d"), F.col(text_col).alias("__t")).join(wanted, F.col("__d") == F.col("__w"), "left_semi")
-    sets = materialize(full_sets(texts, n, "__d", "__t").dropDuplicates(["doc"]), "sets")
-
+    entries = reps.select("doc", "n", F.explode("bands").alias("bucket")).distinct()
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    in_bucket = materialize(entries.join(shared, "bucket"), "buckets")
     # a class in many and large buckets is near the middle of its group
-    sizes = in_bucket.groupBy("bucket").agg(F.count("*").alias("c"))
-    hubs = in_bucket.join(sizes, "bucket").groupBy("doc").agg(F.sum("c").alias("hub"))
-    in_bucket = materialize(in_bucket.join(hubs, "doc").select("bucket", "doc", "n", "hub"), "hubs")
-    labels, tried, now, seen, first = None, None, in_bucket.withColumn("component", F.col("doc")), None, None
-    for k in range(centre_rounds + 1):
-        if k < centre_rounds:
-            # later, four centres are drawn anew in each open bucket
-            orders = [F.struct(F.col("hub"), -F.col("doc"))] if k == 0 else [F.struct(F.xxhash64(F.lit(4 * k + j), "doc"), F.col("doc")) for j in range(4)]
-            drawn = now.groupBy("bucket").agg(F.array_distinct(F.array(*(F.max_by(F.struct("doc", "n", "component"), o) for o in orders))).alias("cs"))
-            centre = drawn.select("bucket", F.explode("cs").alias("c"))
-            if k == 0:
-                first = materialize(centre.select("bucket", F.col("c.doc").alias("c"), F.col("c.n").alias("nc")), "centres")
-            pairs = now.join(centre, "bucket").where(F.col("c.component") != F.col("component")).select(F.col("c.doc").alias("x"), F.col("c.n").alias("na"), F.col("doc").alias("y"), F.col("n").alias("nb"))
+    hubs = in_bucket.groupBy("doc").agg(F.sum("c").alias("hub"))
+    in_bucket = materialize(in_bucket.join(hubs, "doc"), "hubs")
+    wanted = member.join(hubs.select("doc"), "doc", "left_semi").select(F.col("doc").alias("__w"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("__d"), F.col(text_col).alias("__t")).join(wanted, F.col("__d") == F.col("__w"), "left_semi")
+    found = full_sets(texts, n, "__d", "__t")
+    sets = materialize(found.join(wanted, (found["doc"] == wanted["__w"]) & (found["f1"] == wanted["__f1"]) & (found["f2"] == wanted["__f2"]), "left_semi").dropDuplicates(["doc"]), "sets")
+
+    now, left = in_bucket.withColumn("component", F.col("doc")), in_bucket.count()
+    labels, tried, first, seen, turn = None, None, None, None, 0
+    while left:
+        before, last = left, turn < 0
+        if last:
+            pairs = _remaining_pairs(now, reps.select("doc", *_WORDS), first, seen, percent)
         else:
-            # each doc against those of the other components, with what the first centre tells of both
-            open_in = now.groupBy("doc").agg(F.collect_set("bucket").alias("bs"))  # one for each band at most
-            own = now.join(first, "bucket").join(seen, ["c", "doc"], "left").join(open_in, "doc")
-            left = own.select("bucket", "nc", F.col("doc").alias("x"), F.col("n").alias("na"), F.col("component").alias("cx"), F.col("i").alias("xi"), F.col("bs").alias("xbs"), *(F.col(f"{d}{k}").alias(f"x{d}{k}") for d in "ab" for k in range(WORDS)))
-            right = own.select("bucket", F.col("doc").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cy"), F.col("i").alias("yi"), F.col("bs").alias("ybs"), *(F.col(f"{d}{k}").alias(f"y{d}{k}") for d in "ab" for k in range(WORDS)))
-            # a pair that shares several buckets meets in the least of them alone
-            once = left["bucket"] == F.array_min(F.array_intersect("xbs", "ybs"))
-            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & _alike_in_size(percent) & _may_reach(percent) & once)
-        pairs = pairs.where(_alike_in_size(percent)).select(*([F.col("x").alias("a"), F.col("y").alias("b")] if k == 0 else [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")])).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        compared = materialize(_compared(pairs, sets, maps=k == 0), "compared")
-        if k == 0:  # a is the centre; a document may be the centre of one bucket and a member of another
-            seen = compared.select(F.col("a").alias("c"), F.col("b").alias("doc"), "i", *(f"{d}{j}" for d in "ab" for j in range(WORDS)))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = extended(labels, _linked(compared, percent))
-        if k == centre_rounds:
+            centres = materialize(_centres(now, turn), "centres")
+            pairs = _centre_pairs(now, centres, percent)
+        if turn == 0:
+            first = centres.select("bucket", F.col("m.doc").alias("centre"), F.col("m.n").alias("nc"))
+            seen = materialize(_held_against(pairs, sets), "seen")
+            links, tried = _reaching(seen, percent), _ordered(seen)
+        else:
+            pairs = materialize(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+            links, tried = materialize(_linked(pairs, sets, percent), "links"), tried.unionByName(pairs)
+        labels = extended(labels, links)
+        if last:
             break
-        labelled = in_bucket.join(labels, in_bucket["doc"] == labels["id"], "left").select("bucket", "doc", "n", "hub", F.coalesce("component", "doc").alias("component"))
+        labelled = in_bucket.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         # a bucket of two was settled by its one pair
-        spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("bucket")
-        now = materialize(labelled.join(spread, "bucket"), "open")
-        if now.isEmpty():
-            break
-    release(spark, sets)
-    out = member.join(labels, member["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
-    return out.withColumn("keep", F.col("doc") == F.col("component"))
+        spread = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        now = materialize(labelled.where("c > 2").join(spread, "bucket", "left_semi"), "open")
+        left = now.count()
+        turn = turn + 1 if turn == 0 or left <= gain * before else -1
+    out = member.select("doc", "n", "rep")
+    if labels is not None:
+        out = out.join(labels, out["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
+    else:
+        out = out.withColumnRenamed("rep", "component")
+    out = materialize(out.withColumn("keep", F.col("doc") == F.col("component")).unionByName(nameless), "near")
+    for done in (sig, reps, sets):
+        release(spark, done)
+    return out

@@ -74,9 +74,10 @@ def test_min_max_agrees_with_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)
     a, b = pool[:2700], pool[300:]  # 2400 of 3000 in common
-    keys = minhash.band_keys(np.concatenate([a, b]), np.array([0, 2700]))
-    share = (keys[0] == keys[1]).mean()
-    assert 0.1 < share < 0.8
+    sig = minhash.signature(np.concatenate([a, b]), np.array([0, 2700]))
+    assert 0.7 < (sig[:, 0] == sig[:, 1]).mean() < 0.9
+    keys = minhash.band_keys(sig)
+    assert 0.03 < (keys[0] == keys[1]).mean() < 0.4
 
 
 def test_components_on_paths_and_stars(spark):
@@ -94,11 +95,30 @@ def test_components_grow_by_further_links(spark):
     assert {r.id: r.component for r in labels.toLocalIterator()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5, 7: 7, 8: 7}
 
 
-def test_maps_hold_a_bit_for_each_value(spark):
-    rng = np.random.default_rng(8)
-    rows = [(k, [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 40)]) for k in range(5)]
-    df = spark.createDataFrame(rows, "k int, v array<bigint>").select("v", *minhash._maps("m", minhash.F.col("v")))
-    for r in df.toLocalIterator():
-        want = {(v & 7, (v >> 3) & 63) for v in r.v}
-        got = {(k, b) for k in range(8) for b in range(64) if (r[f"m{k}"] >> b) & 1}
-        assert got == want
+def made_pairs(shared: int, size: int, count: int) -> np.ndarray:
+    """Signatures of pairs of sets with ``shared`` of ``2 * size - shared`` values in common."""
+    rng = np.random.default_rng(shared)
+    values = []
+    for _ in range(count):
+        pool = rng.integers(1, 1 << 63, 2 * size - shared, dtype=np.uint64)
+        values += [pool[:size], pool[size - shared :]]
+    return minhash.signature(np.concatenate(values), np.arange(2 * count) * size)
+
+
+def test_recall_and_selectivity_of_bands_and_sketch():
+    rng_limit, few = made_pairs(160, 180, 3000), made_pairs(72, 126, 3000)  # similarities 0.8 and 0.4
+    for sig, low, high in ((rng_limit, 0.999, 1), (few, 0, 0.08)):
+        keys = minhash.band_keys(sig)
+        meet = (keys[::2] == keys[1::2]).any(axis=1)
+        assert low <= meet.mean() <= high
+        words = minhash.sketches(sig)
+        agree = 512 - np.bitwise_count(words[:, ::2] ^ words[:, 1::2]).sum(axis=0)
+        near = agree >= minhash.least_agreement(80)
+        assert near.all() if low else near.mean() < 0.01
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, None), (4, text), (4, "too short"), (9, text + " more"), (9, text + " more")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), n=2)
+    assert sorted(map(tuple, out.toLocalIterator()), key=str) == sorted([(None, 59, None, True), (None, 0, None, True), (4, 59, 4, True), (9, 60, 4, False)], key=str)
