@@ -15,8 +15,9 @@ get other centres.  From its comparison with a bucket's first centre each class
 has two maps of 512 bits: which shingles of the centre it lacks, by their rank,
 and a hash of those that it adds.  For two classes of one bucket the maps give an
 upper bound of their intersection, exact to a few shingles.  What remains apart
-in a bucket is paired under the conditions of sketch and bound, both inside the
-join, and every pair that passes is confirmed or refuted on full sets.
+is paired, the classes outside of a bucket's largest component with all others,
+under the conditions of sketch and bound, both inside the join, and every pair
+that passes is confirmed or refuted on full sets.
 Buckets of more than ``SPLIT`` classes are dealt over several tasks.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
@@ -249,15 +250,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _remaining_pairs(now: DataFrame, sketch: DataFrame, first: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Classes of one bucket and different components that may reach the similarity."""
     told = seen.select(F.col("a").alias("centre"), F.col("b").alias("doc"), "i", *_LACKS, *_ADDS)
-    own = now.join(sketch, "doc").join(first, "bucket").join(told, ["centre", "doc"], "left")
+    parts = now.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    major = parts.groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
+    own = now.join(major, "bucket").join(sketch, "doc").join(first, "bucket").join(told, ["centre", "doc"], "left").withColumn("minor", F.col("component") != F.col("major"))
 
-    def side(x: str, n: str, share: Column) -> DataFrame:
-        return own.select("bucket", "nc", share.alias("share"), F.col("doc").alias(x), F.col("n").alias(n), F.col("component").alias(f"{x}c"), F.col("i").alias(f"{x}i"), *(F.col(w).alias(f"{x}{w}") for w in [*_WORDS, *_LACKS, *_ADDS]))
+    def side(x: str, n: str, rows: DataFrame, share: Column) -> DataFrame:
+        return rows.select("bucket", "nc", share.alias("share"), F.col("doc").alias(x), F.col("n").alias(n), F.col("component").alias(f"{x}c"), F.col("minor").alias(f"{x}minor"), F.col("i").alias(f"{x}i"), *(F.col(w).alias(f"{x}{w}") for w in [*_WORDS, *_LACKS, *_ADDS]))
 
-    left, right = side("x", "na", _share()), side("y", "nb", _every_share()).drop("nc")
-    fits = (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & _alike_in_size(percent) & _alike_in_sketch(percent) & _may_reach(percent)
+    # members of the largest component need no comparison with each other
+    left, right = side("x", "na", own.where("minor"), _share()), side("y", "nb", own, _every_share()).drop("nc")
+    fits = (F.col("xc") != F.col("yc")) & (~F.col("yminor") | (F.col("x") < F.col("y"))) & _alike_in_size(percent) & _alike_in_sketch(percent) & _may_reach(percent)
     met = left.join(right, (left["bucket"] == right["bucket"]) & (left["share"] == right["share"]) & fits)
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return _ordered(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", gain: float = 0.8) -> DataFrame:
