@@ -2,9 +2,12 @@
 
 Every partition packs its pieces by best fit, longest first.  Bins that are
 nearly full leave at once; the underfull ones become items of the next round,
-in which fewer partitions pack the bins of several.  A bin holds at most
-``capacity`` pieces, and after each round at most the bins that no other fits
-into are left, so that what reaches the last, single round is small.
+in which fewer partitions pack the bins of several.  Best fit leaves no more
+than one bin of at most half the capacity in a partition, and any further merge
+takes such a bin.  So of the larger bins only the roomiest go on, as many as
+there are small ones, and none that even the smallest bin does not fit into; a
+histogram of fills, at most ``capacity`` rows, tells which.  What reaches the
+last, single round is at most two bins for each partition of the first.
 
 Defined cases: null or empty text is one end id; documents longer than the
 capacity alone are cut; repeated rows are packed as often as they occur; an
@@ -13,12 +16,13 @@ empty table gives no sequence; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.storage import materialize
@@ -26,7 +30,8 @@ from casewright.llm.tokens import crc_rows, default_path, encoder, with_end
 from casewright.llm.words import as_bytes, slices
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-BIN = f"fill int, full boolean, items array<struct<{PIECE.replace(' ', ':').replace(',:', ',')}>>"
+PLACED = f"{PIECE}, offset bigint"
+BIN = f"fill int, full boolean, items array<struct<{PLACED.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -91,14 +96,36 @@ def pack_round(bins: DataFrame, capacity: int, nearly: int) -> DataFrame:
             flat = np.fromiter((i for m in part for i in m), np.int64)
             n = width[flat]
             take = np.arange(int(n.sum())) + np.repeat(offsets[flat] - np.cumsum(n) + n, n)
-            ends = np.cumsum([int(sum(width[i] for i in m)) for m in part])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), items.values.take(pa.array(take)))
+            ends = np.concatenate([[0], np.cumsum([int(sum(width[i] for i in m)) for m in part])])
+            taken = items.values.take(pa.array(take))
+            length = taken.field("length").to_numpy()
+            before = np.concatenate([[0], np.cumsum(length)])
+            offset = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+            placed = pa.StructArray.from_arrays([*taken.flatten()[:-1], pa.array(offset)], names=[f.name for f in taken.type])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), placed)
             fill = np.array(fills[k : k + 2000], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(fill), pa.array(fill >= nearly), lists], names=["fill", "full", "items"])
 
     return bins.mapInArrow(run, BIN)
 
 
+def _goes_on(rest: DataFrame, capacity: int) -> Column | None:
+    """Which underfull bins can still be merged; None if no two fit together."""
+    fills = sorted((r["fill"], r["count"]) for r in rest.groupBy("fill").count().toLocalIterator())
+    small = sum(n for fill, n in fills if 2 * fill <= capacity)
+    large = [(fill, n) for fill, n in fills if 2 * fill > capacity and fill + fills[0][0] <= capacity]
+    if small + len(large) < 2:
+        return None
+    stays, left = 2 * F.col("fill") <= capacity, small
+    for fill, n in large:
+        if left <= 0:
+            break
+        # of equal fills a share, drawn by a hash of the first piece
+        drawn = F.lit(True) if n <= left else F.pmod(F.xxhash64(F.col("items")[0]), F.lit(1_000_000)) < math.ceil(1_000_000 * left / n)
+        stays, left = stays | ((F.col("fill") == fill) & drawn), left - n
+    return stays
+
+
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, slack: int = 2, fan_in: int = 8) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -107,19 +134,18 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     cut = pieces(docs, path or default_path(), id_col, text_col, capacity, end_id)
-    one = cut.select(F.col("length").cast("int").alias("fill"), (F.col("length") >= capacity).alias("full"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("items"))
+    one = cut.select(F.col("length").cast("int").alias("fill"), (F.col("length") >= capacity).alias("full"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))).alias("items"))
     now = materialize(pack_round(one, capacity, capacity - slack), "bins")
-    done = now.where("full")
-    rest, parts = now.where("not full"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done, rest, parts = now.where("full"), now.where("not full"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
+        stays = _goes_on(rest, capacity)
+        if stays is None:
+            break
         parts = max(1, -(-parts // fan_in))
-        now = materialize(pack_round(rest.repartition(parts), capacity, capacity - slack), "bins")
-        done = done.unionByName(now.where("full"))
-        rest = now.where("not full")
+        done = done.unionByName(rest.where(~stays))
+        now = materialize(pack_round(rest.where(stays).repartition(parts), capacity, capacity - slack), "bins")
+        done, rest = done.unionByName(now.where("full")), now.where("not full")
         if parts == 1:
             break
-    bins = done.unionByName(rest)
-    numbered = bins.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
-    placed = numbered.select("sequence_id", F.posexplode("items").alias("at", "p"), "items")
-    before = F.aggregate(F.slice("items", 1, F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return placed.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", before.alias("offset"))
+    numbered = done.unionByName(rest).select(F.monotonically_increasing_id().alias("sequence_id"), "items")
+    return numbered.select("sequence_id", F.explode("items").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")

@@ -112,6 +112,24 @@ def test_packing_nothing(no_rows):
     assert packing.pack(no_rows).count() == 0
 
 
+def test_bins_that_no_other_fits_leave_the_rounds(spark):
+    sizes = [2500] * 300 + [4000] * 50 + [90] * 3 + [700]
+    rest = spark.createDataFrame([(n, [i]) for i, n in enumerate(sizes)], "fill int, items array<int>")
+    stays = [r.fill for r in rest.where(packing._goes_on(rest, 4096)).toLocalIterator()]
+    assert sorted(x for x in stays if x < 2048) == [90, 90, 90, 700]
+    assert 1 <= sum(x == 2500 for x in stays) <= 40 and 4000 not in stays
+    assert packing._goes_on(rest.where("fill > 2048"), 4096) is None and packing._goes_on(rest.limit(0), 4096) is None
+
+
+def test_files_of_repeated_ids(spark):
+    texts = ["one two three", "four five", None, "one two three", "a much longer text than the others"]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(3, "first")], "doc_id bigint, text string")
+    runs = [sorted(tuple(r) for r in tokencode.read_files(tokencode.write_files(docs)).toLocalIterator()) for _ in range(2)]
+    ids = plain_ids(texts)
+    assert runs[0] == runs[1] and sorted(r[3] for r in runs[0] if r[0] == 7) == sorted(map(crc, ids))
+    assert [r[1] for r in runs[0]] == np.cumsum([0] + [r[2] for r in runs[0]])[:-1].tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_holds_everything_once(sizes):
