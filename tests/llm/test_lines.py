@@ -69,3 +69,10 @@ def test_query_digest(spark, sf):
     for r in queries.op10_line_dedup(spark, sf).limit(5).toLocalIterator():
         assert len(r.kept_sha256) == 64
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_repeated_ids_lose_their_own_lines(spark):
+    line, own = "This line is in three documents.", "This line stands in one row only."
+    rows = [(1, f"{line}\n{own}"), (1, f"{own} B\n{own} C"), (1, f"{own} B\n{own} C"), (2, line), (3, f"x\n{line}")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "__kept_text", "__n_dropped")
+    assert sorted(map(tuple, out.toLocalIterator())) == sorted([(1, own, 1), (1, f"{own} B\n{own} C", 0), (1, f"{own} B\n{own} C", 0), (2, "", 1), (3, f"x\n{line}", 0)])
