@@ -13,9 +13,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 
+from casewright.llm.resident import only
 from casewright.llm.words import LOWER, SLICE, hash_spans, slices, spans
 
-_loaded: dict[str, WordEncoder] = {}
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -25,7 +25,7 @@ _STOP[[ord(c) for c in ".,;:!?"]] = True
 class WordEncoder:
     """Cache of word ids; it starts anew beyond ``max_words`` distinct words."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
@@ -120,10 +120,8 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for this file; it lasts as long as the worker."""
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    """The worker's encoder for this file, kept until the worker needs another model."""
+    return only(f"tokens {path}", lambda: WordEncoder(path))
 
 
 def default_path() -> str:
