@@ -14,23 +14,25 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 #: An open element on the left ends where one on the right begins.
 CLOSES = {"p": SPLIT - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: A quote opens a value only after "="; without a closing one it is an ordinary character.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|<[!?][^>]*>""", re.S)
+BARE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+NAMES = frozenset("class id role itemprop".split())
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-MAYBE_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 LABEL = re.compile(r"[a-z]+")
 
 
-def _hidden(attributes: str) -> bool:
-    """By the attributes hidden, aria-hidden and style, whatever other values say."""
-    if not MAYBE_HIDDEN.search(attributes):
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
+def _attributes(text: str) -> tuple[str, bool]:
+    """(words of class, id and the like; whether the element is hidden), by names, whatever other values say."""
+    words, hidden = [], False
+    for name, *values in ATTRIBUTE.findall(text):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
-            return True
-    return False
+        if name in NAMES:
+            words += LABEL.findall(value.lower())
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            hidden = True
+    return " ".join(words), hidden
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
@@ -69,13 +71,20 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if anchors:
                 linked += len(piece.strip())
 
+    last, token = page.rfind(">"), TOKEN
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0 or start > last and not page.startswith("<!--", start):
             data(page[at:])
             break
-        data(page[at : m.start()])
-        at = m.end()
+        m = token.match(page, start)
+        if not m and token is TOKEN and page[start + 1 : start + 2].isalpha():
+            token = BARE  # a tag whose quotes swallow every ">" that is left: from here on quotes mean nothing
+            m = token.match(page, start)
+        data(page[at : start + (not m)])
+        at = m.end() if m else start + 1
+        if not m:
+            continue
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -100,8 +109,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        names = " ".join(w for g in NAMED.findall(m[3]) for w in LABEL.findall("".join(g).lower())) if "=" in m[3] else ""
-        skipped = tag in SKIP or bool(m[3] and _hidden(m[3]))
+        names, hidden = _attributes(m[3]) if m[3] else ("", False)
+        skipped = tag in SKIP or hidden
         open_.append((tag, f"{tag} {names}".strip(), skipped))
         skipping += skipped
         anchors += tag == "a"

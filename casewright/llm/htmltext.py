@@ -176,13 +176,16 @@ def trained(pages: int = 1200, epochs: int = 6, batch: int = 24, rate: float = 0
     return net
 
 
-def main_texts(pages: list[str | None], net: Labeller, least: float = 0.5, together: int = 64) -> list[str]:
-    """Article text of each page; pages of like length are labelled together."""
+def main_texts(pages: list[str | None], net: Labeller, least: float = 0.5, together: int = 64, cells: int = 8192) -> list[str]:
+    """Article text of each page; pages of like length are labelled together, padded to ``cells`` blocks at most."""
     cut = [blocks(p or "") for p in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if cut[k]), key=lambda k: len(cut[k]))
-    for s in range(0, len(order), together):
-        part = order[s : s + together]
+    while order:
+        n = 1
+        while n < min(together, len(order)) and (n + 1) * len(cut[order[n]]) <= cells:
+            n += 1
+        part, order = order[:n], order[n:]
         v = vectors([b for k in part for b in cut[k]])
         ends = np.cumsum([len(cut[k]) for k in part])
         chance = net.chances(*_padded(np.split(v, ends[:-1])))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 
 from casewright.llm import htmltext
-from casewright.llm.htmlblocks import blocks, made_page
+from casewright.llm.htmlblocks import SKIP, SPLIT, VOID, blocks, made_page
 
 
 def test_blocks():
@@ -29,6 +31,62 @@ def test_hidden_by_attributes_only():
         assert not blocks(f"<div {hidden}>text</div>"), hidden
 
 
+def test_quotes_count_only_as_values():
+    assert [b[0] for b in blocks("<p title=it's>First</p><p>That's the second.</p>")] == ["First", "That's the second."]
+    assert [b[0] for b in blocks('<p title="a > b" id=x>yes</p><p a\'b>no</p>')] == ["yes", "no"]
+    assert blocks("<div title='class=menu' class=\"post\">x</div>")[0][1] == "div post"
+
+
+def test_broken_markup_takes_linear_time():
+    for unit in ('<p title="x>a</p> ', "<a x='", "<a b ", '<a x="<b>', '< = " '):
+        began = time.process_time()
+        blocks(unit * 20_000 + 'x=">"')
+        assert time.process_time() - began < 5, unit
+
+
+class Plain(HTMLParser):
+    """Words of a well-formed page outside of skipped elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.skipped = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SPLIT or tag == "br":
+            self.text.append(" ")
+        if tag in SKIP and tag not in VOID:
+            self.skipped += 1
+
+    def handle_endtag(self, tag):
+        if tag in SPLIT:
+            self.text.append(" ")
+        if tag in SKIP:
+            self.skipped -= 1
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.text.append(data)
+
+
+def test_blocks_hold_the_words_of_a_plain_parser(spark, sf):
+    pages = [r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").toLocalIterator()]
+    rng = random.Random(77)
+    pages += [made_page(rng)[0] for _ in range(100)]
+    same = 0
+    for page in pages:
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        same += " ".join(b[0] for b in blocks(page)).split() == "".join(plain.text).split()
+    assert same == len(pages)
+
+
+def test_long_pages_are_not_padded_together():
+    net = htmltext.trained()
+    pages = ["<p>short</p>"] * 63 + ["<p>one of many</p>" * 3000]
+    assert htmltext.main_texts(pages, net) == [htmltext.main_texts([p], net)[0] for p in pages]
+
+
 def test_text_elements_stay():
     page = "<article><p>so <math><mi>x</mi></math> is <object>an object</object> on <canvas>a canvas</canvas> or <button>a button</button>.</p></article>"
     assert [b[0] for b in blocks(page)] == ["so x is an object on a canvas or a button."]
