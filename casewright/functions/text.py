@@ -89,6 +89,12 @@ def html_text(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def search_words(c: Column) -> Column:
+    """The OR query of a search text: words of more than one character, then stripped to ASCII word characters."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 1)
+    return F.array_join(F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^0-9A-Za-z_]", "")), lambda w: w != ""), " | ")
+
+
 def terms(c: Column, least: int = 2) -> Column:
     """Distinct lower-case words of a search text, ASCII word characters only."""
     words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, "[^0-9A-Za-z_]", ""))

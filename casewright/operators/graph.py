@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.shared import written
+
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end among ``nodes`` (node): two equi-joins and a union, no OR join."""
@@ -16,9 +18,9 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, least: float = 0.55, per_hop: int = 50) -> DataFrame:
     """(edge_id, hop): heavy edges at all visited nodes, the heaviest ``per_hop`` of each hop, each edge once."""
-    heavy, visited, out = edges.where(F.col("weight") >= least), seeds.select("node").distinct(), None
+    heavy, visited, out = written(edges.where(F.col("weight") >= least), "heavy"), seeds.select("node").distinct(), None
     for hop in range(1, hops + 1):
-        found = touching(heavy, visited).orderBy(F.desc("weight"), "edge_id").limit(per_hop)
+        found = written(touching(heavy, visited).orderBy(F.desc("weight"), "edge_id").limit(per_hop), "hop")
         step = found.select("edge_id", "src", "dst", "weight", F.lit(hop).alias("hop"))
         out = step if out is None else out.unionByName(step)
         visited = visited.union(found.select("src")).union(found.select("dst")).distinct()
@@ -27,11 +29,11 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, least: float = 0.5
 
 def explore(edges: DataFrame, start: DataFrame, hops: int = 3, per_hop: int = 200) -> DataFrame:
     """(node, hop): breadth first, at most ``per_hop`` new nodes a hop in id order."""
-    frontier = start.select("node").distinct()
+    edges, frontier = written(edges.select("src", "dst"), "edges"), start.select("node").distinct()
     seen = frontier.select("node", F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
         near = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("n")).union(edges.join(frontier, edges["dst"] == frontier["node"]).select(F.col("src").alias("n"))).distinct()
-        frontier = near.join(seen, near["n"] == seen["node"], "left_anti").orderBy("n").limit(per_hop).select(F.col("n").alias("node"))
+        frontier = written(near.join(seen, near["n"] == seen["node"], "left_anti").orderBy("n").limit(per_hop).select(F.col("n").alias("node")), "frontier")
         seen = seen.union(frontier.select("node", F.lit(hop).alias("hop")))
     return seen
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import terms, trigrams
+from casewright.shared import small
 
 # Boosts of wiki sources and graph paths by question profile.
 BOOSTS = {"doctrine": (0.18, 0.12), "officer_lesson": (0.22, 0.12), "precedent_trace": (0.12, 0.20), "pattern_analysis": (0.12, 0.16), "comparison": (0.10, 0.14)}
@@ -22,37 +25,104 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def unit(v: Column) -> Column:
+    """The vector at length 1; a vector of zeros stays as it is."""
+    norm = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(q, id, similarity): the k nearest of each query, exact.
 
-    ``queries`` (q, v) is a stated set of bounded size; each task keeps k rows
-    a query before anything is shuffled.
+    ``queries`` (q, v) is a stated set; it is broadcast in blocks of at most
+    ``block`` rows, and each task keeps k rows a query before anything is
+    shuffled.  Vectors are brought to length 1 once, not for each pair.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).select("q", "id", cosine(F.col("vec"), F.col("v")).alias("similarity"))
+    own = vectors.select("id", unit(F.col("vec")).alias("__u"))
+    asked = queries.select("q", unit(F.col("v")).alias("__w"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("k", best).where(F.col("k") <= k).drop("k")
+    blocks, out = max(1, -(-asked.count() // block)), None
+    for n in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)
+        hits = own.crossJoin(F.broadcast(part)).select("q", "id", dot(F.col("__u"), F.col("__w")).alias("similarity"))
+        top = hits.withColumn("k", best).where(F.col("k") <= k).drop("k")
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
-def postings(docs: DataFrame, text: Column) -> DataFrame:
-    """(term, id, tf, len)."""
-    words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: F.length(w) > 1)
-    return docs.select("id", F.size(words).alias("len"), F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, len) of the words of more than one character, or only of the ``wanted`` (term) ones.
+
+    The words are split once a document, below the explode, and terms that
+    nobody asks for leave before the shuffle.
+    """
+    split = docs.select("id", F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: F.length(w) > 1).alias("words"))
+    words = split.select("id", F.size("words").alias("len"), F.explode_outer("words").alias("term")).where("term is not null")
+    if wanted is not None:
+        words = words.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def lexical(docs: DataFrame, text: Column, queries: DataFrame, k: int) -> DataFrame:
     """(q, id, rank): documents that hold any term, by the sum of 1 + ln(tf), over length; ties by id."""
     wanted = queries.select("q", F.explode(terms(F.col("text"))).alias("term"))
-    hits = postings(docs, text).join(F.broadcast(wanted), "term").groupBy("q", "id").agg((F.sum(1 + F.log("tf")) / (1 + F.log(F.first("len").cast("double")))).alias("rank"))
+    hits = postings(docs, text, wanted).join(small(wanted), "term").groupBy("q", "id").agg((F.sum(1 + F.log("tf")) / (1 + F.log(F.first("len").cast("double")))).alias("rank"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("rank", 9)), "id"))
     return hits.withColumn("k", best).where(F.col("k") <= k).drop("k")
 
 
-def trigram_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity): names whose trigram sets reach ``least``; an equi-join on trigrams, not on pairs."""
-    lt = left.select(F.col("id").alias("a"), trigrams(F.col("name")).alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("g"))
-    rt = right.select(F.col("id").alias("b"), trigrams(F.col("name")).alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("g"))
-    both = lt.join(rt, "g").groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("similarity")).where(F.col("similarity") > least)
+def matches_all(docs: DataFrame, text: Column, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
+    """Documents by a parsed web-search query: every ``must`` group, any ``should`` term, no ``must_not`` term."""
+    words = F.split(F.lower(text), "[^0-9a-z]+")
+    keep = F.lit(True)
+    for phrase in must:
+        keep = keep & F.array_contains(words, phrase) if " " not in phrase else keep & F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {phrase} "))
+    if should:
+        keep = keep & F.arrays_overlap(words, F.array(*(F.lit(t) for t in should)))
+    if must_not:
+        keep = keep & ~F.arrays_overlap(words, F.array(*(F.lit(t) for t in must_not)))
+    return docs.where(keep)
+
+
+def websearch(query: str) -> tuple[list[str], list[str], list[str]]:
+    """(must, should, must not) of a query with quotes, OR and minus; phrases keep one blank between words."""
+    must, should, without, either = [], [], [], False
+    parts = re.findall(r'-?"[^"]*"|\S+', query.lower())
+    for n, part in enumerate(parts):
+        if part == "or":
+            continue
+        words = " ".join(re.findall("[0-9a-z]+", part))
+        either = (n + 1 < len(parts) and parts[n + 1] == "or") or (n > 0 and parts[n - 1] == "or")
+        if words:
+            (without if part.startswith("-") else should if either else must).append(words)
+    return must, should, without
+
+
+def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1000) -> DataFrame:
+    """(a, b, similarity): names whose trigram sets pass ``least``.
+
+    A pair above ``least`` shares a trigram among the rarest of each set
+    (prefix filtering: all but the last ceil(least x size) trigrams of a set, plus one), so that
+    trigrams that many names share hold no candidates together.  What they do
+    hold together is dealt over shares of ``cells`` names a trigram.
+    """
+    lt = left.select(F.col("id").alias("a"), trigrams(F.col("name")).alias("ta"))
+    rt = right.select(F.col("id").alias("b"), trigrams(F.col("name")).alias("tb"))
+    each = lt.select(F.explode("ta").alias("g")).union(rt.select(F.explode("tb").alias("g")))
+    seen = each.groupBy("g").agg(F.count("*").alias("df"))
+
+    def prefix(sets: DataFrame, key: str, value: str) -> DataFrame:
+        one = sets.select(key, F.size(value).alias("n"), F.explode(value).alias("g")).join(seen, "g")
+        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "g"))
+        return one.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+
+    shares = F.floor(F.col("df") / cells)
+    pa = prefix(lt, "a", "ta").select("a", "g", F.col("n").alias("na"), F.pmod(F.xxhash64("a"), shares + 1).alias("share"))
+    pb = prefix(rt, "b", "tb").select("b", "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), shares)).alias("share"))
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    pairs = pa.join(pb, ["g", "share"]).where(near).select("a", "b").distinct()
+    both = pairs.join(lt, "a").join(rt, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    return both.select("a", "b", (F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))).alias("similarity")).where(F.col("similarity") > least)
 
 
 def fuse(vector: DataFrame, lexical_hits: DataFrame, graph: DataFrame, n: int, weights: tuple[float, float, float] = (0.4, 0.2, 0.2), paths: DataFrame | None = None, wiki: DataFrame | None = None, profile: str | None = None) -> DataFrame:

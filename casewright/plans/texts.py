@@ -36,9 +36,9 @@ def txt_quality(spark, d):
     return _docs(spark, d).select("doc_id", text.quality(F.col("text")).alias("quality"))
 
 
-@query(r"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '[^0-9A-Za-z_]', '', 'g')), lambda w: length(w) >= 2))) AS terms FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 1), lambda w: regexp_replace(w, '[^0-9A-Za-z_]', '', 'g')), lambda w: w <> ''), ' | ') AS query FROM documents")
 def txt_ts_terms(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_sort(text.terms(F.col("text"))).alias("terms"))
+    return _docs(spark, d).select("doc_id", text.search_words(F.col("text")).alias("query"))
 
 
 @query("SELECT doc_id, left(sha256(text), 16) AS hash FROM documents WHERE text IS NOT NULL")
