@@ -8,6 +8,8 @@ once; ids are then gathered with numpy.  Words are told apart by a 64-bit hash.
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -16,47 +18,98 @@ import numpy as np
 from casewright.llm.resident import only
 from casewright.llm.words import LOWER, SLICE, hash_spans, slices, spans
 
+SLOTS, RECENT = 1 << 19, 1 << 16
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
+#: Letters, then ASCII signs but for "'" and "<", which the files treat by their surroundings.
+_SIMPLE = re.compile(r"([^\W\d_]*)([!-&(-/:;=>?@\[\\\]^_`{|}~]*)\Z")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level file."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_chars()
 
 
 class WordEncoder:
     """Cache of word ids; it starts anew beyond ``max_words`` distinct words."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
+        self.tokenize = self.tok.model.tokenize
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes ascending, and the word's row
-        self.start, self.len, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+        # hashes ascending and the words' rows: the bulk, and the words of late
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.slot_key, self.slot_row = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)  # the last word of each hash slot
+        self.start, self.len, self.ids, self.used, self.rows = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
+        self.signs: dict[str, list[int]] = {"": []}
+
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids of lower-case Latin letters and signs after them; None for other words."""
+        m = _SIMPLE.match(word)
+        if not m:
+            return None
+        letters, signs = m.groups()
+        out = []
+        if letters:
+            if not letters.isascii():
+                if not letters.isalpha() or letters.lower() != letters or max(letters) >= "\u0250":
+                    return None
+                letters = letters.encode().decode("latin-1").translate(_BYTES)
+            elif not letters.islower():
+                return None
+            out = [t.id for t in self.tokenize(letters)]
+        if signs:
+            if signs not in self.signs:
+                if len(self.signs) > 50_000:
+                    self.signs = {"": []}
+                self.signs[signs] = [t.id for t in self.tokenize(signs)]
+            out += self.signs[signs]
+        return out
 
     def _add(self, hashes: np.ndarray, words: list[str]) -> None:
-        tokenize, full = self.tok.model.tokenize, [i for i, w in enumerate(words) if not (w.isascii() and w.isalpha() and w.islower())]
-        got: list[list[int]] = [[t.id for t in tokenize(w)] if w.isascii() and w.isalpha() and w.islower() else [] for w in words]
-        for i, e in zip(full, self.tok.encode_batch([words[i] for i in full], add_special_tokens=False), strict=True):
+        """Ids of new words; hashes ascend."""
+        got = [self._plain(w) for w in words]
+        other = [i for i, g in enumerate(got) if g is None]
+        for i, e in zip(other, self.tok.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
             got[i] = e.ids
-        flat = np.fromiter((x for g in got for x in g), np.uint32)
-        n, k = len(self.row), len(got)
+        flat = np.fromiter(chain.from_iterable(got), np.uint32)
+        n, k = self.rows, len(got)
         while n + k > len(self.start):
             self.start, self.len = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.len, np.zeros_like(self.len)])
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        lens = np.array([len(g) for g in got], np.int32)
+        lens = np.fromiter(map(len, got), np.int32, k)
         self.len[n : n + k], self.start[n : n + k] = lens, self.used + np.cumsum(lens) - lens
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        at = np.searchsorted(self.keys, hashes)
-        self.keys, self.row = np.insert(self.keys, at, hashes), np.insert(self.row, at, np.arange(n, n + k))
-
-    def _known(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
+        self.rows += k
+        bulk, (keys, rows) = self.known
+        at = np.searchsorted(keys, hashes)
+        late = np.insert(keys, at, hashes), np.insert(rows, at, np.arange(n, n + k))
+        if len(late[0]) > RECENT:
+            at = np.searchsorted(bulk[0], late[0])
+            bulk, late = (np.insert(bulk[0], at, late[0]), np.insert(bulk[1], at, late[1])), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.known = [bulk, late]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each word, -1 for new ones."""
+        out = np.full(len(hashes), -1, np.int32)
+        for keys, rows in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, rows[at], out)
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -91,14 +144,22 @@ class WordEncoder:
         s[at], m[at] = starts, lens - cut
         s[at[cut] + 1] = last[cut]
         h = hash_spans(b, s, m)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.row) + len(distinct) > self.max_words:
-            self.clear()
-        new = np.flatnonzero(~self._known(distinct))
-        if len(new):
-            data = b.tobytes()
-            self._add(distinct[new], [data[s[f] : s[f] + m[f]].decode() for f in first[new].tolist()])
-        rows = self.row[np.searchsorted(self.keys, distinct)][back]
+        slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        rows = self.slot_row[slot]
+        miss = np.flatnonzero(self.slot_key[slot] != h)
+        if len(miss):
+            distinct, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            if self.rows and self.rows + len(distinct) > self.max_words:
+                self.clear()
+                return self._slice(texts)
+            found = self._find(distinct)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                data, began = b.tobytes(), self.rows
+                self._add(distinct[new], [data[s[f] : s[f] + m[f]].decode() for f in miss[first[new]].tolist()])
+                found[new] = np.arange(began, self.rows)
+            rows[miss] = found[back]
+            self.slot_key[slot[miss]], self.slot_row[slot[miss]] = h[miss], rows[miss]
         width = self.len[rows].astype(np.int64)
         ends = np.cumsum(width)
         total = int(ends[-1])
