@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.plans import cases, dashboards, graphs, queues, reads, retrieval, texts  # noqa: F401  they register their queries
+from casewright.plans import cases, dashboards, filtering, graphs, judgments, queues, reads, retrieval, texts  # noqa: F401  they register their queries
 from casewright.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -122,3 +122,57 @@ def read_only_sql(text: str) -> bool:
     if not re.match(r"(?is)^(select|with)\b", body) or ";" in body:
         return False
     return not re.search(r"(?is)\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|copy|call|do|execute)\b|\bselect\b.*\binto\b", body)
+
+
+def read_only(sql: Column) -> Column:
+    """:func:`read_only_sql` for a column of statements."""
+    body = F.btrim(F.regexp_replace(F.btrim(sql), r"[;\s]+$", ""))
+    writes = body.rlike(r"(?is)\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|copy|call|do|execute)\b|\bselect\b.*\binto\b")
+    return body.rlike(r"(?is)^(select|with)\b") & ~F.contains(body, F.lit(";")) & ~writes
+
+
+def unit_or_children(rows: DataFrame, column: str, tree: DataFrame, unit: int) -> DataFrame:
+    """Rows of a unit or of its direct children. tree: (unit, parent)."""
+    units = tree.where(F.col("parent") == unit).select(F.col("unit").alias("__unit")).union(tree.sparkSession.range(unit, unit + 1).select("id")).distinct()
+    return rows.join(units, rows[column] == units["__unit"], "left_semi")
+
+
+def wiki(asked: dict[str, object]) -> Column:
+    """Articles of a status, ``approved`` if none is asked, whose court level is the asked one or none."""
+    status = F.col("status").isin(asked["statuses"]) if asked.get("statuses") else F.col("status") == "approved"
+    level = F.lower(F.coalesce(F.col("court_level"), F.lit("")))
+    return all_of(status, level.isin("", str(asked["court_level"]).lower()) if asked.get("court_level") else None)
+
+
+def review(asked: dict[str, object]) -> Column:
+    """Review rows by equal columns and a least priority."""
+    same = [F.col(k) == F.lit(v) for k, v in asked.items() if k != "min_priority" and v not in (None, "")]
+    return all_of(*same, F.col("priority") >= asked["min_priority"] if asked.get("min_priority") is not None else None)
+
+
+def feedback(asked: dict[str, object], user: int, admin: bool) -> Column:
+    """Feedback rows; others' rows only for administrators."""
+    kinds = [F.col(k) == F.lit(asked[k]) for k in ("feedback_type", "level") if asked.get(k)]
+    done = F.col("resolved") == (str(asked["resolved"]).lower() == "true") if asked.get("resolved") is not None else None
+    return all_of(None if admin else F.col("user_id") == user, *kinds, done)
+
+
+def audit(asked: dict[str, object]) -> Column:
+    """Audit rows by action, user, entity and both ends of a time span."""
+    same = [F.col(k) == F.lit(asked[k]) for k in ("action", "user_id", "entity_type", "entity_id") if asked.get(k) not in (None, "")]
+    span = [F.col("created_at") >= F.lit(asked["from"]).cast("timestamp") if asked.get("from") else None, F.col("created_at") <= F.lit(asked["to"]).cast("timestamp") if asked.get("to") else None]
+    return all_of(*same, *span)
+
+
+def echo(asked: dict[str, object], integers: set[str] = frozenset()) -> dict[str, list[str]]:
+    """Filters as understood: lower case, sorted, blanks and non-integers dropped; commercial safety always shows."""
+    out = {}
+    for name, value in asked.items():
+        if name == "commercial_safe":
+            out[name] = ["false" if str(value).lower() == "false" else "true"]
+            continue
+        words = sorted({str(v).strip().lower() for v in (value if isinstance(value, (list, tuple)) else [value]) if v is not None})
+        words = [w for w in words if w and (name not in integers or w.lstrip("-").isdigit())]
+        if words:
+            out[name] = words
+    return out
