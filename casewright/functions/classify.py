@@ -80,3 +80,54 @@ def loose_bool(c: Column) -> Column:
 def loose_int(c: Column) -> Column:
     """Integers through doubles, so that "9.0" is 9."""
     return c.try_cast("double").try_cast("int")
+
+
+# What a question's wording implies; the first that occurs counts, tags all do.
+STATUTES = [("ndps", "NDPS"), ("pocso", "POCSO"), ("ipc", "IPC"), ("bns", "BNS"), ("crpc", "CrPC"), ("bnss", "BNSS")]
+COURTS = [(("sessions court",), "sessions"), (("magistrate",), "magistrate"), (("trial court", "district court"), "district")]
+SOURCES = [(("indian kanoon",), "indian_kanoon"), (("ecourts", "e-courts"), "ecourts"), (("hldc",), "hldc"), (("ddl",), "ddl")]
+TAGS = [(("section 50",), "section_50_ndps"), (("search", "seizure"), "search_and_seizure"), (("chain of custody", "seal"), "chain_of_custody"), (("independent witness",), "independent_witness"), (("fsl", "forensic"), "forensic_evidence"), (("hostile witness",), "hostile_witness")]
+
+
+def _any_of(c: Column, words: tuple[str, ...] | str) -> Column:
+    out = F.lit(False)
+    for w in (words,) if isinstance(words, str) else words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def _first_of(c: Column, table: list) -> Column:
+    return F.coalesce(*(F.when(_any_of(c, words), F.lit(name)) for words, name in table))
+
+
+def inferred(question: Column) -> Column:
+    """struct(statute, section, court_level, source_name, tags) that a question's wording implies."""
+    q = F.lower(question)
+    return F.struct(
+        _first_of(q, STATUTES).alias("statute"),
+        F.nullif(F.regexp_extract(q, r"section\s+([0-9]{1,4}[a-z]?)", 1), F.lit("")).alias("section"),
+        _first_of(q, COURTS).alias("court_level"),
+        _first_of(q, SOURCES).alias("source_name"),
+        F.array_compact(F.array(*(F.when(_any_of(q, words), F.lit(tag)) for words, tag in TAGS))).alias("tags"),
+    )
+
+
+def sensitivity(categories: Column, flags: Column, restricted: list[str]) -> Column:
+    return F.when(F.arrays_overlap(categories, F.array(*(F.lit(c) for c in restricted))) | (F.size(flags) > 0), "RESTRICTED").otherwise("INTERNAL")
+
+
+# Case status by outcome of an attempt; pairs of source and outcome come first.
+BY_SOURCE = {("ecourts", "hit"): "ecourts_hit", ("indian_kanoon", "hit"): "ik_hit", ("indian_kanoon", "miss"): "ik_miss", ("ecourts", "rate_limited"): "ecourts_pending"}
+BY_OUTCOME = {"hit": "text_ready", "rate_limited": "ik_pending", "captcha_required": "ecourts_pending", "blocked_by_policy": "blocked", "captcha_failed": "blocked", "http_error": "dead", "ocr_failed": "dead"}
+
+
+def case_status(source: Column, outcome: Column) -> Column:
+    both = F.create_map(*(F.lit(x) for (s, o), status in BY_SOURCE.items() for x in (f"{s} {o}", status)))
+    one = F.create_map(*(F.lit(x) for pair in BY_OUTCOME.items() for x in pair))
+    return F.coalesce(both[F.concat_ws(" ", source, outcome)], one[outcome], F.lit("targeted"))
+
+
+def candidate(body: Column, number: Column, least: float = 0.90) -> Column:
+    """struct(confidence, accepted): 0.98 where the case number stands in the body, else 0.50."""
+    sure = F.when(F.contains(F.upper(body), F.upper(number)), 0.98).otherwise(0.50)
+    return F.struct(sure.alias("confidence"), (sure >= least).alias("accepted"))

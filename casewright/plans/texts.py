@@ -94,11 +94,6 @@ def txt_chunk(spark, d):
     return chunking.chunks(_docs(spark, d))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), 'pattern|trend|how many') AS hit FROM conversations")
-def cls_infer(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike("pattern|trend|how many").alias("hit"))
-
-
 @query()
 def cls_query(spark, d):
     """The plan of every message read as a question."""
