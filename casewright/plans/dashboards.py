@@ -104,10 +104,10 @@ def agg_ingest_volume(spark, d):
     return with_now(events(spark, d)).where("to_date(ts) > date_sub(to_date(now), 10)").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("documents"), F.sum(F.length("props")).alias("bytes"), F.count_if(F.col("event_type") == "error").alias("failed"))
 
 
-@query(f"WITH {NOW_SQL}, w AS (SELECT user_id % 5 AS source, count(*) FILTER (ts >= t - INTERVAL 6 HOUR) AS total, count(*) FILTER (ts >= t - INTERVAL 6 HOUR AND event_type IN ('error','view','click')) AS checks, count(*) FILTER (ts >= t - INTERVAL 6 HOUR AND event_type = 'error') AS failures, count(*) FILTER (ts >= t - INTERVAL 6 HOUR AND event_type = 'signup') AS limited, count(*) FILTER (ts >= date_trunc('day', t)) AS today FROM events, now GROUP BY 1) SELECT *, CASE WHEN today >= 90 THEN 'daily_fetch_limit_reached' WHEN (checks > 0 AND failures / checks > 0.2) OR (total > 0 AND limited / total > 0.1) THEN 'stop_window_triggered' END AS reason FROM w")
+@query(f"WITH {NOW_SQL}, w AS (SELECT user_id % 5 AS source, count(*) FILTER (ts >= t - INTERVAL 1 HOUR) AS total, count(*) FILTER (ts >= t - INTERVAL 1 HOUR AND event_type IN ('error','view','click')) AS checks, count(*) FILTER (ts >= t - INTERVAL 1 HOUR AND event_type = 'error') AS failures, count(*) FILTER (ts >= t - INTERVAL 1 HOUR AND event_type = 'signup') AS limited, count(*) FILTER (ts >= date_trunc('day', t)) AS today FROM events, now GROUP BY 1) SELECT *, CASE WHEN today >= 90 THEN 'daily_fetch_limit_reached' WHEN (checks > 0 AND failures / checks > 0.2) OR (total > 0 AND limited / total > 0.1) THEN 'stop_window_triggered' END AS reason FROM w")
 def agg_window_stats(spark, d):
     """Rates of the last hours and today's count decide whether a source pauses."""
-    recent = F.expr("ts >= now - INTERVAL 6 HOURS")
+    recent = F.expr("ts >= now - INTERVAL 1 HOURS")
     kind = F.col("event_type")
     w = with_now(events(spark, d)).groupBy((F.col("user_id") % 5).alias("source")).agg(F.count_if(recent).alias("total"), F.count_if(recent & kind.isin("error", "view", "click")).alias("checks"), F.count_if(recent & (kind == "error")).alias("failures"), F.count_if(recent & (kind == "signup")).alias("limited"), F.count_if(F.expr("ts >= date_trunc('day', now)")).alias("today"))
     over = F.coalesce(F.try_divide("failures", "checks") > 0.2, F.lit(False)) | F.coalesce(F.try_divide("limited", "total") > 0.1, F.lit(False))

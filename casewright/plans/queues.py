@@ -34,7 +34,7 @@ def st_retry(spark, d):
     return jobs(spark, d).where("status = 'RETRYING'").select("job_id", lifecycle.backoff(F.col("attempt")).alias("wait"))
 
 
-@query("WITH s AS (SELECT event_id, ['VALIDATE','SPLIT','NORMALIZE','CONVERT','METADATA','REDACT','TRANSLATE','CHUNK','EMBED','KG_EXTRACT'] AS steps, event_id % 10 + 1 AS k, event_id % 3 = 0 AS g FROM events) SELECT event_id, steps[k] AS step, CASE WHEN steps[k] = 'EMBED' AND NOT g THEN NULL ELSE steps[k + 1] END AS following FROM s")
+@query("WITH s AS (SELECT event_id, ['VALIDATE','SPLIT','NORMALIZE','CONVERT','METADATA_EXTRACT','REDACT','TRANSLATE','CHUNK','EMBED','KG_EXTRACT'] AS steps, event_id % 10 + 1 AS k, event_id % 3 = 0 AS g FROM events) SELECT event_id, steps[k] AS step, CASE WHEN steps[k] = 'EMBED' AND NOT g THEN NULL ELSE steps[k + 1] END AS following FROM s")
 def st_pipeline(spark, d):
     step = F.get(F.array(*(F.lit(x) for x in lifecycle.STEPS)), (F.col("event_id") % 10).cast("int"))
     return table(spark, d, "events").select("event_id", step.alias("step"), lifecycle.next_step(step, F.col("event_id") % 3 == 0).alias("following"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The step that follows each step.
-STEPS = ["VALIDATE", "SPLIT", "NORMALIZE", "CONVERT", "METADATA", "REDACT", "TRANSLATE", "CHUNK", "EMBED", "KG_EXTRACT"]
+STEPS = ["VALIDATE", "SPLIT", "NORMALIZE", "CONVERT", "METADATA_EXTRACT", "REDACT", "TRANSLATE", "CHUNK", "EMBED", "KG_EXTRACT"]
 
 
 def next_step(step: Column, with_graph: Column) -> Column:
