@@ -70,3 +70,82 @@ def windows(stream: DataFrame, at: str, delay: str, width: str, slide: str | Non
 
 def sessions(stream: DataFrame, at: str, delay: str, gap: str) -> DataFrame:
     return timed(stream, at).withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+
+
+def retried(jobs: DataFrame, most: int = 3) -> DataFrame:
+    """Failed jobs wait longer each time, and after ``most`` attempts are dead. jobs: status, attempt."""
+    failed = F.col("status") == "FAILED"
+    dead = failed & (F.col("attempt") + 1 >= most)
+    return jobs.withColumns({"status": F.when(dead, "DEAD_LETTER").when(failed, "RETRYING").otherwise(F.col("status")), "wait": F.when(failed & ~dead, backoff(F.col("attempt")))})
+
+
+def queued(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Upsert of queue rows: the greater priority stays, metadata is merged, failed or forced rows wait again.
+
+    old, new: case_id, source, priority, status, note; new also forced.
+    """
+    j = old.alias("o").join(new.alias("n"), ["case_id", "source"], "full")
+    again = F.col("o.status").isNull() | F.col("o.status").isin("failed", "dead") | F.coalesce("n.forced", F.lit(False))
+    status = F.when(F.col("n.status").isNull(), F.col("o.status")).when(again, "pending").otherwise(F.col("o.status"))
+    return j.select("case_id", "source", F.greatest("o.priority", "n.priority").alias("priority"), status.alias("status"), F.coalesce("n.note", "o.note").alias("note"))
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Children of each parent that comes anew are exchanged as a whole."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def transition(rows: DataFrame, allowed: dict[str, list[str]], wanted: str) -> DataFrame:
+    """``status`` moves to the wanted one where that is allowed; ``error`` says why not. rows: status, wanted."""
+    table = F.create_map(*(x for k, v in allowed.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))
+    ok = F.coalesce(F.array_contains(F.try_element_at(table, F.col("status")), F.col(wanted)), F.lit(False))
+    return rows.withColumns({"error": F.when(~ok, F.concat(F.col("status"), F.lit(" cannot become "), F.col(wanted))), "status": F.when(ok, F.col(wanted)).otherwise(F.col("status"))})
+
+
+def guarded(rows: DataFrame, guards: list[tuple[str, Column]]) -> Column:
+    """Name of the first guard that fails, null if all hold."""
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in guards))
+
+
+def reprocessed(docs: DataFrame, jobs: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(jobs after open ones of the chosen documents are cancelled, new VALIDATE jobs) for at most ``most`` documents by id.
+
+    docs: document_id; jobs: job_id, document_id, step, status.
+    """
+    chosen = docs.select("document_id").distinct().orderBy("document_id").limit(most)
+    hit = jobs.join(chosen.withColumn("__hit", F.lit(True)), "document_id", "left")
+    open_ = F.col("status").isin("PENDING", "RETRYING", "PROCESSING") & F.col("__hit").isNotNull()
+    after = hit.withColumn("status", F.when(open_, "CANCELLED").otherwise(F.col("status"))).drop("__hit")
+    return after, chosen.select("document_id", F.lit("VALIDATE").alias("step"), F.lit("PENDING").alias("status"))
+
+
+def acquired(queue: DataFrame, paused: DataFrame, now: Column, n: int) -> DataFrame:
+    """Due rows of sources that aren't paused. queue: id, source, status, priority, due_at; paused: source."""
+    due = queue.where(F.col("status").isin("pending", "retry") & (F.col("due_at") <= now))
+    return due.join(paused.select("source").distinct(), "source", "left_anti").orderBy(F.desc("priority"), "due_at", "id").limit(n)
+
+
+def seeded(targets: DataFrame, queue: DataFrame, plan: list[tuple[str, int]]) -> DataFrame:
+    """A row for each source of the plan and each target that is not queued. targets: case_id; queue: case_id."""
+    new = targets.select("case_id").join(queue.select("case_id").distinct(), "case_id", "left_anti")
+    steps = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(p).alias("priority"), F.lit(k + 1).alias("place")) for k, (s, p) in enumerate(plan)))
+    return new.select("case_id", F.explode(steps).alias("s")).select("case_id", "s.*")
+
+
+def stored(artifacts: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new documents, a VALIDATE job for each) of artifacts whose content is not known. Both have sha."""
+    new = artifacts.join(known.select("sha"), "sha", "left_anti").groupBy("sha").agg(F.min("artifact_id").alias("artifact_id"))
+    return new, new.select("artifact_id", F.lit("VALIDATE").alias("step"), F.lit("PENDING").alias("status"))
+
+
+def text_ready(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """A case with a text artifact is ``text_ready`` unless blocked or dead. cases: case_id, status; artifacts: case_id, kind."""
+    has = artifacts.where("kind = 'text'").select("case_id").distinct().withColumn("__has", F.lit(True))
+    ready = F.col("__has").isNotNull() & ~F.col("status").isin("blocked", "dead")
+    return cases.join(has, "case_id", "left").withColumn("status", F.when(ready, "text_ready").otherwise(F.col("status"))).drop("__has")
+
+
+def overdue(tasks: DataFrame, now: Column, n: int = 50) -> DataFrame:
+    """The oldest open tasks past their due time. tasks: task_id, status, due_at."""
+    late = F.col("status").isin("PENDING", "IN_PROGRESS") & (F.col("due_at") < now)
+    return tasks.where(late).orderBy("due_at", "task_id").limit(n)
