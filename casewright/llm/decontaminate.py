@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.resident import forget
 from casewright.llm.words import as_bytes, ngrams, shingle_hashes, slices, texts_words, word_hashes
 
 SEED = 3
@@ -105,6 +106,7 @@ def matches(words: np.ndarray, pos: np.ndarray, seeds: np.ndarray, items: Items,
 
 def _search(docs: DataFrame, items: Items, min_seeds: int, min_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), batch.column(0).to_pylist()
             out = []

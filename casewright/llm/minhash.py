@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.components import extended
+from casewright.llm.resident import forget
 from casewright.llm.storage import materialize, release
 from casewright.llm.words import as_bytes, mix, shingle_hashes, slices, texts_words
 
@@ -108,6 +109,7 @@ def signatures(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: st
     """Set size, 128-bit set fingerprint, sketch and band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         width = 2 * PERMUTATIONS // ROWS
         for batch in batches:
             texts = as_bytes(batch.column(1))
@@ -133,6 +135,7 @@ def full_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, f1, f2, set): every distinct shingle hash of each text, and the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for i, j in slices(texts):
@@ -170,6 +173,7 @@ def _held_against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (centre a, class b) with intersection, union and the maps of what b lacks and adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         size = np.uint64(64 * SKETCH)
         for batch in batches:
             rows = []

@@ -28,7 +28,9 @@ def only(name: str, make: Callable[[], T]) -> T:
 
 
 def forget() -> None:
-    """Let go of everything and give free memory back to the system."""
+    """Let go of everything and give free memory back to the system; stages without a model begin with it."""
+    if not _held:
+        return
     _held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
