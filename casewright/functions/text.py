@@ -108,6 +108,12 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
+def whole_trigrams(c: Column) -> Column:
+    """Distinct trigrams of the whole lower-case string, padded; blanks inside count."""
+    padded = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -84,6 +84,15 @@ def matches_all(docs: DataFrame, text: Column, must: list[str], should: list[str
     return docs.where(keep)
 
 
+def weighted(fields: dict[str, float], terms: list[str]) -> Column:
+    """Sum of the weights of the fields that hold any of the terms as a word."""
+    out = F.lit(0.0)
+    for name, weight in fields.items():
+        words = F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^0-9a-z]+")
+        out = out + F.when(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))), weight).otherwise(0.0)
+    return out
+
+
 def websearch(query: str) -> tuple[list[str], list[str], list[str]]:
     """(must, should, must not) of a query with quotes, OR and minus; phrases keep one blank between words."""
     must, should, without, either = [], [], [], False
