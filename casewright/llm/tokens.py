@@ -40,7 +40,7 @@ _BYTES = _byte_chars()
 class WordEncoder:
     """Cache of word ids; it starts anew beyond ``max_words`` distinct words."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
@@ -56,6 +56,8 @@ class WordEncoder:
 
     def _plain(self, word: str) -> list[int] | None:
         """Ids of lower-case Latin letters and signs after them; None for other words."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return [t.id for t in self.tokenize(word)]
         m = _SIMPLE.match(word)
         if not m:
             return None
