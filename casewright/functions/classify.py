@@ -13,10 +13,12 @@ PROFILES = [
     ("precedent_trace", 0.78, "precedent|followed|distinguished|overruled|binding|persuasive|later treatment"),
     ("doctrine", 0.72, "doctrine|principle|what is the law|section 50|legal test|requirement|applies to"),
 ]
+# Wording of questions about district data, of counts, of source texts, and of rankings.
 DISTRICT = "district court|district-court|trial court|sessions court|magistrate|cnr|ecourts|e-courts|ddl|hldc|indian kanoon|metadata|district metadata|text coverage|translation coverage|ocr coverage|redaction coverage|source performance|case volume"
 ANALYTICS = "how many|count|counts|volume|trend|dashboard|coverage|rate|percentage|distribution|by district|by state|by court|hit rate|miss rate|queue|quota|pending|disposed|disposition|delay|analytics|cnr list"
 SOURCE_TEXT = "cite|sample judgment|sample translated|find cases|which cases|source text|what did courts|why did|explain"
 AGGREGATE = "which sources|which districts|which court levels|which source|which district|which court level"
+# Wording that decides the intent of a count, in this order.
 INTENTS = [("source_performance", "source|hit rate|miss rate|queue|quota|indian kanoon|ecourts|e-courts|hldc|ddl"), ("outcomes", "outcome|disposition|conviction|acquittal|bail|disposed|pending"), ("volume", "volume|trend|year|month|filing|registration|decision|delay")]
 
 
@@ -33,15 +35,19 @@ def question_plan(question: Column) -> Column:
     return F.struct(profile.otherwise("case_specific").alias("profile"), F.when(district, "district_analytics").otherwise("triad_retrieval").alias("route"), confidence.otherwise(0.55).alias("confidence"), intent.otherwise("coverage").alias("intent"))
 
 
+# What parts a list text, and what a section number looks like.
+SEPARATORS, SECTION = r"[;,|]\s*|\n+", r"\b\d{2,4}[A-Z]?(?:-[A-Z])?\b"
+
+
 def tokens(c: Column) -> Column:
     """Items of a list text; none, nan and null drop out."""
-    parts = F.transform(F.split(c, r"[;,|]\s*|\n+"), lambda x: F.btrim(x))
+    parts = F.transform(F.split(c, SEPARATORS), lambda x: F.btrim(x))
     return F.filter(parts, lambda x: (x != "") & ~F.lower(x).isin("none", "nan", "null"))
 
 
 def sections(c: Column) -> Column:
     """Section numbers of a list text, or the items as they are; each once."""
-    found = F.transform(tokens(c), lambda x: F.when(F.upper(x).rlike(r"\b\d{2,4}[A-Z]?(?:-[A-Z])?\b"), F.regexp_extract_all(F.upper(x), F.lit(r"\b\d{2,4}[A-Z]?(?:-[A-Z])?\b"), 0)).otherwise(F.array(F.upper(x))))
+    found = F.transform(tokens(c), lambda x: F.when(F.upper(x).rlike(SECTION), F.regexp_extract_all(F.upper(x), F.lit(SECTION), 0)).otherwise(F.array(F.upper(x))))
     return F.array_distinct(F.flatten(found))
 
 

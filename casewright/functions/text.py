@@ -24,12 +24,15 @@ MASKS = {
     "[MASKED_ID]": r"\b[A-Z]{2,4}[/-]\d{3,8}\b",
     "[MASKED_PAN]": r"\b[A-Z]{5}\d{4}[A-Z]\b",
 }
-PROTECTED = {
-    "minor_identity": ["child_sexual_offence", "pocso", "child victim", "minor", "juvenile", "juvenile_justice", "jj act"],
-    "victim_identity": ["rape", "sexual_assault", "sexual_offence", "prosecutrix", "molest"],
-    "sexual_offence_detail": ["child_sexual_offence", "pocso", "child victim", "minor", "rape", "sexual_assault", "sexual_offence", "prosecutrix", "molest"],
-    "sealed_record": ["sealed", "in_camera", "in camera"],
-}
+# Words of an offence category and the flags that they imply.
+PROTECTED = (
+    (("child_sexual_offence", "pocso", "child victim", "minor"), ("minor_identity", "sexual_offence_detail")),
+    (("rape", "sexual_assault", "sexual_offence", "prosecutrix", "molest"), ("victim_identity", "sexual_offence_detail")),
+    (("juvenile", "juvenile_justice", "jj act"), ("minor_identity",)),
+    (("sealed", "in_camera", "in camera"), ("sealed_record",)),
+)
+# Markdown that is taken out, in this order, and what stays of it.
+MARKDOWN = ((r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"```[\s\S]*?```", ""), (r"`([^`]+)`", "$1"), (r"(?m)^[-*_]{3,}\s*$", ""))
 SCRIPTS = {"latin": "[^A-Za-z]", "devanagari": "[^ऀ-ॿ]", "tamil": "[^஀-௿]", "kannada": "[^ಀ-೿]"}
 
 
@@ -45,10 +48,24 @@ def redact(c: Column) -> tuple[Column, Column]:
 def protected_flags(categories: Column) -> Column:
     """Sorted flags whose keywords any category contains."""
 
-    def hit(words: list[str]) -> Column:
+    def hit(flag: str) -> Column:
+        words = [w for some, flags in PROTECTED if flag in flags for w in some]
         return F.exists(categories, lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w)) for w in words)))
 
-    return F.array_sort(F.array_compact(F.array(*(F.when(hit(words), F.lit(flag)) for flag, words in PROTECTED.items()))))
+    every = sorted({f for _, flags in PROTECTED for f in flags})
+    return F.array_sort(F.array_compact(F.array(*(F.when(hit(f), F.lit(f)) for f in every))))
+
+
+def sensitive_flags(*payloads: Column) -> Column:
+    """Sorted flags of JSON payloads: those they name, at the top or under judgment or district, and those of their offences."""
+
+    def gathered(name: str) -> Column:
+        paths = [f"$.{at}{name}" for at in ("", "judgment.", "district.")]
+        lists = [F.from_json(F.get_json_object(p, path), "array<string>") for p in payloads for path in paths]
+        return F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+    both = F.array_union(gathered("sensitive_data_flags"), protected_flags(gathered("offence_categories")))
+    return F.array_sort(F.filter(both, lambda f: f != ""))
 
 
 def redaction_status(flags: Column, hits: Column) -> Column:
@@ -75,7 +92,7 @@ def script(c: Column, chars: int = 5000) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    for pattern, by in ((r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"```[\s\S]*?```", ""), (r"`([^`]+)`", "$1"), (r"(?m)^[-*_]{3,}\s*$", "")):
+    for pattern, by in MARKDOWN:
         c = F.regexp_replace(c, pattern, by)
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -83,12 +83,49 @@ def test_fusion(spark):
     assert len(out) == 4 and out["c1"] == pytest.approx(0.56) and out["c4"] == pytest.approx(0.2)
 
 
-def test_chunks():
+def chunked(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = chunking.chunks(docs).orderBy("doc_id", "chunk").collect()
+    return [[(r.kind, r.heading, r.page_start, r.page_end, r.content) for r in rows if r.doc_id == k] for k in range(len(texts))]
+
+
+def test_chunks(spark):
     body = ("A sentence of words. " * 400).strip()
-    parts = chunking.cut(f"# Facts\n{body}")
-    assert len(parts) > 3 and all(h == "Facts" for _, h, _ in parts) and all(len(c) <= 10_000 for *_, c in parts)
     rows = "a|b|c\n" + "\n".join(f"{k}|x|y" for k in range(120))
-    assert [k for k, *_ in chunking.cut(rows)] == ["TABLE"] * 3
+    paged = "First page here, long enough to be a chunk of its own, I say.\fEvidence\n" + "x" * 60 + "\fFacts of it\n" + "y" * 60
+    marked = "Zero page, long enough to be a chunk of its own, I say again.\n<!-- PAGE 4 -->\n# Head\n" + "z" * 60
+    small = "# One\nlong enough to be a chunk of its own, I say once more, really\n# Two\ntiny"
+    a, b, c, d, e, f, g = chunked(spark, f"# Facts\n{body}", rows, paged, marked, small, None, " \n ")
+    assert len(a) > 3 and a[0][4].startswith("Facts\nA sentence") and all(h == "Facts" and len(x) <= 2048 + 300 for _, h, _, _, x in a)
+    assert all(x.startswith(y[-245:].strip()) for (*_, y), (*_, x) in zip(a[:-1], a[1:], strict=True) if len(y) > 245)
+    assert [x[0] for x in b] == ["TABLE"] * 3 and all(x[4].startswith("a|b|c\n") for x in b) and b[2][4].count("\n") == 20
+    assert [(h, p) for _, h, p, _, _ in c] == [("", 1), ("Evidence", 2), ("Facts of it", 3)]
+    assert d[0][2:4] == (1, 4) and d[1][:4] == ("NARRATIVE", "Head", 4, 4)
+    assert [x[4] for x in e] == ["One\nlong enough to be a chunk of its own, I say once more, really\nTwo\ntiny"]
+    assert f == g == []
+
+
+def test_chunk_parts_against_plain_python(spark):
+    """Packing by a loop over strings, for sizes that break everywhere."""
+    import random
+    import re
+
+    def loop(parts, glue, size, overlap):
+        out, now = [], ""
+        for p in parts:
+            if now and len(now) + len(p) + (2 if glue == "\n\n" else 0) > size:
+                out.append(now.strip())
+                now = (now[len(now) - overlap :] + glue if 0 < overlap < len(now) else "") + p
+            else:
+                now = now + glue + p if now else p
+        return [*out, now.strip()] if now.strip() else out
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "!"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    for size, overlap in ((30, 0), (30, 7), (80, 12)):
+        df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", chunking.by_sentences(F.col("t"), size, overlap).alias("x"))
+        for r in df.toLocalIterator():
+            assert r.x == loop(re.split(r"(?<=[.!?])\s+", texts[r.k]), " ", size, overlap)
 
 
 def test_graph_and_filters(spark):
