@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.text import terms, trigrams
+from casewright.functions.text import case_scope, scopes_match, terms, trigrams
 from casewright.shared import small
 
 # Boosts of wiki sources and graph paths by question profile.
@@ -167,3 +167,25 @@ def cached(entries: DataFrame, question: Column, preset: str, as_of: Column, lea
     """The most similar live entry of a preset, if similar enough. entries: (id, vec, preset, expires)."""
     near = entries.where((F.col("preset") == preset) & (F.col("expires") > as_of)).select("id", cosine(F.col("vec"), question).alias("similarity"))
     return near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(1)
+
+
+def scoped(hits: DataFrame, scope: str) -> DataFrame:
+    """(doc, chunk, status): hits that name the case, and hits of their documents that name none.
+
+    hits: (doc, chunk, signal).  Hits that name another case go; without any match all that name none stay.
+    """
+    signal = F.when(F.col("signal").isNotNull(), case_scope(F.col("signal")))
+    own = hits.withColumn("__hit", scopes_match(signal, F.lit(scope)))
+    match = own.where("__hit").select("doc", "chunk", F.lit("MATCH").alias("status"))
+    docs = match.select("doc").distinct()
+    silent = own.where("signal is null").select("doc", "chunk", F.lit("UNKNOWN").alias("status"))
+    return match.unionByName(silent.join(docs, "doc", "left_semi") if not match.isEmpty() else silent)
+
+
+def canonical(asked: Column, single: list[str]) -> Column:
+    """A map of lists as JSON with sorted keys and values; empty ones drop out, ``single`` keys hold one value."""
+    clean = F.transform_values(asked, lambda k, v: F.array_sort(F.filter(F.transform(v, lambda x: F.btrim(x)), lambda x: x != "")))
+    full = F.array_sort(F.map_entries(F.map_filter(clean, lambda k, v: F.size(v) > 0)))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    value = lambda e: F.when(e["key"].isin(single), quoted(e["value"][0])).otherwise(F.concat(F.lit("["), F.array_join(F.transform(e["value"], quoted), ","), F.lit("]")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(full, lambda e: F.concat(quoted(e["key"]), F.lit(":"), value(e))), ","), F.lit("}"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.shared import shared_dir
+
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; a byte-order mark goes from the first name."""
@@ -45,3 +49,41 @@ def page_links(pages: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, order: list, most: int = 10_000) -> None:
     """A bounded export; cells are quoted only where they must be."""
     df.orderBy(*order).limit(most).coalesce(1).write.csv(path, header=True, quoteAll=False, escape='"')
+
+
+def round_trip(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` in the shared folder as csv or json and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/casewright/{kind}-{uuid.uuid4().hex}"
+    df.write.format(kind).option("header", True).save(path)
+    return df.sparkSession.read.format(kind).option("header", True).load(path)
+
+
+def text_file(rows: DataFrame) -> str:
+    """Path of a text file in the shared folder with a line for each row (value)."""
+    path = f"{shared_dir(rows.sparkSession)}/casewright/text-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+def case_fields(page: Column) -> Column:
+    """map<label, value> of the two-column rows of a page; labels in lower case without colons."""
+    rows = F.regexp_extract_all(page, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
+    plain = lambda c: F.btrim(F.regexp_replace(c, "<[^>]+>", ""))
+    cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1))
+    pairs = F.transform(F.filter(cells, lambda c: F.size(c) == 2), lambda c: F.struct(F.btrim(F.regexp_replace(F.lower(plain(c[0])), r"\s*:$", "")).alias("key"), plain(c[1]).alias("value")))
+    return F.map_from_entries(pairs)
+
+
+def rules(spark: SparkSession, text: str) -> DataFrame:
+    """(category, sections) of a list of flat mappings, a small subset of YAML."""
+    out: list[dict] = []
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if line.startswith("- "):
+            out.append({})
+            line = line[2:]
+        name, _, value = line.strip().partition(":")
+        items = [v.strip().strip("'\"") for v in value.strip().strip("[]").split(",") if v.strip()]
+        out[-1][name] = items if value.strip().startswith("[") else "".join(items)
+    return spark.createDataFrame([(r["category"], r.get("sections", [])) for r in out], "category string, sections array<string>")
