@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,12 +100,18 @@ def strip_markdown(c: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Line breaks for br and p, tags gone, white space squeezed."""
+    """Line breaks for br and p, tags gone, all character references decoded, white space squeezed.
+
+    References are decoded in Arrow batches; Spark has no function for them.
+    """
+
+    @F.pandas_udf("string")
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
+
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)</p>", "\n\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(decoded(c), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def search_words(c: Column) -> Column:
@@ -187,7 +195,8 @@ def content_hash(c: Column) -> Column:
 
 def quality(c: Column) -> Column:
     """Share of printable characters less penalties; formatting and unassigned characters aren't printable."""
-    s = F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    blanks = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    s = F.regexp_replace(c, f"^{blanks}|{blanks}$", "")
     bad = F.length(F.regexp_replace(s, r"[^\p{C}&&[^\t\n\r\f\x0b\x1c-\x1f\x85]]", ""))
     lost, control = F.regexp_count(s, F.lit("�")), F.regexp_count(s, F.lit(r"[\x00-\x08\x0b\x0e-\x1f]"))
     n = F.length(s)

@@ -19,12 +19,13 @@ FAILURES_SQL = "failures AS (SELECT l_orderkey AS case_id, count(*) AS failed FR
 CASES_SQL = f"""{ARTIFACTS_SQL}, {FAILURES_SQL}, cases AS (SELECT o_orderkey AS case_id, r_regionkey AS state_code, r_name AS state_name, n_nationkey AS district_code, n_name AS district_name,
   o_orderpriority AS court_level, c_mktsegment AS case_type, CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderstatus END AS disposition, o_orderdate::DATE AS registration_date,
   CASE WHEN o_orderstatus <> 'O' THEN first_ship END AS decision_date, o_orderpriority <> '5-LOW' AS commercial_safe, o_totalprice AS amount,
+  'ws-' || (o_custkey % 2) AS workspace_id, CASE WHEN o_orderkey % 7 = 0 THEN 'BNS' ELSE 'IPC' END AS statute, (300 + o_orderkey % 3)::VARCHAR AS section, 'src' || (o_orderkey % 2) AS source_name, CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'restricted' END AS license_classification,
   coalesce(has_text, false) AS has_text, coalesce(ocr_required, false) AS ocr_required, coalesce(redacted, false) AS redacted, coalesce(translated, false) AS translated,
   coalesce(artifact_language, 'unknown') AS language, coalesce(failed, 0) AS failed, coalesce(offences, []) AS offences
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   LEFT JOIN artifacts a ON a.case_id = o_orderkey LEFT JOIN failures f ON f.case_id = o_orderkey)"""
-DIMS = ["fact_date", "state_code", "district_code", "court_level", "case_type", "offence", "disposition", "language", "commercial_safe"]
-FACTS_SQL = f"""{CASES_SQL}, facts AS (SELECT coalesce(decision_date, registration_date) AS fact_date, state_code, district_code, court_level, case_type, nullif(offences[1], '') AS offence, disposition, language, commercial_safe,
+DIMS = ["fact_date", "workspace_id", "state_code", "district_code", "court_level", "case_type", "statute", "section", "offence", "disposition", "language", "source_name", "license_classification", "commercial_safe"]
+FACTS_SQL = f"""{CASES_SQL}, facts AS (SELECT coalesce(decision_date, registration_date) AS fact_date, workspace_id, state_code, district_code, court_level, case_type, statute, section, nullif(offences[1], '') AS offence, disposition, language, source_name, license_classification, commercial_safe,
   count(*) AS metadata_cases, count(*) FILTER (amount > 200000) AS targets, count(*) FILTER (has_text) AS with_text, count(*) FILTER (ocr_required) AS with_ocr, count(*) FILTER (translated) AS with_translation,
   count(*) FILTER (redacted) AS with_redaction, sum(failed)::BIGINT AS failed_fetches,
   avg(date_diff('day', registration_date, decision_date)) AS avg_days, quantile_cont(date_diff('day', registration_date, decision_date), 0.95) AS p95_days
@@ -56,13 +57,15 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", F.col("r_regionkey").alias("state_code"), F.col("r_name").alias("state_name"), F.col("n_nationkey").alias("district_code"), F.col("n_name").alias("district_name"), F.col("o_orderpriority").alias("court_level"),
         F.col("c_mktsegment").alias("case_type"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")).alias("disposition"), F.col("o_orderdate").cast("date").alias("registration_date"),
         F.when(F.col("o_orderstatus") != "O", F.col("first_ship")).alias("decision_date"), (F.col("o_orderpriority") != "5-LOW").alias("commercial_safe"), F.col("o_totalprice").alias("amount"),
+        F.concat(F.lit("ws-"), F.col("o_custkey") % 2).alias("workspace_id"), F.when(F.col("o_orderkey") % 7 == 0, "BNS").otherwise("IPC").alias("statute"), (300 + F.col("o_orderkey") % 3).cast("string").alias("section"),
+        F.concat(F.lit("src"), F.col("o_orderkey") % 2).alias("source_name"), F.when(F.col("o_orderkey") % 2 == 0, "open").otherwise("restricted").alias("license_classification"),
         *(F.coalesce(c, off).alias(c) for c in ("has_text", "ocr_required", "redacted", "translated")), F.coalesce("artifact_language", F.lit("unknown")).alias("language"),
         F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"), F.coalesce("offences", F.array().cast("array<string>")).alias("offences"),
     )
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily facts; only a case's first offence counts, and the percentile is exact."""
+    """Daily facts of fourteen dimensions; only a case's first offence counts, and the percentile is exact."""
     days = F.datediff("decision_date", "registration_date")
     rows = cases(spark, sf_dir).select("*", F.coalesce("decision_date", "registration_date").alias("fact_date"), F.nullif(F.get("offences", F.lit(0)), F.lit("")).alias("offence"))
     return rows.groupBy(*DIMS).agg(
@@ -76,6 +79,24 @@ def agg_fact_refresh(spark, d):
     return facts(spark, d).withColumns({"avg_days": F.round("avg_days", 4), "p95_days": F.round("p95_days", 4)})
 
 
+@query(f"WITH {FACTS_SQL}, w AS (SELECT 'ws-' || k AS workspace_id FROM range(3) t(k)) SELECT w.workspace_id, coalesce(n, 0) AS fact_rows, coalesce(c, 0) AS cases FROM w LEFT JOIN (SELECT workspace_id, count(*) AS n, sum(metadata_cases)::BIGINT AS c FROM facts GROUP BY 1) f ON f.workspace_id = w.workspace_id")
+def agg_fact_log(spark, d):
+    """One log row a refreshed workspace; a workspace without cases logs 0."""
+    n = facts(spark, d).groupBy("workspace_id").agg(F.count("*").alias("n"), F.sum("metadata_cases").alias("c"))
+    w = spark.range(3).select(F.concat(F.lit("ws-"), "id").alias("workspace_id"))
+    zero = F.lit(0).cast("bigint")
+    return w.join(n, "workspace_id", "left").select("workspace_id", F.coalesce("n", zero).alias("fact_rows"), F.coalesce("c", zero).alias("cases"))
+
+
+@query(f"WITH {FACTS_SQL}, old AS (SELECT workspace_id, metadata_cases FROM facts WHERE fact_date < DATE '1997-01-01') SELECT workspace_id, count(*) AS fact_rows, sum(metadata_cases)::BIGINT AS cases FROM (SELECT * FROM old WHERE workspace_id <> 'ws-1' UNION ALL SELECT workspace_id, metadata_cases FROM facts WHERE workspace_id = 'ws-1') GROUP BY 1")
+def agg_fact_reload(spark, d):
+    """A refresh deletes a workspace's facts and loads them anew; other workspaces keep what they have."""
+    from casewright.streaming.lifecycle import replaced
+
+    f = facts(spark, d).select("workspace_id", "fact_date", "metadata_cases")
+    return replaced(f.where("fact_date < DATE '1997-01-01'"), f.where("workspace_id = 'ws-1'"), "workspace_id").groupBy("workspace_id").agg(F.count("*").alias("fact_rows"), F.sum("metadata_cases").alias("cases"))
+
+
 @query(f"WITH {FACTS_SQL} SELECT sum(metadata_cases)::BIGINT AS metadata_cases, sum(targets)::BIGINT AS targets, sum(with_text)::BIGINT AS with_text, sum(with_ocr)::BIGINT AS with_ocr, sum(with_translation)::BIGINT AS with_translation, sum(with_redaction)::BIGINT AS with_redaction, sum(failed_fetches)::BIGINT AS failed_fetches, count(DISTINCT state_code) AS states, round(avg(avg_days))::BIGINT AS avg_of_bucket_avg_days, round(max(p95_days))::BIGINT AS max_of_bucket_p95_days, round(sum(avg_days * metadata_cases) FILTER (avg_days IS NOT NULL) / sum(metadata_cases) FILTER (avg_days IS NOT NULL), 4) AS weighted_avg_days FROM facts WHERE commercial_safe")
 def agg_summary(spark, d):
     """Totals of the facts; averages of bucket averages as dashboards show them, and a weighted one."""

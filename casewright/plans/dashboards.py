@@ -60,15 +60,24 @@ def agg_top_users(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count("*").alias("runs"), F.max("ts").alias("newest")).orderBy(F.desc("runs"), "user_id").limit(10)
 
 
-@query("SELECT 'all' AS kind, 'total' AS key, count(*) AS n FROM events UNION ALL SELECT 'type', event_type, count(*) FROM events GROUP BY event_type UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), count(*) FROM events GROUP BY 2 UNION ALL SELECT 'users', 'distinct', count(DISTINCT user_id) FROM events")
+MODELS_SQL = "m AS (SELECT *, CASE user_id % 4 WHEN 0 THEN 'Gemini-pro' WHEN 1 THEN 'gpt-x' WHEN 2 THEN 'o1' ELSE 'local' END AS model FROM events)"
+
+
+@query(f"""WITH {MODELS_SQL}, combined AS (SELECT 'hosted' AS provider, model, count(*) AS calls, avg(value) AS latency FROM m WHERE event_type = 'click' GROUP BY ALL UNION ALL SELECT 'hosted', model, count(*), avg(value) FROM m WHERE event_type = 'purchase' GROUP BY ALL UNION ALL SELECT 'worker', 'unknown', count(*), avg(value) FROM m WHERE event_type = 'error' UNION ALL
+SELECT CASE WHEN model ILIKE 'gemini%' THEN 'gemini' WHEN model ILIKE 'gpt%' OR model ILIKE 'o%' THEN 'openai' ELSE 'worker' END, model, count(DISTINCT user_id), NULL FROM m WHERE event_type = 'view' GROUP BY ALL)
+SELECT provider, model, sum(calls)::BIGINT AS calls, round(avg(latency))::BIGINT AS avg_latency FROM combined GROUP BY ALL""")
 def agg_llm_usage(spark, d):
-    """Several rollups as one long frame."""
-    e = events(spark, d)
+    """Four rollups of model calls as one: averages are averages of the rollups' averages, and providers are inferred where only the model is known."""
+    name = F.get(F.array(*(F.lit(x) for x in ("Gemini-pro", "gpt-x", "o1", "local"))), (F.col("user_id") % 4).cast("int"))
+    e = events(spark, d).withColumn("model", name)
 
-    def part(kind: str, key, n) -> DataFrame:
-        return e.groupBy(key.alias("key")).agg(n.alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    def rollup(kind: str, provider, model, latency: bool = True) -> DataFrame:
+        calls = F.count("*") if latency else F.count_distinct("user_id")
+        return e.where(F.col("event_type") == kind).groupBy(provider.alias("provider"), model.alias("model")).agg(calls.alias("calls"), (F.avg("value") if latency else F.max(F.lit(None).cast("double"))).alias("latency"))
 
-    return part("all", F.lit("total"), F.count("*")).unionByName(part("type", F.col("event_type"), F.count("*"))).unionByName(part("day", F.date_format("ts", "yyyy-MM-dd"), F.count("*"))).unionByName(part("users", F.lit("distinct"), F.count_distinct("user_id")))
+    inferred = F.when(F.col("model").ilike("gemini%"), "gemini").when(F.col("model").ilike("gpt%") | F.col("model").ilike("o%"), "openai").otherwise("worker")
+    both = rollup("click", F.lit("hosted"), F.col("model")).unionByName(rollup("purchase", F.lit("hosted"), F.col("model"))).unionByName(rollup("error", F.lit("worker"), F.lit("unknown"))).unionByName(rollup("view", inferred, F.col("model"), latency=False))
+    return both.groupBy("provider", "model").agg(F.sum("calls").alias("calls"), F.round(F.avg("latency")).cast("bigint").alias("avg_latency"))
 
 
 @query("SELECT ts::DATE AS day, event_type AS level, count(*) AS n FROM events GROUP BY ALL")

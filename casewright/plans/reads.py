@@ -139,11 +139,14 @@ def rd_tasks(spark, d):
     return table(spark, d, "events").where(F.col("event_type").isin("click", "error") & (F.col("value") < 50)).groupBy(F.col("event_type").alias("role")).agg(F.count("*").alias("open"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_name IS NULL THEN 'missing' WHEN p_size > 40 THEN 'too large' WHEN p_type = 'ECONOMY' THEN 'type not allowed' WHEN sha256(p_name) <> sha256(trim(p_name)) THEN 'checksum differs' END AS reason FROM part")
+@query("SELECT doc_id AS id, CASE WHEN text IS NULL THEN 'missing' WHEN n_chars > 20000 THEN 'too large' WHEN lang = 'fr' THEN 'type not allowed' WHEN doc_id % 9 = 0 THEN 'checksum differs' END AS reason FROM documents")
 def val_document(spark, d):
-    """Why a file is refused, null if it passes; the first reason counts."""
-    reason = F.when(F.col("p_name").isNull(), "missing").when(F.col("p_size") > 40, "too large").when(F.col("p_type") == "ECONOMY", "type not allowed").when(F.sha2("p_name", 256) != F.sha2(F.trim("p_name"), 256), "checksum differs")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), reason.alias("reason"))
+    """Why a file is refused, null if it passes; the first reason counts.  Every ninth was cut after its checksum was taken."""
+    docs = table(spark, d, "documents")
+    stated = F.sha2("text", 256)
+    found = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    reason = F.when(F.col("text").isNull(), "missing").when(F.col("n_chars") > 20_000, "too large").when(F.col("lang") == "fr", "type not allowed").when(F.sha2(found, 256) != stated, "checksum differs")
+    return docs.select(F.col("doc_id").alias("id"), reason.alias("reason"))
 
 
 @query("WITH n AS (SELECT p_partkey AS id, (p_size * 3)::BIGINT AS pages, least(ceil(p_retailprice / 250)::BIGINT, p_size * 3) AS parts FROM part), e AS (SELECT id, pages, ceil(pages / parts)::BIGINT AS each, unnest(generate_series(1, parts)) AS part FROM n) SELECT id, part, (part - 1) * each + 1 AS first, least(part * each, pages) AS last FROM e WHERE (part - 1) * each < pages")

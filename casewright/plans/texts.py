@@ -76,10 +76,15 @@ def src_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '[?&]page=([0-9]+)', 1) AS page FROM pages")
+KEYS_SQL = "k AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 's3://bucket/data/year=2018/court=9_13/' || p_partkey || '.PDF' WHEN 1 THEN ' /data/court=' || p_size || '/x.pdf' WHEN 2 THEN 'data/../x.pdf' WHEN 3 THEN 'meta/year=2018/x.pdf' ELSE 'data/x.tar' END AS raw, p_size FROM part)"
+
+
+@query(f"WITH {KEYS_SQL} SELECT id, CASE p_size % 5 WHEN 0 THEN 'data/year=2018/court=9_13/' || id || '.PDF' WHEN 1 THEN 'data/court=' || p_size || '/x.pdf' END AS key, CASE p_size % 5 WHEN 0 THEN 2018 END AS year, CASE p_size % 5 WHEN 0 THEN '9_13' WHEN 1 THEN p_size::VARCHAR END AS court, CASE p_size % 5 WHEN 2 THEN 'invalid key' WHEN 3 THEN 'not under data/' WHEN 4 THEN 'not a PDF' END AS error FROM k")
 def src_s3key(spark, d):
-    """Parts of a key by pattern."""
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), F.regexp_extract("url", r"[?&]page=([0-9]+)", 1).alias("page"))
+    """Object keys: where they come from goes, what may be read, and year and court of their partitions."""
+    n, key = F.col("p_size") % 5, F.col("p_partkey").cast("string")
+    raw = F.when(n == 0, F.concat(F.lit("s3://bucket/data/year=2018/court=9_13/"), key, F.lit(".PDF"))).when(n == 1, F.concat(F.lit(" /data/court="), F.col("p_size").cast("string"), F.lit("/x.pdf"))).when(n == 2, "data/../x.pdf").when(n == 3, "meta/year=2018/x.pdf").otherwise("data/x.tar")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), readers.object_key(raw, "bucket").alias("k")).select("id", "k.*")
 
 
 @query()

@@ -87,3 +87,14 @@ def rules(spark: SparkSession, text: str) -> DataFrame:
         items = [v.strip().strip("'\"") for v in value.strip().strip("[]").split(",") if v.strip()]
         out[-1][name] = items if value.strip().startswith("[") else "".join(items)
     return spark.createDataFrame([(r["category"], r.get("sections", [])) for r in out], "category string, sections array<string>")
+
+
+def object_key(raw: Column, bucket: str) -> Column:
+    """struct(key, year, court, error) of an object's address; the key is null where it may not be read."""
+    k = F.btrim(raw)
+    for pattern in (r"^https://[^/]+\.s3(?:[.-][^/]+)?\.amazonaws\.com/", r"^s3://[^/]+/", f"^{bucket}/", "^/+"):
+        k = F.regexp_replace(k, pattern, "")
+    error = F.when((k == "") | k.rlike(r"\.\.|[?#]"), "invalid key").when(~F.startswith(k, F.lit("data/")), "not under data/").when(~F.lower(k).endswith(".pdf"), "not a PDF")
+    part = lambda p: F.when(error.isNull(), F.nullif(F.regexp_extract(k, p, 1), F.lit("")))
+    court = part(r"(?:^|/)court=([^/]+)(?:/|$)")
+    return F.struct(F.when(error.isNull(), k).alias("key"), part(r"(?:^|/)year=(\d{4})(?:/|$)").cast("int").alias("year"), F.url_decode(court).alias("court"), error.alias("error"))
