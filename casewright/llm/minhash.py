@@ -43,7 +43,7 @@ from casewright.llm.storage import materialize, release
 from casewright.llm.words import as_bytes, mix, shingle_hashes, slices, texts_words
 
 PERMUTATIONS, ROWS, SKETCH = 256, 8, 8
-SPLIT = 2000
+SPLIT, SHARES = 2000, 16
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -276,9 +276,10 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
     spark = docs.sparkSession
     sig = materialize(signatures(docs, n, id_col, text_col), "signatures")
     whole = sig.where("doc is not null").groupBy("doc").agg(F.max(F.struct("n", "f1", "f2")).alias("s")).select("doc", "s.*")
-    classes = whole.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
-    member = materialize(whole.join(classes, ["n", "f1", "f2"], "left").select("doc", "n", "f1", "f2", F.coalesce("rep", "doc").alias("rep")), "classes")
-    reps = materialize(sig.join(member.where("doc = rep and n > 0"), ["doc", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc"]), "representatives")
+    whole = materialize(whole, "documents")
+    classes = materialize(whole.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    alone = classes.select(F.col("rep").alias("doc"), "n", "f1", "f2")
+    reps = materialize(sig.join(alone, ["doc", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc"]), "representatives")
     nameless = sig.where("doc is null").select("doc", "n", F.lit(None).cast("bigint").alias("component"), F.lit(True).alias("keep"))
     # only buckets with company matter
     entries = reps.select("doc", "n", F.explode("bands").alias("bucket")).distinct()
@@ -287,7 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
     # a class in many and large buckets is near the middle of its group
     hubs = in_bucket.groupBy("doc").agg(F.sum("c").alias("hub"))
     in_bucket = materialize(in_bucket.join(hubs, "doc"), "hubs")
-    wanted = member.join(hubs.select("doc"), "doc", "left_semi").select(F.col("doc").alias("__w"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"))
+    wanted = alone.join(hubs.select("doc"), "doc", "left_semi").select(F.col("doc").alias("__w"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("__d"), F.col(text_col).alias("__t")).join(wanted, F.col("__d") == F.col("__w"), "left_semi")
     found = full_sets(texts, n, "__d", "__t")
     sets = materialize(found.join(wanted, (found["doc"] == wanted["__w"]) & (found["f1"] == wanted["__f1"]) & (found["f2"] == wanted["__f2"]), "left_semi").dropDuplicates(["doc"]), "sets")
@@ -317,11 +318,11 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, id_col: str
         now = materialize(labelled.where("c > 2").join(spread, "bucket", "left_semi"), "open")
         left = now.count()
         turn = turn + 1 if turn == 0 or left <= gain * before else -1
-    out = member.select("doc", "n", "rep")
-    if labels is not None:
-        out = out.join(labels, out["rep"] == labels["id"], "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
-    else:
-        out = out.withColumnRenamed("rep", "component")
+    labels = labels if labels is not None else spark.createDataFrame([], "id bigint, component bigint")
+    # copies take the label of their class; a class may hold a third of all rows and so meets them in several shares
+    shared = classes.where("copies > 1").join(labels, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    own = whole.withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int")).join(shared, ["n", "f1", "f2", "share"], "left")
+    out = own.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "n", F.coalesce("of_class", "component", "doc").alias("component"))
     out = materialize(out.withColumn("keep", F.col("doc") == F.col("component")).unionByName(nameless), "near")
     for done in (sig, reps, sets):
         release(spark, done)
