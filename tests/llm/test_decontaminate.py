@@ -68,3 +68,21 @@ def test_odd_rows(spark, odd, no_rows):
     assert {r.doc for r in decontaminate.contaminated(odd, items).toLocalIterator()} == {5, 6, 7, 20}
     assert decontaminate.contaminated(no_rows, items).count() == 0
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_corpus_against_the_full_table(spark, sf):
+    """Every item and document of up to 400 words that share two seeds, aligned as a whole."""
+    short = [(r.doc_id, (r.text or "").lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").toLocalIterator()]
+    short = [(i, w) for i, w in short if len(w) <= 400]
+    items = [(r.item_id, r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").toLocalIterator()]
+    seeds = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    want = set()
+    for i, w in short:
+        own = seeds(w)
+        for j, v in items:
+            if len(own & seeds(v)) >= 2 and brute_align(v, w) >= len(v):
+                want.add((i, j))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in short], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(j, " ".join(v)) for j, v in items], "item_id bigint, text string")
+    got = {(r.doc, r.item_id) for r in decontaminate.contaminated(docs, asked).toLocalIterator()}
+    assert got == want and want

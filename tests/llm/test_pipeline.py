@@ -26,6 +26,16 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in after.toLocalIterator()} == {i for i, w in brute_near(before, 5).items() if w[2]}
     before, after = seen["packing"]
     assert {r.doc_id for r in after.toLocalIterator()} == {i for i, _ in before}
+    # the whole run packs the same pieces
+    pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, whole.select(pieces).toLocalIterator())) == sorted(map(tuple, after.select(pieces).toLocalIterator()))
+    # what decontamination lets go holds a passage, by plain search for its words
+    before, after = seen["decontamination"]
+    left = {r.doc_id for r in after.toLocalIterator()}
+    items = [" ".join(r.text.lower().split()) for r in corpus_pipeline.table(spark, sf, "benchmark").toLocalIterator()]
+    copies = {i for i, t in before if any(f" {item} " in f" {' '.join((t or '').lower().split())} " for item in items)}
+    assert copies and not copies & left
 
 
 def test_odd_rows(spark, odd, no_rows, sf):
