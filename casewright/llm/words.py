@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 19
-_POW_N = 1 << 12
+_POW_N, _BASE = 1 << 12, 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 with np.errstate(over="ignore"):
-    _POW = np.multiply.accumulate(np.full(_POW_N, 0x9E3779B97F4A7C15, np.uint64))
+    _POW = np.multiply.accumulate(np.full(_POW_N, _BASE, np.uint64))
+    _UP = np.multiply.accumulate(np.full(3 * SLICE // 2, _BASE, np.uint64))
+    # the base is odd and so has an inverse modulo 2 ** 64
+    _DOWN = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(_UP) - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,9 +66,18 @@ def spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(b: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes; spans are in order and don't overlap."""
+    """64-bit hash of each span's bytes; spans are in order and don't overlap.
+
+    A span's hash is a polynomial in its bytes, taken from running sums over the
+    whole array; arrays and spans too long for the tables go byte by byte.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(b) <= len(_UP) and lens.max() <= _POW_N:
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
+        v = (sums[starts + lens] - sums[starts]) * _DOWN[starts]
+        return mix(v + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
     at = np.arange(int(lens.sum())) - np.repeat(first, lens)
     taken = b[at + np.repeat(starts, lens)]
