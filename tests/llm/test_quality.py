@@ -73,3 +73,17 @@ def test_held_out_labels(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     out = quality.judge(docs, labels.where("doc_id % 3 != 0")).join(labels.withColumnRenamed("doc_id", "doc"), "doc").where("doc % 3 = 0 and quality is not null").toPandas()
     assert ((out["score"] >= 0.5) == (out["quality"] == 1)).mean() > 0.85
+
+
+def test_node_arrays_against_a_recursive_walk():
+    rng = np.random.default_rng(4)
+    x = rng.random((800, 4))
+    trees = quality.boost(x, (x[:, 0] * x[:, 2] > 0.3).astype(float), [1, 0, 0, -1], rounds=12)
+
+    def walk(node: int, row: np.ndarray) -> float:
+        if trees.left[node] == node:
+            return trees.value[node]
+        return walk(trees.left[node] if row[trees.feature[node]] <= trees.cut[node] else trees.right[node], row)
+
+    want = [trees.start + sum(walk(root, row) for root in trees.roots) for row in x[:200]]
+    assert len(trees.roots) == 12 and np.allclose(trees.margin(x[:200]), want)

@@ -78,3 +78,15 @@ def test_damage_is_seen():
     for old, new in ((b"Content-Length: 7", b"Content-Length: 8"), (b"WARC/1.1", b"WARC/9.9"), (b"payload\r\n", b"paylOad\r\n"), (b"WARC-Date", b"X-Date")):
         with pytest.raises(warc.BadArchive):
             warc.parse_record(record.replace(old, new))
+
+
+def test_archives_as_files(spark, sf, tmp_path):
+    """Each row is a whole archive: as a file of its own it reads the same."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    made = warc.write_archives(pages, archive_bytes=50_000).collect()
+    assert len(made) > 1
+    for k, r in enumerate(made):
+        (tmp_path / f"{k:03}.warc.zst").write_bytes(r.content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(files).toLocalIterator()}
+    assert got == brute([(r.page_id, r.html) for r in pages.toLocalIterator()])
