@@ -88,10 +88,10 @@ def gr_review(spark, d):
     return table(spark, d, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0.05, 90).otherwise(50).alias("priority"))
 
 
-@query("SELECT l_partkey AS node, list_sort(list(DISTINCT l_orderkey)) AS documents FROM lineitem GROUP BY 1")
+@query("SELECT DISTINCT l_partkey AS node, l_orderkey AS document FROM lineitem")
 def gr_prov(spark, d):
-    """Where each node comes from."""
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("documents"))
+    """Where each node comes from, a row for each document."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("document")).distinct()
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 AND vec_id % 4 = 0 THEN ['vector', 'lexical', 'graph'] WHEN vec_id % 9 = 0 THEN ['vector', 'lexical'] WHEN vec_id % 4 = 0 THEN ['vector', 'graph'] ELSE ['vector'] END AS sources FROM embeddings WHERE vec_id < 30")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.registry import query, table
@@ -170,10 +171,11 @@ def rd_status(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("n_chars") > 5000, "SEARCHABLE").otherwise("CHUNK").alias("status"))
 
 
-@query("SELECT source, list(doc_id ORDER BY doc_id DESC) AS versions, max(doc_id) AS newest FROM documents GROUP BY 1")
+@query("SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) WHERE place <= 10")
 def rd_versions(spark, d):
-    """Versions of each source, newest first."""
-    return table(spark, d, "documents").groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("doc_id"))).alias("versions"), F.max("doc_id").alias("newest"))
+    """The ten newest versions of each source."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
+    return table(spark, d, "documents").select("source", "doc_id", place.alias("place")).where("place <= 10")
 
 
 @query("SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL")
