@@ -64,15 +64,14 @@ def txt_split_tr(spark, d):
     return plain.select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("least"), F.aggregate("s", F.lit(0), lambda n, x: n + F.length(x)).alias("chars"))
 
 
-NAMES_SQL = "SELECT s_name AS fragment, c_name AS name FROM supplier JOIN customer ON c_nationkey = s_nationkey"
-
-
 @query()
 def txt_seqmatch(spark, d):
-    """The customer of the same nation whose name is most like a supplier's; matching blocks lie outside of SQL."""
-    s = table(spark, d, "supplier").select(F.col("s_name").alias("fragment"), "s_nationkey")
-    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_nationkey")
-    return tables.best_matches(s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("fragment", "name"))
+    """The known name most like each shortened one, among those that share enough trigrams; matching blocks lie outside of SQL."""
+    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    cut = names.select("id", F.substr("name", F.lit(1), F.length("name") - 1).alias("name"))
+    near = search.trigram_join(cut, names, 0.3).select("a", "b")
+    named = near.join(cut.select(F.col("id").alias("a"), F.col("name").alias("fragment")), "a").join(names.select(F.col("id").alias("b"), "name"), "b")
+    return tables.best_matches(named.select("fragment", "name"))
 
 
 TRGM_SQL = "list_distinct(list_transform(range(1, length('  ' || lower({0}) || ' ') - 1), lambda i: substr('  ' || lower({0}) || ' ', i, 3)))"

@@ -60,14 +60,15 @@ def agg_doc_graph(spark, d):
     return edges(spark, d).groupBy(F.col("dst").alias("doc")).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("src")).alias("nodes"))
 
 
-@query(f"WITH {EDGES_SQL}, q AS (SELECT dst AS doc, count(*) AS n, count(*) FILTER (weight < 0.6) AS weak FROM edges GROUP BY 1), g AS (SELECT s_suppkey * 2 + 1 AS doc, count(*) AS dangling FROM customer, supplier WHERE c_nationkey = s_nationkey AND NOT EXISTS (SELECT 1 FROM edges WHERE src = c_custkey * 2 AND dst = s_suppkey * 2 + 1) GROUP BY 1) SELECT doc, n, weak, round(weak / n, 6) AS share, coalesce(dangling, 0) AS dangling, weak / n > 0.25 OR coalesce(dangling, 0) > 3 AS requires_review FROM q LEFT JOIN g USING (doc)")
+@query(f"WITH {EDGES_SQL}, q AS (SELECT dst AS doc, count(*) AS n, count(*) FILTER (weight < 0.6) AS weak FROM edges GROUP BY 1), g AS (SELECT c_nationkey AS nation, count(*) AS dangling FROM customer WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = c_custkey * 2) GROUP BY 1) SELECT doc, n, weak, round(weak / n, 6) AS share, coalesce(dangling, 0) AS dangling, weak / n > 0.25 OR coalesce(dangling, 0) > 3 AS requires_review FROM q JOIN supplier ON s_suppkey * 2 + 1 = doc LEFT JOIN g ON nation = s_nationkey")
 def agg_kg_quality(spark, d):
-    """Edges, weak ones, and nodes of a document that no edge touches; a document's nodes are the customers of its nation."""
+    """Edges of a document, weak ones, and the nodes of its nation that no edge touches."""
     e = edges(spark, d)
     q = e.groupBy(F.col("dst").alias("doc")).agg(F.count("*").alias("n"), F.count_if(F.col("weight") < 0.6).alias("weak"))
-    nodes = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select((F.col("c_custkey") * 2).alias("src"), (F.col("s_suppkey") * 2 + 1).alias("dst"))
-    dangling = nodes.join(e.select("src", "dst"), ["src", "dst"], "left_anti").groupBy(F.col("dst").alias("doc")).agg(F.count("*").alias("dangling"))
-    j = q.join(dangling, "doc", "left").withColumn("dangling", F.coalesce("dangling", F.lit(0).cast("bigint")))
+    nodes = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("src"), F.col("c_nationkey").alias("nation"))
+    dangling = nodes.join(e.select("src").distinct(), "src", "left_anti").groupBy("nation").agg(F.count("*").alias("dangling"))
+    where = table(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("doc"), F.col("s_nationkey").alias("nation"))
+    j = q.join(where, "doc").join(dangling, "nation", "left").withColumn("dangling", F.coalesce("dangling", F.lit(0).cast("bigint")))
     return j.select("doc", "n", "weak", F.round(F.col("weak") / F.col("n"), 6).alias("share"), "dangling", ((F.col("weak") / F.col("n") > 0.25) | (F.col("dangling") > 3)).alias("requires_review"))
 
 

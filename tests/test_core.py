@@ -152,3 +152,30 @@ def test_stream(spark, sf, tmp_path):
     q = lifecycle.windows(events, "ts", "1 hour", "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_shortened_names_find_themselves(spark, sf):
+    rows = catalog.QUERIES["txt_seqmatch"](spark, sf).collect()
+    assert len(rows) > 20 and all(r.name.startswith(r.fragment) and 0.85 <= r.score <= 1 for r in rows)
+
+
+def test_lists_and_names():
+    from casewright.operators import tables
+
+    assert tables.listed("a\n- x\n  - y\n- z\nb\n1. only") == 'a\n[\n  {\n    "text": "x",\n    "children": [\n      {\n        "text": "y"\n      }\n    ]\n  },\n  {\n    "text": "z"\n  }\n]\nb\n1. only'
+    deep = [f"{' ' * k}- n{k}" for k in range(8)] + ["- last"]
+    tree, depth = tables.nested(deep), 0
+    while tree and "children" in tree[0]:
+        tree, depth = tree[0]["children"], depth + 1
+    assert depth < tables.DEPTH and tables.nested(["- one", "  - two"]) == []
+    assert tables.ratio("ram", "Ram Kumar") < 0.85 and tables.ratio("ram kumar", "Ram Kumar Singh") >= 0.75 and tables.ratio("same", "Same") == 1
+
+
+def test_table_chunks(spark):
+    from casewright.operators import tables
+
+    block = "<!-- TABLE_START -->\nDate||Date\n1|2|3\n4|5|6\n7|8|9\n<!-- TABLE_END -->"
+    t = tables.parsed(F.lit(block))[0]
+    parts = one(spark, tables.chunked(tables.heading(t, F.lit(1)), tables.sentences(t), 10_000, 2))
+    assert len(parts) == 2 and parts[0].startswith("Table 1\n\nColumns: Date; Date; Column 3.") and parts[1].endswith("Row 3. Date is 7. Date is 8. Column 3 is 9.")
+    assert one(spark, tables.header_keys(F.array(F.lit("Date"), F.lit(""), F.lit("Date")))) == ["date", "column_2", "date_2"]
