@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +60,9 @@ def _cut(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner, piece, np.minimum(capacity, counts[owner] - piece * capacity)
 
 
-def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
+def _cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From documents to bins of one piece each."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
@@ -70,13 +72,15 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
                 owner, piece, length = _cut(counts, capacity)
                 start = piece * capacity
                 crc = crc_rows(ids, (np.cumsum(counts) - counts)[owner] + start, length)
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(owner + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                own = [doc.take(pa.array(owner + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.zeros(len(owner), np.int64))]
+                items = pa.StructArray.from_arrays(own, names=["doc_id", "piece", "start", "length", "ids_crc32", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(length >= capacity), pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1), pa.int32()), items)], names=["fill", "full", "items"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE)
+    return cut
 
 
-def pack_round(bins: DataFrame, capacity: int, nearly: int) -> DataFrame:
-    """Best fit within each partition; members of merged bins are chained."""
+def _packer(capacity: int, nearly: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Best fit over all bins of a partition; members of merged bins are chained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -106,7 +110,7 @@ def pack_round(bins: DataFrame, capacity: int, nearly: int) -> DataFrame:
             fill = np.array(fills[k : k + 2000], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(fill), pa.array(fill >= nearly), lists], names=["fill", "full", "items"])
 
-    return bins.mapInArrow(run, BIN)
+    return run
 
 
 def _goes_on(rest: DataFrame, capacity: int) -> Column | None:
@@ -133,9 +137,10 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     in rounds of ``fan_in`` partitions each.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, path or default_path(), id_col, text_col, capacity, end_id)
-    one = cut.select(F.col("length").cast("int").alias("fill"), (F.col("length") >= capacity).alias("full"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset"))).alias("items"))
-    now = materialize(pack_round(one, capacity, capacity - slack), "bins")
+    cut, pack_all = _cutter(path or default_path(), capacity, end_id), _packer(capacity, capacity - slack)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # one Python worker a task, which cuts and packs
+    now = materialize(rows.mapInArrow(lambda batches: pack_all(cut(batches)), BIN), "bins")
     done, rest, parts = now.where("full"), now.where("not full"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         stays = _goes_on(rest, capacity)
@@ -143,7 +148,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
             break
         parts = max(1, -(-parts // fan_in))
         done = done.unionByName(rest.where(~stays))
-        now = materialize(pack_round(rest.where(stays).repartition(parts), capacity, capacity - slack), "bins")
+        now = materialize(rest.where(stays).repartition(parts).mapInArrow(pack_all, BIN), "bins")
         done, rest = done.unionByName(now.where("full")), now.where("not full")
         if parts == 1:
             break

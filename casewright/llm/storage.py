@@ -14,6 +14,7 @@ from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPARKS_OWN, BATCH_BYTES = f"{64 << 20}b", 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -33,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/casewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _remove_at_exit(spark, path)
@@ -58,5 +60,13 @@ def release(spark: SparkSession, df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, where the session still has Spark's own bound: a worker holds texts several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARKS_OWN:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

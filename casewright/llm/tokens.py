@@ -40,7 +40,7 @@ _BYTES = _byte_chars()
 class WordEncoder:
     """Cache of word ids; it starts anew beyond ``max_words`` distinct words."""
 
-    def __init__(self, path: str, max_words: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.max_words = Tokenizer.from_file(path), max_words
@@ -51,7 +51,7 @@ class WordEncoder:
         # hashes ascending and the words' rows: the bulk, and the words of late
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
         self.slot_key, self.slot_row = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)  # the last word of each hash slot
-        self.start, self.len, self.ids, self.used, self.rows = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
+        self.start, self.len, self.ids, self.used, self.rows = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0, 0
         self.signs: dict[str, list[int]] = {"": []}
 
     def _plain(self, word: str) -> list[int] | None:
