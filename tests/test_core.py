@@ -52,6 +52,14 @@ def test_redaction(spark):
     assert one(spark, text.protected_flags(F.array(F.lit("POCSO case")))) == ["minor_identity", "sexual_offence_detail"]
 
 
+def test_redaction_step_by_step(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    out, hits = text.redact(F.col("text"))
+    nested = {r.doc_id: (r.t, r.h) for r in docs.select("doc_id", out.alias("t"), hits.alias("h")).toLocalIterator()}
+    stepped = {r.doc_id: (r.text, r.hits) for r in text.redacted(docs, "text").toLocalIterator()}
+    assert nested == stepped and any(h for _, h in stepped.values())
+
+
 def test_rules(spark):
     assert one(spark, classify.sections(F.lit("IPC 302; Section 354A; BNS 103"))) == ["302", "354A", "103"]
     assert one(spark, classify.court_level(F.lit("Additional Sessions Judge"), F.lit("SC"))) == "sessions"
