@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, secrets, tokencode, warc
+from casewright.llm import chat, decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, secrets, tokencode, warc
 from casewright.llm.storage import table
 
 
@@ -60,6 +60,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("__kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, CASE role WHEN 'system' THEN 20 WHEN 'user' THEN 22 WHEN 'assistant' THEN 13 ELSE 23 + length(regexp_replace(role, '([<\[])(\\*)(/ROLE\]|/INST\]|ROLE\]|/SYS\]|INST\]|SYS\]|OUT\]|/s>|s>)', '\1\\\2\3', 'g')) END
+    + length(regexp_replace(text, '([<\[])(\\*)(/ROLE\]|/INST\]|ROLE\]|/SYS\]|INST\]|SYS\]|OUT\]|/s>|s>)', '\1\\\2\3', 'g')) AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text) || ',', '(system,)?(user,assistant,)+') AS valid
+FROM marked GROUP BY conv_id
+"""
+
 LINE_SQL = """
 WITH lines AS (
   SELECT doc_id, line, pos, lower_key AS key FROM (
@@ -83,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op13_chat_formatting": op13_chat_formatting,
 }
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op13_chat_formatting": CHAT_SQL}
