@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import chat, decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, secrets, tokencode, warc
+from casewright.llm import chat, decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, resample, secrets, tokencode, warc
 from casewright.llm.storage import table
 
 
@@ -60,6 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("__kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the rank of the five in a hundred that are drawn."""
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_chat_formatting": op13_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op13_chat_formatting": CHAT_SQL}
