@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import chat, decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, resample, secrets, tokencode, warc
+from casewright.llm import chat, crosstokens, decontaminate, htmltext, langid, line_dedup, minhash, packing, quality, resample, secrets, tokencode, warc
 from casewright.llm.storage import table
 
 
@@ -60,6 +60,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("__kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token groups and links between the byte-level and the piece vocabulary."""
+    return crosstokens.align(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards the benchmark, and the rank of the five in a hundred that are drawn."""
     out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_chat_formatting": op13_chat_formatting,
 }
