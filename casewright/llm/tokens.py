@@ -23,6 +23,9 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
+#: "<", and what the combining marks U+0300 to U+036F begin with.
+_OWN_CASE = np.zeros(256, bool)
+_OWN_CASE[[0x3C, 0xCC, 0xCD]] = True
 #: Letters, then ASCII signs but for "'" and "<", which the files treat by their surroundings.
 _SIMPLE = re.compile(r"([^\W\d_]*)([!-&(-/:;=>?@\[\\\]^_`{|}~]*)\Z")
 
@@ -133,10 +136,12 @@ class WordEncoder:
         starts, lens = spans(raw)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        b = LOWER[raw]  # the files lower-case; only special tokens, which hold a "<", tell case apart
-        if (mark := raw == 60).any():
-            for k in np.flatnonzero(np.add.reduceat(mark, starts) > 0):
-                b[starts[k] : starts[k] + lens[k]] = raw[starts[k] : starts[k] + lens[k]]
+        b = LOWER[raw]
+        # the files compose marks, then lower-case: words with a special token's "<" or with a combining mark keep their own case
+        if (kept := _OWN_CASE[raw]).any():
+            own = np.logical_or.reduceat(kept, starts)
+            at = np.arange(int(lens[own].sum())) + np.repeat(starts[own] - np.cumsum(lens[own]) + lens[own], lens[own])
+            b[at] = raw[at]
         # a full stop or the like right after a letter or digit is a token of its own
         last = starts + lens - 1
         cut = (lens > 1) & _STOP[b[last]] & _ALNUM[b[np.maximum(last - 1, 0)]]

@@ -37,6 +37,19 @@ def test_cached_words_equal_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want if texts else not len(ids)
 
 
+def test_marks_compose_before_case_goes():
+    marks = [chr(x) for x in (0x300, 0x301, 0x308, 0x30A, 0x30C, 0x323, 0x327, 0x331, 0x345, 0x36F)]
+    rng = np.random.default_rng(8)
+    letters = [*"ABTHJWYKStxz.,!'<1", "Å", "K", "Å", "É", "İ", "ſ", "Ω", "你", "ﬁ"]
+    texts = ["T\u0308est J\u030c H\u0331"]
+    for _ in range(20_000):
+        n = int(rng.integers(1, 9))
+        texts.append("".join(rng.choice(letters) + (rng.choice(marks) if rng.random() < 0.4 else "") + (" " if rng.random() < 0.2 else "") for _ in range(n)))
+    ids, counts = encoder(default_path()).encode([t.encode() for t in texts])
+    want = [e.ids for e in Tokenizer.from_file(default_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 49_407), st.integers(0, 5)), max_size=6000))
 def test_file_round_trip(ids):
