@@ -52,14 +52,6 @@ def short_name(given: Column) -> Column:
     return F.when(t.rlike(r"[.!?]$") | (n(t) > WORDS), F.coalesce(F.nullif(few, F.lit("")), F.left(t, F.lit(120)))).otherwise(t)
 
 
-def ends(worded: Column, kind: Column) -> Column:
-    """struct(source, target) around the relation's words; null where they don't occur."""
-    said = F.replace(kind, F.lit("_"), F.lit(" "))
-    at = F.position(F.lower(said), F.lower(worded))
-    part = lambda c: F.when(at > 0, F.btrim(c))
-    return F.struct(part(F.substr(worded, F.lit(1), at - 1)).alias("source"), part(F.substr(worded, at + F.length(said))).alias("target"))
-
-
 def composed(c: Column) -> Column:
     """Unicode NFC, in Arrow batches; Spark has no function for it."""
 

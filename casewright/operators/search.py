@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,31 +108,33 @@ def websearch(query: str) -> tuple[list[str], list[str], list[str]]:
     return must, should, without
 
 
-def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1000) -> DataFrame:
-    """(a, b, similarity): names whose trigram sets pass ``least``.
+def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1000, grams: Callable[[Column], Column] = trigrams, inclusive: bool = False, shortest: float = 0.0) -> DataFrame:
+    """(a, b, similarity): names whose trigram sets pass ``least``, or reach it if ``inclusive``.
+
+    Names whose lengths differ by more than the factor ``shortest`` are left out.
 
     A pair above ``least`` shares a trigram among the rarest of each set
     (prefix filtering: all but the last ceil(least x size) trigrams of a set, plus one), so that
     trigrams that many names share hold no candidates together.  What they do
     hold together is dealt over shares of ``cells`` names a trigram.
     """
-    lt = left.select(F.col("id").alias("a"), trigrams(F.col("name")).alias("ta"))
-    rt = right.select(F.col("id").alias("b"), trigrams(F.col("name")).alias("tb"))
+    lt = left.select(F.col("id").alias("a"), grams(F.col("name")).alias("ta"), F.length("name").alias("la"))
+    rt = right.select(F.col("id").alias("b"), grams(F.col("name")).alias("tb"), F.length("name").alias("lb"))
     each = lt.select(F.explode("ta").alias("g")).union(rt.select(F.explode("tb").alias("g")))
     seen = each.groupBy("g").agg(F.count("*").alias("df"))
 
-    def prefix(sets: DataFrame, key: str, value: str) -> DataFrame:
-        one = sets.select(key, F.size(value).alias("n"), F.explode(value).alias("g")).join(seen, "g")
+    def prefix(sets: DataFrame, key: str, value: str, length: str) -> DataFrame:
+        one = sets.select(key, length, F.size(value).alias("n"), F.explode(value).alias("g")).join(seen, "g")
         place = F.row_number().over(Window.partitionBy(key).orderBy("df", "g"))
         return one.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
 
     shares = F.floor(F.col("df") / cells)
-    pa = prefix(lt, "a", "ta").select("a", "g", F.col("n").alias("na"), F.pmod(F.xxhash64("a"), shares + 1).alias("share"))
-    pb = prefix(rt, "b", "tb").select("b", "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), shares)).alias("share"))
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    pa = prefix(lt, "a", "ta", "la").select("a", "la", "g", F.col("n").alias("na"), F.pmod(F.xxhash64("a"), shares + 1).alias("share"))
+    pb = prefix(rt, "b", "tb", "lb").select("b", "lb", "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), shares)).alias("share"))
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest)
     pairs = pa.join(pb, ["g", "share"]).where(near).select("a", "b").distinct()
     both = pairs.join(lt, "a").join(rt, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    return both.select("a", "b", (F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))).alias("similarity")).where(F.col("similarity") > least)
+    return both.select("a", "b", (F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= least if inclusive else F.col("similarity") > least)
 
 
 def fuse(vector: DataFrame, lexical_hits: DataFrame, graph: DataFrame, n: int, weights: tuple[float, float, float] = (0.4, 0.2, 0.2), paths: DataFrame | None = None, wiki: DataFrame | None = None, profile: str | None = None) -> DataFrame:

@@ -93,44 +93,6 @@ def txt_trgm(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(text.jaccard(text.trigrams(F.col("p_name")), text.trigrams(F.col("p_type"))), 6).alias("similarity"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^0-9a-z]+'), ['erly', 'tion'])")
-def txt_fts_match(spark, d):
-    """Documents that hold any term of a query."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.matches_all(docs, F.col("text"), [], ["erly", "tion"], []).select("id")
-
-
-@query("WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^0-9a-z]+') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id AS id FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' in the ') AND (list_contains(w, 'erly') OR list_contains(w, 'tion')) AND NOT list_contains(w, 'zzz') AND list_contains(w, 'and')")
-def txt_websearch(spark, d):
-    """Quotes, OR and minus of a web-style query."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    return search.matches_all(docs, F.col("text"), *search.websearch('"in the" erly OR tion -zzz and')).select("id")
-
-
-@query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda x: length(x) > 1) AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'erly')) AS a, len(list_filter(w, lambda x: x = 'tion')) AS b FROM w) SELECT doc_id AS id, round(((CASE WHEN a > 0 THEN 1 + ln(a) ELSE 0 END) + (CASE WHEN b > 0 THEN 1 + ln(b) ELSE 0 END)) / (1 + ln(len)), 6) AS rank FROM n WHERE a + b > 0 ORDER BY round(((CASE WHEN a > 0 THEN 1 + ln(a) ELSE 0 END) + (CASE WHEN b > 0 THEN 1 + ln(b) ELSE 0 END)) / (1 + ln(len)), 9) DESC, id LIMIT 25")
-def txt_rank(spark, d):
-    """The best 25 documents of one query by term frequency over length."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    asked = spark.createDataFrame([(1, "erly tion")], "q int, text string")
-    return search.lexical(docs, F.col("text"), asked, 25).select("id", F.round("rank", 6).alias("rank"))
-
-
-@query("SELECT p_partkey AS id, round((CASE WHEN contains(p_name, 'widget') THEN 1.0::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'promo') THEN 0.4::DOUBLE ELSE 0 END), 4) AS weight FROM part WHERE contains(p_name, 'widget') OR contains(lower(p_type), 'promo')")
-def txt_weighted_fts(spark, d):
-    """Fields weigh differently: title 1.0, summary 0.4, body 0.2."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lower("p_type").alias("summary"), F.lit("").alias("body"))
-    weight = search.weighted({"title": 1.0, "summary": 0.4, "body": 0.2}, ["widget", "promo"])
-    return p.select("id", F.round(weight, 4).alias("weight")).where("weight > 0")
-
-
-@query("SELECT p_partkey AS id FROM part WHERE contains(p_name, 'widget') OR lower(p_brand) LIKE '%#13%' OR p_type ILIKE '%econ%'")
-def gr_node_search(spark, d):
-    """Nodes by a word of the name, by part of an alias, or by a property."""
-    p = table(spark, d, "part")
-    words = F.split(F.lower("p_name"), "[^0-9a-z]+")
-    return p.where(F.array_contains(words, "widget") | F.contains(F.lower("p_brand"), F.lit("#13")) | F.col("p_type").ilike("%econ%")).select(F.col("p_partkey").alias("id"))
-
-
 @query("SELECT event_id, ['a', 'b'][1 + event_id % 2] AS provider, round(avg(value) OVER (PARTITION BY event_id % 2), 4) AS mean FROM events WHERE event_type = 'error'")
 def win_max_lexical(spark, d):
     """Rows beside an aggregate of their group."""

@@ -12,39 +12,6 @@ from casewright.sources import readers
 SEEDS = "s AS (SELECT vec_id AS node FROM (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.e) AS c FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) b WHERE c > 0.3 ORDER BY c DESC, vec_id LIMIT 10))"
 
 
-@query(f"WITH {SEEDS} SELECT node FROM s UNION SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE contains(p_name, 'widget') ORDER BY p_partkey LIMIT 25)")
-def gr_seed(spark, d):
-    """Nodes to start from: the nearest by vector, and those whose name fits."""
-    e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 7").select(F.col("embedding").alias("v"))  # one row
-    near = e.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("node"), search.cosine(F.col("embedding"), F.col("v")).alias("c")).where("c > 0.3").orderBy(F.desc("c"), "node").limit(10)
-    named = table(spark, d, "part").where(F.contains("p_name", F.lit("widget"))).orderBy("p_partkey").limit(25)
-    return near.select("node").union(named.select(F.col("p_partkey").alias("node"))).distinct()
-
-
-@query(f"WITH {EDGES_SQL}, top AS (SELECT src, dst, weight FROM edges WHERE src IN (2, 4, 6) ORDER BY weight DESC, src, dst LIMIT 100) SELECT src, dst, s_name AS evidence, round(weight, 4) AS weight FROM top JOIN supplier ON s_suppkey * 2 + 1 = dst")
-def gr_chunks(spark, d):
-    """Evidence of the heaviest edges of some nodes."""
-    top = edges(spark, d).where(F.col("src").isin(2, 4, 6)).orderBy(F.desc("weight"), "src", "dst").limit(100)
-    s = table(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("dst"), F.col("s_name").alias("evidence"))
-    return top.join(s, "dst").select("src", "dst", "evidence", F.round("weight", 4).alias("weight"))
-
-
-@query(f"WITH {EDGES_SQL} SELECT src AS node, string_agg('- ' || src || ' --[' || kind || ']--> ' || dst, chr(10) ORDER BY dst) AS context FROM edges WHERE src < 40 GROUP BY 1")
-def gr_context(spark, d):
-    """The edges of a node as lines."""
-    line = F.concat(F.lit("- "), F.col("src").cast("string"), F.lit(" --["), "kind", F.lit("]--> "), F.col("dst").cast("string"))
-    rows = edges(spark, d).where("src < 40").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("rows"))
-    return rows.select("node", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("context"))
-
-
-@query(f"WITH {EDGES_SQL} SELECT c_custkey * 2 AS node, c_name AS name, count(src) AS edges, round(max(weight), 4) AS heaviest FROM customer LEFT JOIN edges ON src = c_custkey * 2 GROUP BY ALL")
-def gr_node_detail(spark, d):
-    """A node with its edges."""
-    e = edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("edges"), F.round(F.max("weight"), 4).alias("heaviest"))
-    return table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("node"), F.col("c_name").alias("name")).join(e, "node", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("bigint")))
-
-
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'LandUseZone' WHEN p_size % 4 = 1 THEN 'Person' WHEN p_size % 4 = 2 AND contains(p_name, 'widget') THEN 'Device' ELSE 'Concept' END AS type FROM part")
 def gr_type_map(spark, d):
     """Extracted types by the ontology: as they are, by letters and digits alone, by the longest keyword, or the fallback."""
@@ -69,31 +36,6 @@ def gr_edge_type(spark, d):
     return table(spark, d, "part").where("p_size % 4 < 3").select(F.col("p_partkey").alias("id"), entities.edge_type(given, ["WorksFor", "related_to"], closed=False).alias("kind"))
 
 
-@query("SELECT p_partkey AS id, p_brand AS source, p_type AS target FROM part")
-def gr_rel_parse(spark, d):
-    """The ends of a worded relation, split at its type."""
-    worded = F.concat("p_brand", F.lit(" works for "), "p_type")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), entities.ends(worded, F.lit("works_for")).alias("e")).select("id", "e.*")
-
-
-@query("SELECT l_orderkey, l_linenumber, round(1 - l_discount, 4) AS confidence FROM lineitem WHERE l_returnflag IN ('R', 'A')")
-def gr_assert(spark, d):
-    """Assertions of the edge types that make them."""
-    return table(spark, d, "lineitem").where("l_returnflag IN ('R', 'A')").select("l_orderkey", "l_linenumber", F.round(1 - F.col("l_discount"), 4).alias("confidence"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.05 THEN 90 ELSE 50 END AS priority FROM lineitem WHERE l_discount > 0.05")
-def gr_review(spark, d):
-    """Review rows of weak assertions; grave ones first."""
-    return table(spark, d, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0.05, 90).otherwise(50).alias("priority"))
-
-
-@query("SELECT DISTINCT l_partkey AS node, l_orderkey AS document FROM lineitem")
-def gr_prov(spark, d):
-    """Where each node comes from, a row for each document."""
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("document")).distinct()
-
-
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 AND vec_id % 4 = 0 THEN ['vector', 'lexical', 'graph'] WHEN vec_id % 9 = 0 THEN ['vector', 'lexical'] WHEN vec_id % 4 = 0 THEN ['vector', 'graph'] ELSE ['vector'] END AS sources FROM embeddings WHERE vec_id < 30")
 def fus_sources(spark, d):
     """Which searches found a hit, in their order."""

@@ -36,13 +36,6 @@ def txt_redact_gate(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.redaction_status(flags, hits).alias("status"))
 
 
-@query("SELECT c_custkey AS id, 'met [MASKED_NAME] and [MASKED_NAME]' AS masked FROM customer")
-def txt_mask_names(spark, d):
-    """Names of people, escaped, case aside."""
-    body = F.concat(F.lit("met "), "c_name", F.lit(" and "), F.upper("c_name"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.mask(body, F.array("c_name")).alias("masked"))
-
-
 @query("SELECT p_partkey AS id, p_size % 2 = 0 AS is_table FROM part")
 def txt_is_table(spark, d):
     body = F.when(F.col("p_size") % 2 == 0, "a|b|c\n1|2|3\nx").otherwise("a|b|c\nx\ny")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import classify, language, scopes, text
+from casewright.operators import conversations, names
 from casewright.registry import query, table
 
 #: Messages as questions about cases: the turn picks a wording, ids fill it.
@@ -56,13 +57,26 @@ def cls_scope(spark, d):
     return _asked(spark, d).select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.source", "s.clarify")
 
 
-@query(f"""WITH {ASKED_SQL}, r AS (SELECT conv_id, turn, turn % 6 AS n FROM asked) SELECT conv_id, turn, CASE n WHEN 0 THEN (100 + conv_id) || '/2020' WHEN 5 THEN (300 + conv_id) || '/2019' ELSE '7/2001' END AS case_reference, CASE WHEN n = 1 THEN 2 WHEN n IN (0, 5) THEN 0 ELSE 1 END AS several, CASE n WHEN 1 THEN 'multi' WHEN 3 THEN 'global' WHEN 4 THEN 'global' ELSE 'single' END AS last_mode FROM r""")
+#: The same wordings in another order in each conversation.
+TALK = "(turn * turn + conv_id * 7 + turn * (conv_id % 5)) % 6"
+TALK_SQL = f"""WITH RECURSIVE r AS (SELECT conv_id, turn, {TALK} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT DISTINCT conv_id, NULL::BIGINT AS turn, 0::BIGINT AS k, NULL::VARCHAR AS pinned, NULL::VARCHAR[] AS multi, NULL::VARCHAR AS mode, NULL::VARCHAR AS source FROM r
+  UNION ALL SELECT r.conv_id, r.turn, r.k, CASE n WHEN 0 THEN (100 + r.conv_id) || '/2020' WHEN 5 THEN (300 + r.conv_id) || '/2019' ELSE f.pinned END,
+    CASE WHEN n IN (0, 5) THEN NULL WHEN n = 1 THEN [(200 + r.conv_id) || '/2021', (100 + r.conv_id)::VARCHAR] ELSE f.multi END,
+    CASE WHEN n IN (0, 5) THEN 'single' WHEN n = 1 OR (n = 4 AND f.mode = 'multi') THEN 'multi' WHEN n = 2 AND f.mode <> 'multi' AND f.pinned IS NOT NULL THEN 'single' ELSE 'global' END,
+    CASE WHEN n IN (0, 5) THEN 'explicit_single' WHEN n = 1 THEN 'explicit_multi' WHEN n = 4 AND f.mode = 'multi' THEN 'follow_up_multi' WHEN n = 2 AND f.mode <> 'multi' AND f.pinned IS NOT NULL THEN 'follow_up_single' ELSE 'global' END
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
+SELECT conv_id, turn, pinned AS case_reference, coalesce(len(multi), 0)::INT AS several, mode AS last_mode, source FROM f WHERE k > 0"""
+
+
+@query(TALK_SQL)
 def cls_pin(spark, d):
-    """What a conversation pins after each question."""
-    multi = F.array(F.lit("9/2003"))
-    s = scopes.resolved(F.col("q"), scopes.extracted(F.col("q")), F.lit("7/2001"), multi, F.lit("single"))
-    p = _asked(spark, d).select("conv_id", "turn", scopes.next_pin(F.lit("7/2001"), multi, s).alias("p"))
-    return p.select("conv_id", "turn", "p.case_reference", F.coalesce(F.size("p.last_multi"), F.lit(0)).alias("several"), "p.last_mode")
+    """What each conversation has pinned after each of its questions."""
+    n, c = F.expr(TALK), lambda k: (F.col("conv_id") + k).cast("string")
+    t = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    q = F.when(n == 0, t("What happened in FIR No. ", c(100), " of 2020?")).when(n == 1, t("Compare cases ", c(100), " and ", c(200), "/2021")).when(n == 2, "Who was the accused").when(n == 3, "List the cases").when(n == 4, "What is the difference?").otherwise(t("Crime ", c(300), "-2019 and case ", c(300)))
+    p = conversations.pinned(table(spark, d, "conversations").select("conv_id", "turn"), q)
+    return p.select("conv_id", "turn", "pin.case_reference", F.coalesce(F.size("pin.last_multi"), F.lit(0)).alias("several"), "pin.last_mode", F.col("pin.last_source").alias("source"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'hi' WHEN doc_id % 4 = 2 THEN 'en' ELSE lang END AS source FROM documents WHERE lang IS NOT NULL")
@@ -79,7 +93,7 @@ def txt_glossary(spark, d):
     """Glossary terms of each whole text."""
     terms = spark.createDataFrame([("than",), (" Erly",), ("Tion be",), ("",), ("a",)], "source string")
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    return language.matched_terms(docs, terms).select(F.col("id").alias("doc_id"), "terms")
+    return names.found_names(docs, terms.select(F.btrim("source").alias("name"))).select(F.col("id").alias("doc_id"), F.col("names").alias("terms"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' OR doc_id % 7 = 0 THEN 'approved' WHEN doc_id % 10 < 7 THEN 'needs_review' ELSE 'pending' END AS qa FROM documents WHERE lang IS NOT NULL")

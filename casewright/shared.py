@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as parquet in the shared folder, in folders of the columns ``by``, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/casewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
 
     def remove() -> None:
         with suppress(Exception):
