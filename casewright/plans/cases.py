@@ -7,10 +7,14 @@ fetch attempts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.operators import fact_table
 from casewright.registry import query, table
+from casewright.shared import shared_dir
 
 ARTIFACTS_SQL = """artifacts AS (SELECT l_orderkey AS case_id, bool_or(l_returnflag IN ('A','R')) AS has_text, bool_or(l_linestatus = 'O') AS ocr_required,
   bool_or(l_discount > 0.08) AS redacted, bool_or(l_tax >= 0.07) AS translated, max(nullif(l_returnflag, '')) AS artifact_language, min(l_shipdate)::DATE AS first_ship,
@@ -33,11 +37,12 @@ FACTS_SQL = f"""{CASES_SQL}, facts AS (SELECT coalesce(decision_date, registrati
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a case: flags over its artifacts."""
+    """One row a case: flags over its artifacts, and its failed fetches, in one pass."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(
         F.bool_or(F.col("l_returnflag").isin("A", "R")).alias("has_text"), F.bool_or(F.col("l_linestatus") == "O").alias("ocr_required"),
         F.bool_or(F.col("l_discount") > 0.08).alias("redacted"), F.bool_or(F.col("l_tax") >= 0.07).alias("translated"),
         F.max(F.nullif("l_returnflag", F.lit(""))).alias("artifact_language"), F.min("l_shipdate").cast("date").alias("first_ship"), F.array_sort(F.collect_set("l_returnflag")).alias("offences"),
+        F.count_if(F.col("l_quantity") > 45).alias("failed"),
     )
 
 
@@ -46,12 +51,12 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases with labels; artifacts and failures are aggregated before they join."""
+    """Cases with labels; artifacts are aggregated before they join."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")  # 25 and 5 rows by definition
     places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     who = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
     base = table(spark, sf_dir, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("case_id", F.col("o_orderkey"))
-    rolled = base.join(artifacts(spark, sf_dir), "case_id", "left").join(failures(spark, sf_dir), "case_id", "left")
+    rolled = base.join(artifacts(spark, sf_dir), "case_id", "left")
     off = F.lit(False)
     return rolled.select(
         "case_id", F.col("r_regionkey").alias("state_code"), F.col("r_name").alias("state_name"), F.col("n_nationkey").alias("district_code"), F.col("n_name").alias("district_name"), F.col("o_orderpriority").alias("court_level"),
@@ -90,11 +95,13 @@ def agg_fact_log(spark, d):
 
 @query(f"WITH {FACTS_SQL}, old AS (SELECT workspace_id, metadata_cases FROM facts WHERE fact_date < DATE '1997-01-01') SELECT workspace_id, count(*) AS fact_rows, sum(metadata_cases)::BIGINT AS cases FROM (SELECT * FROM old WHERE workspace_id <> 'ws-1' UNION ALL SELECT workspace_id, metadata_cases FROM facts WHERE workspace_id = 'ws-1') GROUP BY 1")
 def agg_fact_reload(spark, d):
-    """A refresh deletes a workspace's facts and loads them anew; other workspaces keep what they have."""
-    from casewright.streaming.lifecycle import replaced
-
-    f = facts(spark, d).select("workspace_id", "fact_date", "metadata_cases")
-    return replaced(f.where("fact_date < DATE '1997-01-01'"), f.where("workspace_id = 'ws-1'"), "workspace_id").groupBy("workspace_id").agg(F.count("*").alias("fact_rows"), F.sum("metadata_cases").alias("cases"))
+    """A table of facts of which one workspace is refreshed; the others keep what they have."""
+    f = facts(spark, d)
+    store = fact_table.FactTable(spark, f"{shared_dir(spark)}/casewright/facts-{uuid.uuid4().hex}", f.schema)
+    every = [r["workspace_id"] for r in f.select("workspace_id").distinct().toLocalIterator()]
+    store.refresh(f.where("fact_date < DATE '1997-01-01'"), every)
+    store.refresh(f, ["ws-1"])
+    return store.read().groupBy("workspace_id").agg(F.count("*").alias("fact_rows"), F.sum("metadata_cases").alias("cases"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT sum(metadata_cases)::BIGINT AS metadata_cases, sum(targets)::BIGINT AS targets, sum(with_text)::BIGINT AS with_text, sum(with_ocr)::BIGINT AS with_ocr, sum(with_translation)::BIGINT AS with_translation, sum(with_redaction)::BIGINT AS with_redaction, sum(failed_fetches)::BIGINT AS failed_fetches, count(DISTINCT state_code) AS states, round(avg(avg_days))::BIGINT AS avg_of_bucket_avg_days, round(max(p95_days))::BIGINT AS max_of_bucket_p95_days, round(sum(avg_days * metadata_cases) FILTER (avg_days IS NOT NULL) / sum(metadata_cases) FILTER (avg_days IS NOT NULL), 4) AS weighted_avg_days FROM facts WHERE commercial_safe")
