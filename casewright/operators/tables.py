@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,44 +105,32 @@ def without_tables(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, JSON_BLOCK, "\n\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def nested(lines: list[str]) -> list[dict]:
-    """List lines as a tree by indent; nothing for fewer than two roots, deeper ones than DEPTH stay at it."""
-    roots: list[dict] = []
-    path: list[tuple[int, list[dict]]] = []
-    for line in lines:
-        m = ITEM.match(line)
-        if not m:
-            continue
-        indent, item = len(m[1]), {"text": m[2].strip()}
-        while path and path[-1][0] >= indent:
-            path.pop()
-        if len(path) >= DEPTH:
-            path[DEPTH - 2][1].append(item)
-            continue
-        (path[-1][1] if path else roots).append(item)
-        children: list[dict] = []
-        item["children"] = children
-        path.append((indent, children))
+def depths(indents: list[int], most: int) -> list[int]:
+    """How many of the indents that still enclose each line are smaller than its own; ``most`` - 1 at the deepest."""
+    enclosing: list[int] = []
+    out = []
+    for indent in indents:
+        k = bisect_left(enclosing, indent)
+        enclosing = [*enclosing[:k], indent]
+        out.append(min(k, most - 1))
+    return out
 
-    def pruned(items: list[dict]) -> list[dict]:
-        return [{"text": i["text"], **({"children": pruned(i["children"])} if i.get("children") else {})} for i in items]
 
-    return pruned(roots) if len(lines) >= 2 and len(roots) >= 2 else []
+def tree(items: list[tuple[int, str]], depth: int = 0) -> list[dict]:
+    """Items (depth, text) as nested mappings: what is deeper than an item and follows it stands below it."""
+    heads = [k for k, (d, _) in enumerate(items) if d == depth]
+    below = [tree(items[a + 1 : b], depth + 1) for a, b in pairwise([*heads, len(items)])]
+    return [{"text": items[k][1], **({"children": under} if under else {})} for k, under in zip(heads, below, strict=True)]
 
 
 def listed(text: str) -> str:
-    """Runs of list lines as indented JSON; other lines, and lists of one item, as they are."""
-    out, run = [], []
-    for line in [*text.split("\n"), None]:
-        if line is not None and ITEM.match(line):
-            run.append(line)
-            continue
-        if run:
-            tree = nested(run)
-            out += [json.dumps(tree, ensure_ascii=False, indent=2)] if tree else run
-            run = []
-        if line is not None:
-            out.append(line)
+    """Runs of list lines with two items or more at their first level as indented JSON; all else as it is."""
+    out = []
+    for is_list, lines in groupby(text.split("\n"), key=lambda x: ITEM.match(x) is not None):
+        run = list(lines)
+        found = [ITEM.match(x) for x in run] if is_list else []
+        items = tree(list(zip(depths([len(m[1]) for m in found], DEPTH), (m[2].strip() for m in found), strict=True)))
+        out += [json.dumps(items, ensure_ascii=False, indent=2)] if len(items) >= 2 else run
     return "\n".join(out)
 
 

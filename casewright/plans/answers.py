@@ -151,13 +151,6 @@ def agg_users_roles(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("roles"))
 
 
-@query("SELECT c_custkey AS config, coalesce(max(v), 0) + 1 AS next_version FROM customer LEFT JOIN (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders) ON o_custkey = c_custkey GROUP BY 1")
-def agg_max_version(spark, d):
-    """The version after the greatest one."""
-    v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("config")).agg(F.count("*").alias("v"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("config")).join(v, "config", "left").select("config", (F.coalesce("v", F.lit(0)) + 1).cast("bigint").alias("next_version"))
-
-
 @query(f"WITH {CASES_SQL}, o AS (SELECT court_level AS label, count(*) AS n FROM cases GROUP BY 1) SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS place FROM o QUALIFY place <= 3")
 def win_rank_options(spark, d):
     """The most frequent labels with their places."""
@@ -166,13 +159,6 @@ def win_rank_options(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label"))).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations")
-def win_total(spark, d):
-    """Each row with the total of its key."""
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    return c.join(c.groupBy("conv_id").agg(F.count("*").alias("total")), "conv_id")
-
-
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 2 END, c_acctbal DESC, c_custkey LIMIT 40")
 def srt_multi_rank(spark, d):
     """Ordered by a rank of labels, then by value."""
@@ -210,11 +196,6 @@ def jn_cast_key(spark, d):
     return lines.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", "left").select("l_orderkey", "l_linenumber", "s_name")
 
 
-@query("SELECT p_partkey AS id, pos, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part)")
-def jn_lateral_unnest(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.split("p_name", " ")).alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-
-
 @query("SELECT p_partkey AS id, kind, label FROM part, LATERAL (VALUES ('brand', p_brand), ('type', p_type)) v(kind, label)")
 def jn_lateral_values(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type").unpivot(["id"], [F.col("p_brand").alias("brand"), F.col("p_type").alias("type")], "kind", "label")

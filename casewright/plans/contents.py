@@ -93,22 +93,6 @@ def txt_trgm(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(text.jaccard(text.trigrams(F.col("p_name")), text.trigrams(F.col("p_type"))), 6).alias("similarity"))
 
 
-@query("SELECT event_id, ['a', 'b'][1 + event_id % 2] AS provider, round(avg(value) OVER (PARTITION BY event_id % 2), 4) AS mean FROM events WHERE event_type = 'error'")
-def win_max_lexical(spark, d):
-    """Rows beside an aggregate of their group."""
-    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "value", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("provider"))
-    return e.join(F.broadcast(e.groupBy("provider").agg(F.round(F.avg("value"), 4).alias("mean"))), "provider").select("event_id", "provider", "mean")  # two rows
-
-
-@query("SELECT doc_id, ['kept', 'lost'][1 + (doc_id % 2)] AS state FROM documents WHERE doc_id % 2 = 0 OR left(sha256(coalesce(text, '')), 16) NOT IN (SELECT left(sha256(coalesce(text, '')), 16) FROM documents WHERE doc_id % 2 = 0)")
-def vec_skip(spark, d):
-    """Only rows whose content changed need a new embedding."""
-    h = table(spark, d, "documents").select("doc_id", F.left(F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(16)).alias("hash"))
-    known, new = h.where("doc_id % 2 = 0"), h.where("doc_id % 2 = 1")
-    changed = new.join(known.select("hash").distinct(), "hash", "left_anti")
-    return known.select("doc_id", F.lit("kept").alias("state")).unionByName(changed.select("doc_id", F.lit("lost").alias("state")))
-
-
 @query("SELECT vec_id AS id, round(0.65 * list_cosine_similarity(a.embedding::DOUBLE[], b.e) + 0.35 * (vec_id % 10) / 10, 5) AS score FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) b ORDER BY 0.65 * list_cosine_similarity(a.embedding::DOUBLE[], b.e) + 0.35 * (vec_id % 10) / 10 DESC, vec_id LIMIT 10")
 def vec_wiki(spark, d):
     """Articles by 0.65 of similarity and 0.35 of rank."""

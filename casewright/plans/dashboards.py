@@ -101,13 +101,6 @@ def agg_sla(spark, d):
     return events(spark, d).groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), F.round(F.avg(done), 2).alias("avg_ms"), F.round(F.percentile(done, F.lit(0.95)), 2).alias("p95_ms"))
 
 
-@query("SELECT event_id, user_id, date_diff('millisecond', lag(ts) OVER w, ts) AS ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def agg_history(spark, d):
-    """Milliseconds since the user's previous event."""
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events(spark, d).select("event_id", "user_id", (F.expr("unix_millis(cast(ts AS timestamp))") - F.unix_millis(before.cast("timestamp"))).alias("ms"))
-
-
 @query(f"WITH {NOW_SQL} SELECT ts::DATE AS day, count(*) AS documents, sum(length(props))::BIGINT AS bytes, count(*) FILTER (event_type = 'error') AS failed FROM events, now WHERE ts::DATE > t::DATE - 10 GROUP BY 1")
 def agg_ingest_volume(spark, d):
     return with_now(events(spark, d)).where("to_date(ts) > date_sub(to_date(now), 10)").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("documents"), F.sum(F.length("props")).alias("bytes"), F.count_if(F.col("event_type") == "error").alias("failed"))

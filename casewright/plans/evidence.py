@@ -102,13 +102,6 @@ def txt_nfc(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.translate(entities.composed(split), "\u00e9", "e").alias("text"))
 
 
-@query("SELECT n_nationkey AS code, r_name AS state, n_name AS district FROM nation JOIN region ON n_regionkey = r_regionkey")
-def src_keymap(spark, d):
-    """Code tables as one map of composite keys."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")  # 25 and 5 rows by definition
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("code"), F.col("r_name").alias("state"), F.col("n_name").alias("district"))
-
-
 @query("SELECT p_partkey AS id, p_name AS title, p_brand AS act, make_date(2018, 1 + p_size % 12, 5) AS filed FROM part")
 def src_html_case(spark, d):
     """Label and value fields of a portal's case page."""
@@ -151,11 +144,3 @@ def src_xml(spark, d):
 def src_yaml(spark, d):
     """Rules of a small configuration as rows."""
     return readers.rules(spark, "- category: theft\n  sections: ['379', '380']\n- category: murder\n  sections: ['302']\n")
-
-
-@query("SELECT n_nationkey AS id, '\"' || n_name || ',x\"' AS cell FROM nation ORDER BY 1 LIMIT 10000")
-def snk_csv_fact(spark, d):
-    """Export lines, quoted only where needed."""
-    from casewright.functions.text import csv_cell
-
-    return table(spark, d, "nation").orderBy("n_nationkey").limit(10_000).select(F.col("n_nationkey").alias("id"), csv_cell(F.concat("n_name", F.lit(",x"))).alias("cell"))

@@ -135,11 +135,3 @@ def flt_sql_guard(spark, d):
 def prj_filter_echo(spark, d):
     """The filters as they were understood."""
     return spark.createDataFrame(list(f.echo({"states": ["9", "1", "x"], "statutes": "IPC ", "sections": [], "commercial_safe": None}, integers={"states"}).items()), "filter string, applied array<string>")
-
-
-@query("WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a' WHEN c_custkey % 3 = 1 THEN 'B' END AS s FROM customer) SELECT coalesce(s, '') AS label, count(*) AS n, min(c_custkey) AS first FROM c GROUP BY 1 HAVING coalesce(s, '') NOT IN (SELECT 'a') ORDER BY label")
-def jn_set_anti(spark, d):
-    """Labels that are in none of a stated set; null is a label of its own."""
-    label = F.when(F.col("c_custkey") % 3 == 0, "a").when(F.col("c_custkey") % 3 == 1, "B")
-    counted = table(spark, d, "customer").groupBy(F.coalesce(label, F.lit("")).alias("label")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
-    return counted.join(spark.createDataFrame([("a",)], "label string"), "label", "left_anti")

@@ -121,13 +121,6 @@ def txt_page_assign(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(found, lambda x: x["page_start"]).alias("first"), F.transform(found, lambda x: x["page_end"]).alias("last"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '{\"court\":\"' || p_brand || '\",\"state\":\"' || p_type || '\"}' ELSE '{\"state\":\"' || p_type || '\"}' END AS meta FROM part")
-def txt_legalmeta(spark, d):
-    """Metadata of a chunk with fallbacks; nulls leave no key."""
-    court = F.coalesce(F.when(F.col("p_size") % 4 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.struct(court.alias("court"), F.col("p_type").alias("state"))).alias("meta"))
-
-
 @query("SELECT conv_id, string_agg('[' || k || '] [Source: ' || role || ', Page ' || turn || ']:' || chr(10) || length(text), chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3 GROUP BY 1")
 def txt_context(spark, d):
     """Numbered evidence of each conversation, the first three passages."""
@@ -136,23 +129,6 @@ def txt_context(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("rows", block), "\n\n").alias("context"))
 
 
-@query("SELECT p_partkey AS id, p_partkey % 7 AS state_code, CASE WHEN p_type = 'ECONOMY' THEN 'sessions' ELSE 'district' END AS court_level, [(100 + p_size)::VARCHAR] AS sections, make_date(2018, 1 + p_size % 12, 1) AS filed, p_size % 2 = 0 AS bailable FROM part")
-def cls_row(spark, d):
-    """A loose row in canonical form."""
-    p = table(spark, d, "part")
-    raw = p.select(F.col("p_partkey").alias("id"), F.concat((F.col("p_partkey") % 7).cast("string"), F.lit(".0")).alias("state"), F.when(F.col("p_type") == "ECONOMY", "Sessions Judge").otherwise("Civil Judge").alias("position"), F.concat(F.lit("IPC "), (F.col("p_size") + 100).cast("string")).alias("section"), F.date_format(F.make_date(F.lit(2018), 1 + F.col("p_size") % 12, F.lit(1)), "dd/MM/yyyy").alias("filed"), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false").alias("bailable"))
-    return raw.select("id", classify.loose_int(F.col("state")).alias("state_code"), classify.court_level(F.col("position"), F.lit(None).cast("string")).alias("court_level"), classify.sections(F.col("section")).alias("sections"), classify.loose_date(F.col("filed")).alias("filed"), classify.loose_bool(F.col("bailable")).alias("bailable"))
-
-
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'N' || p_size WHEN p_size % 3 = 1 THEN 'CN' || p_partkey ELSE p_brand || ':' || p_partkey END AS judgment_id FROM part")
-def cls_judgment(spark, d):
-    """The canonical id by a chain of fallbacks."""
-    n = F.col("p_size") % 3
-    neutral, cnr = F.when(n == 0, F.concat(F.lit(" N"), F.col("p_size"))), F.when(n == 1, F.concat(F.lit("CN"), F.col("p_partkey"))).otherwise("")
-    made = F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(F.nullif(F.btrim(neutral), F.lit("")), F.nullif(F.btrim(cnr), F.lit("")), made).alias("judgment_id"))
-
-
 @query("SELECT vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.e), 5) AS similarity FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 21) b ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.e) DESC, vec_id LIMIT 15")
 def topk_vector(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -160,11 +136,6 @@ def topk_vector(spark, d):
     return search.nearest(e, one, 15).select("id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 60")
-def srt_composite(spark, d):
-    return table(spark, d, "orders").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(60).select("o_orderkey", "o_orderpriority")
-
-
 @query("SELECT o_orderkey, n_name AS district, r_name AS state FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200) LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def jn_left_labels(spark, d):
     """Labels join after the limit."""
@@ -173,24 +144,3 @@ def jn_left_labels(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")  # 25 and 5 rows by definition
     j = top.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return j.select("o_orderkey", F.col("n_name").alias("district"), F.col("r_name").alias("state"))
-
-
-@query("""SELECT c_custkey AS id, '"a,b",' || c_custkey || ',' || c_name || '|' || c_mktsegment AS line FROM customer ORDER BY c_custkey LIMIT 10000""")
-def snk_csv_cnr(spark, d):
-    """Lines of an export: quoted where needed, lists joined by a bar, at most ten thousand."""
-    cells = [text.csv_cell(F.lit("a,b")), text.csv_cell(F.col("c_custkey").cast("string")), text.csv_cell(F.array_join(F.array("c_name", "c_mktsegment"), "|"))]
-    return table(spark, d, "customer").orderBy("c_custkey").limit(10_000).select(F.col("c_custkey").alias("id"), F.concat_ws(",", *cells).alias("line"))
-
-
-@query("SELECT event_id, event_type || ',' || user_id AS line FROM (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-02-01' ORDER BY ts DESC, event_id LIMIT 10000)")
-def snk_audit(spark, d):
-    """The ten thousand newest audit lines of a span."""
-    rows = table(spark, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-02-01'").orderBy(F.desc("ts"), "event_id").limit(10_000)
-    return rows.select("event_id", F.concat_ws(",", text.csv_cell(F.col("event_type")), text.csv_cell(F.col("user_id").cast("string"))).alias("line"))
-
-
-@query("SELECT conv_id, count(*) AS messages, to_json(list({'turn': turn, 'role': role} ORDER BY turn))::VARCHAR AS body FROM conversations GROUP BY 1")
-def snk_conv(spark, d):
-    """Conversations as nested JSON."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.to_json(rows).alias("body"))

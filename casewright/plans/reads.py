@@ -40,20 +40,6 @@ def rd_chunks(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("chunk"), F.char_length("text").cast("long").alias("chars"))
 
 
-@query("SELECT l_orderkey AS case_id, l_linenumber AS attempt, l_shipdate AS tried_at FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) <= 3")
-def rd_case_detail(spark, d):
-    """The newest attempts of every case; three stand for fifty, since orders are short."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("attempt"), F.col("l_shipdate").alias("tried_at"))
-    return li.withColumn("new", _newest(3, "case_id", F.desc("tried_at"), F.desc("attempt"))).where("new").drop("new")
-
-
-@query("SELECT l_orderkey AS case_id, l_linenumber AS artifact, l_returnflag = 'A' AS has_document FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'A' DESC, l_shipdate DESC, l_linenumber) = 1")
-def rd_fetch_status(spark, d):
-    """Of each case the artifact shown first: one with a document before others, then the newest."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("artifact"), (F.col("l_returnflag") == "A").alias("has_document"), "l_shipdate")
-    return li.withColumn("first", _newest(1, "case_id", F.desc("has_document"), F.desc("l_shipdate"), "artifact")).where("first").drop("first", "l_shipdate")
-
-
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def rd_batch_jobs(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")

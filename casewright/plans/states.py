@@ -57,12 +57,6 @@ def dml_batch_reprocess(spark, d):
     return after.select("status").unionByName(new.select(F.lit("NEW").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE NOT contains(coalesce(text, ''), 'erly')")
-def dml_cache_invalidate(spark, d):
-    """Entries whose citations name a document leave; what stays."""
-    return table(spark, d, "conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("erly"))).select("conv_id", "turn")
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'DELETED' ELSE 'ACTIVE' END AS status, doc_id % 5 = 0 AS hidden FROM documents")
 def dml_soft_delete(spark, d):
     """Deletion is a status."""
@@ -165,20 +159,8 @@ def snk_upsert(spark, d):
     return old.unionByName(new).groupBy("id").agg(F.max("v").alias("version"), F.max_by("shown", "v").alias("shown"))
 
 
-@query("SELECT doc_id, n_chars, status FROM (SELECT doc_id, n_chars, CASE WHEN n_chars > 5000 THEN 'SEARCHABLE' ELSE 'CHUNK' END AS status FROM documents)")
-def rd_status(spark, d):
-    """Where each document stands."""
-    return table(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("n_chars") > 5000, "SEARCHABLE").otherwise("CHUNK").alias("status"))
-
-
 @query("SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) WHERE place <= 10")
 def rd_versions(spark, d):
     """The ten newest versions of each source."""
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
     return table(spark, d, "documents").select("source", "doc_id", place.alias("place")).where("place <= 10")
-
-
-@query("SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL")
-def rd_text(spark, d):
-    """The whole text of each document that has one."""
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.char_length("text").cast("bigint").alias("n"))

@@ -110,12 +110,3 @@ def cls_court(spark, d):
     """Court levels of labels made from part names and types."""
     position = F.when(F.contains(F.lower("p_name"), F.lit("ring")), "Sessions Judge").when(F.col("p_type") == "ECONOMY", "Family Court").otherwise("Civil Judge")
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), classify.court_level(position, F.lit(None).cast("string")).alias("level"))
-
-
-@query("SELECT c_custkey AS id, rank AS level FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 2 ELSE 1 END AS rank FROM customer) WHERE rank <= 1")
-def flt_access_doc(spark, d):
-    """Rows up to the clearance INTERNAL."""
-    from casewright.operators.filters import rank_of
-
-    level = F.when(F.col("c_mktsegment") == "BUILDING", "PUBLIC").when(F.col("c_mktsegment") == "MACHINERY", "RESTRICTED").otherwise("INTERNAL")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), rank_of(level).cast("int").alias("level")).where(F.col("level") <= rank_of(F.lit("INTERNAL")))
