@@ -70,21 +70,6 @@ def txt_headings(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(s, lambda x: x["heading"]).alias("headings"), F.transform(s, lambda x: x["body"]).alias("bodies"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '[^ \t\r\x0b\x0c]'))) AS parts FROM documents WHERE regexp_matches(text, '\n.*[^\s]')")
-def txt_split_para(spark, d):
-    """Paragraphs by themselves: no two fit into one chunk."""
-    p = chunking.by_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")), 1, 0)
-    return table(spark, d, "documents").where(F.col("text").rlike(r"\n.*[^\s]")).select("doc_id", F.size(p).cast("bigint").alias("parts"))
-
-
-@query(r"SELECT doc_id, length(text) - length(regexp_replace(text, '([.!?])\s+', '\1', 'g')) AS blanks FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 AND length(text) < 3000 AND regexp_full_match(text, '\S(.*\S)?', 's')")
-def txt_split_sent(spark, d):
-    """Sentences: what lies between them is white space alone."""
-    s = F.split("text", r"(?<=[.!?])\s+")
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND doc_id % 2 = 0 AND length(text) < 3000").where(F.col("text").rlike(r"(?s)\A\S(.*\S)?\z"))
-    return docs.select("doc_id", (F.length("text") - F.aggregate(s, F.lit(0), lambda n, x: n + F.length(x))).cast("bigint").alias("blanks"))
-
-
 @query("SELECT p_partkey AS id, ceil(p_size * 3 / 50.0)::INT AS parts FROM part WHERE p_size * 3 + 1 > 50")
 def txt_split_table(spark, d):
     """Long tables in parts of fifty rows under the first line."""
@@ -92,35 +77,6 @@ def txt_split_table(spark, d):
     return table(spark, d, "part").where("p_size * 3 + 1 > 50").select(F.col("p_partkey").alias("id"), F.size(chunking.by_rows(body)).alias("parts"))
 
 
-def _chunk(kind: str, content):
-    return F.struct(F.lit(kind).alias("kind"), F.lit("").alias("heading"), content.alias("content"))
-
-
-@query("SELECT p_partkey AS id, 3 AS parts FROM part")
-def txt_cap(spark, d):
-    """A chunk over the cap is cut at sentences; one long sentence stays long."""
-    c = F.array(_chunk("NARRATIVE", F.concat(F.lit("One. "), F.repeat(F.lit("x"), F.lit(40)), F.lit(". Two."))), _chunk("TABLE", F.lit("a")))
-    cut = chunking.capped(c, 20)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.size(cut) - 1).alias("parts"))
-
-
-@query("SELECT p_partkey AS id, ['a long enough chunk' || chr(10) || p_name, 't'] AS texts FROM part")
-def txt_merge(spark, d):
-    """Tiny chunks join the one before of their kind."""
-    c = F.array(_chunk("NARRATIVE", F.lit("a long enough chunk")), _chunk("NARRATIVE", F.col("p_name")), _chunk("TABLE", F.lit("t")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(chunking.merged(c, 18), lambda x: x["content"]).alias("texts"))
-
-
-@query("SELECT p_partkey AS id, [1, 1, 2] AS first, [1, 2, 2] AS last FROM part")
-def txt_page_assign(spark, d):
-    """The pages of each chunk's first and last character."""
-    body = F.concat("p_name", F.lit(" one\fpage two"))
-    clean, starts = chunking.page_starts(body)
-    c = F.array(_chunk("N", F.col("p_name")), _chunk("N", F.lit("one\n\npage")), _chunk("N", F.lit("two")))
-    found = chunking.located(c, clean, starts)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(found, lambda x: x["page_start"]).alias("first"), F.transform(found, lambda x: x["page_end"]).alias("last"))
-
-
 @query("SELECT conv_id, string_agg('[' || k || '] [Source: ' || role || ', Page ' || turn || ']:' || chr(10) || length(text), chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3 GROUP BY 1")
 def txt_context(spark, d):
     """Numbered evidence of each conversation, the first three passages."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -171,11 +173,14 @@ def test_lists_and_names():
     from casewright.operators import tables
 
     assert tables.listed("a\n- x\n  - y\n- z\nb\n1. only") == 'a\n[\n  {\n    "text": "x",\n    "children": [\n      {\n        "text": "y"\n      }\n    ]\n  },\n  {\n    "text": "z"\n  }\n]\nb\n1. only'
-    deep = [f"{' ' * k}- n{k}" for k in range(8)] + ["- last"]
-    tree, depth = tables.nested(deep), 0
-    while tree and "children" in tree[0]:
+    deep = [f"{' ' * k}{m} n{k}" for k, m in zip(range(8), "-*+-*-+-")] + ["2) last"]
+    tree, depth = json.loads(tables.listed("\n".join(deep))), 0
+    assert [x["text"] for x in tree] == ["n0", "last"]
+    while "children" in tree[0]:
         tree, depth = tree[0]["children"], depth + 1
-    assert depth < tables.DEPTH and tables.nested(["- one", "  - two"]) == []
+    assert depth == tables.DEPTH - 1 and [x["text"] for x in tree] == ["n4", "n5", "n6", "n7"]
+    assert tables.listed("- one\n  - two") == "- one\n  - two"
+    assert tables.depths([2, 4, 4, 3, 0, 9, 1], 5) == [0, 1, 1, 1, 0, 1, 1]
     assert tables.ratio("ram", "Ram Kumar") < 0.85 and tables.ratio("ram kumar", "Ram Kumar Singh") >= 0.75 and tables.ratio("same", "Same") == 1
 
 
