@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from casewright.functions.text import case_scope, scopes_match, terms, trigrams
 from casewright.shared import small
@@ -14,6 +17,8 @@ from casewright.shared import small
 # Boosts of wiki sources and graph paths by question profile.
 BOOSTS = {"doctrine": (0.18, 0.12), "officer_lesson": (0.22, 0.12), "precedent_trace": (0.12, 0.20), "pattern_analysis": (0.12, 0.16), "comparison": (0.10, 0.14)}
 OTHER_BOOST = (0.08, 0.08)
+#: Similarities of one matrix product.
+CELLS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,23 +37,47 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """(q, id, similarity): the k nearest of each query, exact.
+def _best_of_block(queries: list[tuple], kind: pa.DataType, k: int, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best rows of each query in a batch (and those that tie with the last), by one matrix product for each."""
+    names, asked = [q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
 
-    ``queries`` (q, v) is a stated set; it is broadcast in blocks of at most
-    ``block`` rows, and each task keeps k rows a query before anything is
-    shuffled.  Vectors are brought to length 1 once, not for each pair.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, flat = b.column(0), b.column(1)
+            own = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            for at in range(0, len(names), max(1, CELLS // b.num_rows)):
+                like = asked[at : at + max(1, CELLS // b.num_rows)] @ own.T
+                floor = np.partition(like, -k, axis=1)[:, -k] if k < b.num_rows else np.full(len(like), -np.inf)
+                keep = like >= floor[:, None] - 1e-12
+                if least is not None:
+                    keep &= like >= least - 1e-12
+                q, row = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in q.tolist()], kind), ids.take(pa.array(row)), pa.array(like[q, row])], names=["q", "id", "similarity"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 5_000, least: float | None = None) -> DataFrame:
+    """(q, id, similarity): the k nearest of each query, exact, or those of them that reach ``least``.
+
+    ``queries`` (q, v) is a stated set; it goes out in blocks of at most
+    ``block`` rows, and a batch of vectors leaves about k rows a query before
+    anything is shuffled.  Vectors are brought to length 1 once; null vectors
+    and vectors of another length than the queries' are left out.
     """
-    own = vectors.select("id", unit(F.col("vec")).alias("__u"))
-    asked = queries.select("q", unit(F.col("v")).alias("__w"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
-    blocks, out = max(1, -(-asked.count() // block)), None
+    asked = queries.select("q", unit(F.col("v")).alias("w")).where("w is not null")
+    size = asked.agg(F.max(F.size("w")).alias("n"), F.count("*").alias("c")).first()
+    own = vectors.where(F.size("vec") == F.lit(size["n"] or 0)).select("id", unit(F.col("vec")).alias("u"))
+    schema = f"q {queries.schema['q'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
+    blocks, out = max(1, -(-size["c"] // block)), None
     for n in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)
-        hits = own.crossJoin(F.broadcast(part)).select("q", "id", dot(F.col("__u"), F.col("__w")).alias("similarity"))
-        top = hits.withColumn("k", best).where(F.col("k") <= k).drop("k")
-        out = top if out is None else out.unionByName(top)
-    return out
+        rows = [(r["q"], r["w"]) for r in asked.where((F.size("w") == F.lit(size["n"] or 0)) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)).toLocalIterator()]
+        part = own.mapInArrow(_best_of_block(rows, to_arrow_type(queries.schema["q"].dataType), k, least), schema) if rows else own.select(F.lit(None).cast(queries.schema["q"].dataType).alias("q"), "id", F.lit(0.0).alias("similarity")).where("false")
+        out = part if out is None else out.unionByName(part)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 12)), "id"))
+    return out.withColumn("k", best).where(F.col("k") <= k).drop("k")
 
 
 def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) -> DataFrame:
@@ -172,6 +201,17 @@ def cached(entries: DataFrame, question: Column, preset: str, as_of: Column, lea
     return near.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(1)
 
 
+def cached_answers(entries: DataFrame, questions: DataFrame, preset: str, as_of: Column, least: float = 0.8) -> DataFrame:
+    """(q, id, similarity): for each question (q, v) the most similar live entry of a preset other than itself, if similar enough.
+
+    entries: (id, vec, preset, expires); a stated set of questions.
+    """
+    live = entries.where((F.col("preset") == preset) & (F.col("expires") > as_of)).select("id", "vec")
+    near = nearest(live, questions, 2, least=least).where(F.col("q") != F.col("id"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 12)), "id"))
+    return near.withColumn("k", place).where("k = 1").drop("k")
+
+
 def scoped(hits: DataFrame, scope: str) -> DataFrame:
     """(doc, chunk, status): hits that name the case, and hits of their documents that name none.
 
@@ -182,7 +222,9 @@ def scoped(hits: DataFrame, scope: str) -> DataFrame:
     match = own.where("__hit").select("doc", "chunk", F.lit("MATCH").alias("status"))
     docs = match.select("doc").distinct()
     silent = own.where("signal is null").select("doc", "chunk", F.lit("UNKNOWN").alias("status"))
-    return match.unionByName(silent.join(docs, "doc", "left_semi") if not match.isEmpty() else silent)
+    some = match.agg(F.count("*").alias("__n"))  # one row
+    kept = silent.crossJoin(F.broadcast(some)).join(docs.withColumn("__own", F.lit(True)), "doc", "left")
+    return match.unionByName(kept.where((F.col("__n") == 0) | F.col("__own").isNotNull()).select("doc", "chunk", "status"))
 
 
 def canonical(asked: Column, single: list[str]) -> Column:

@@ -66,18 +66,6 @@ def agg_answer_text(spark, d):
     return total.crossJoin(F.broadcast(lines)).select(heading.alias("heading"), F.concat(F.lit("Top breakdown: "), words, F.lit(".")).alias("breakdown"))
 
 
-@query(f"WITH {FACTS_SQL}, now AS (SELECT max(ts) AS t FROM events) SELECT 'source' AS part, case_type AS source, commercial_safe::VARCHAR AS state, sum(metadata_cases)::BIGINT AS n FROM facts GROUP BY ALL UNION ALL SELECT 'queue', 'src' || user_id % 5, event_type, count(*) FROM events GROUP BY ALL UNION ALL SELECT 'attempts', 'src' || user_id % 5, event_type, count(*) FROM events, now WHERE ts >= t - INTERVAL 7 DAY GROUP BY ALL")
-def agg_source_perf(spark, d):
-    """Sources by facts, by queue, and by the attempts of the last seven days."""
-    e = table(spark, d, "events")
-    newest = e.agg(F.max("ts").alias("t"))  # one row
-    source = F.concat(F.lit("src"), F.col("user_id") % 5).alias("source")
-    by_fact = facts(spark, d).groupBy(F.col("case_type").alias("source"), F.col("commercial_safe").cast("string").alias("state")).agg(F.sum("metadata_cases").alias("n")).select(F.lit("source").alias("part"), "source", "state", "n")
-    queue = e.groupBy(source, F.col("event_type").alias("state")).agg(F.count("*").alias("n")).select(F.lit("queue").alias("part"), "source", "state", "n")
-    late = e.crossJoin(F.broadcast(newest)).where(F.expr("ts >= t - INTERVAL 7 DAYS")).groupBy(source, F.col("event_type").alias("state")).agg(F.count("*").alias("n")).select(F.lit("attempts").alias("part"), "source", "state", "n")
-    return by_fact.unionByName(queue).unionByName(late)
-
-
 @query(f"WITH {ARTIFACTS_SQL} SELECT case_id, has_text, ocr_required, redacted, translated, artifact_language FROM artifacts")
 def agg_artifact_rollup(spark, d):
     return artifacts(spark, d).select("case_id", "has_text", "ocr_required", "redacted", "translated", "artifact_language")
@@ -122,14 +110,6 @@ def agg_fb_level(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("rating"))
 
 
-@query("SELECT s_suppkey AS source, count(l_orderkey) AS attempts, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_linestatus = 'O') AS waiting, max(l_shipdate)::DATE AS newest FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
-def agg_source_status(spark, d):
-    """Every source with its attempts, also those without one."""
-    n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").alias("attempts"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.count_if(F.col("l_linestatus") == "O").alias("waiting"), F.max("l_shipdate").cast("date").alias("newest"))
-    zero = F.lit(0).cast("bigint")
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("source")).join(n, "source", "left").select("source", *(F.coalesce(c, zero).alias(c) for c in ("attempts", "failed", "waiting")), "newest")
-
-
 @query("SELECT count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('view', 'error')) AS done, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS stored FROM events")
 def agg_stage_counts(spark, d):
     """Queue and artifact stages side by side."""

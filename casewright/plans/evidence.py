@@ -36,28 +36,6 @@ def gr_edge_type(spark, d):
     return table(spark, d, "part").where("p_size % 4 < 3").select(F.col("p_partkey").alias("id"), entities.edge_type(given, ["WorksFor", "related_to"], closed=False).alias("kind"))
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 AND vec_id % 4 = 0 THEN ['vector', 'lexical', 'graph'] WHEN vec_id % 9 = 0 THEN ['vector', 'lexical'] WHEN vec_id % 4 = 0 THEN ['vector', 'graph'] ELSE ['vector'] END AS sources FROM embeddings WHERE vec_id < 30")
-def fus_sources(spark, d):
-    """Which searches found a hit, in their order."""
-    v = table(spark, d, "embeddings").where("vec_id < 30").select(F.col("vec_id").alias("id"), (F.col("vec_id") / 100).alias("similarity"))
-    lex = v.where("id % 9 = 0").select("id", F.lit(1.0).alias("rank"))
-    return search.fuse(v, lex, v.where("id % 4 = 0").select("id"), 100).select("id", "sources")
-
-
-@query("SELECT conv_id, string_agg(role || ' ' || turn, '; ' ORDER BY turn) AS seed FROM conversations WHERE turn < 3 GROUP BY 1")
-def fus_seed(spark, d):
-    """The words that seed a graph search."""
-    rows = table(spark, d, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("rows"))
-    return rows.select("conv_id", F.array_join(F.transform("rows", lambda r: F.concat_ws(" ", r["role"], r["turn"].cast("string"))), "; ").alias("seed"))
-
-
-@query("SELECT doc_id, 0.75::DOUBLE AS similarity FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def fus_fetch(spark, d):
-    """Sources of approved articles come in as hits of a fixed similarity."""
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    return table(spark, d, "documents").select("doc_id").join(good, "doc_id", "left_semi").withColumn("similarity", F.lit(0.75))
-
-
 @query("WITH h AS (SELECT l_orderkey AS doc, l_linenumber AS chunk, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN '12/2020' WHEN l_linenumber = 2 THEN '99/2019' END AS signal FROM lineitem), m AS (SELECT doc, chunk FROM h WHERE signal = '12/2020') SELECT doc, chunk, 'MATCH' AS status FROM m UNION ALL SELECT doc, chunk, 'UNKNOWN' FROM h WHERE signal IS NULL AND doc IN (SELECT doc FROM m)")
 def fus_scope_filter(spark, d):
     """Hits of the asked case, then those of the same documents that name no case; others' hits go."""
@@ -66,20 +44,6 @@ def fus_scope_filter(spark, d):
     return search.scoped(h, "12/2020")
 
 
-@query("SELECT conv_id, count(*) AS evidence FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'system') = 0")
-def fus_gap(spark, d):
-    """Questions with evidence but no approved article."""
-    n = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("evidence"), F.count_if(F.col("role") == "system").alias("approved"))
-    return n.where("approved = 0 AND evidence > 0").select("conv_id", "evidence")
-
-
-@query("SELECT conv_id AS run, count(*) AS steps, list(role ORDER BY turn) AS kinds, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
-def fus_trace(spark, d):
-    """A run with its steps in order."""
-    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("run")).agg(F.count("*").alias("steps"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("rows"), F.sum(F.char_length("text")).alias("chars"))
-    return rows.select("run", "steps", F.transform("rows", lambda r: r["role"]).alias("kinds"), "chars")
-
-
 @query("SELECT c_custkey AS id, '{\"city\":[\"' || c_mktsegment || '\",\"x\"],\"state\":\"' || (c_custkey % 3) || '\"}' AS key FROM customer")
 def vec_cache_norm(spark, d):
     """Filters in one canonical JSON: trimmed, without empty values, keys and lists sorted."""
@@ -87,14 +51,6 @@ def vec_cache_norm(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), search.canonical(asked, ["state"]).alias("key"))
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE label % 2 = 0 AND vec_id > 250 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) DESC, vec_id LIMIT 1")
-def topk_cache(spark, d):
-    e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 3").select(F.col("embedding").alias("v"))  # one row
-    entries = e.where("vec_id > 250").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.when(F.col("label") % 2 == 0, "balanced").otherwise("concise").alias("preset"), F.lit(1).alias("expires")).crossJoin(F.broadcast(one))
-    return search.cached(entries, F.col("v"), "balanced", F.lit(0), -1.0).select("id")
-
-
 @query("SELECT p_partkey AS id, p_name AS text FROM part")
 def txt_nfc(spark, d):
     """Decomposed accents come to their composed form."""

@@ -72,14 +72,6 @@ def dml_translation(spark, d):
     return docs.select("doc_id", "lang", F.when(F.col("lang") == "en", 0).otherwise(1).alias("version"), F.left(F.sha2("text", 256), F.lit(16)).alias("source_hash"))
 
 
-@query(f"SELECT event_id AS id FROM events WHERE event_type IN ('view', 'click') AND ts <= {NOW} AND user_id % 5 <> 2 ORDER BY user_id % 7 DESC, ts, event_id LIMIT 30")
-def st_acquire(spark, d):
-    """Due rows, but none of a paused source."""
-    kind = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "retry").otherwise("done")
-    q = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("source"), kind.alias("status"), (F.col("user_id") % 7).alias("priority"), F.col("ts").alias("due_at"))
-    return lifecycle.acquired(q, spark.range(2, 3).select(F.col("id").alias("source")), _now(), 30).select("id")
-
-
 @query("SELECT CASE WHEN event_type IN ('view', 'click') THEN 'process' WHEN event_type = 'error' THEN 'discover' ELSE 'seed' END AS job, count(*) AS n FROM events GROUP BY 1")
 def st_batch(spark, d):
     """Which job of a batch each row belongs to."""
@@ -120,14 +112,6 @@ def st_artifact_trigger(spark, d):
     return lifecycle.text_ready(c, arts).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT o_orderkey, bool_or(l_quantity > 45) AS big, bool_or(l_returnflag = 'R') AS returned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey AS id, CASE WHEN big IS NULL THEN 'no_artifact' WHEN NOT big THEN 'too_small' WHEN NOT returned THEN 'not_returned' END AS refused FROM s")
-def st_process(spark, d):
-    """The first reason for which a case can't be processed."""
-    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.bool_or(F.col("l_quantity") > 45).alias("big"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(n, "id", "left")
-    return rows.select("id", lifecycle.guarded(rows, [("no_artifact", F.col("big").isNotNull()), ("too_small", F.col("big")), ("not_returned", F.col("returned"))]).alias("refused"))
-
-
 @query(f"SELECT event_id AS task_id FROM events WHERE event_type IN ('view', 'error') AND ts + INTERVAL 3 DAY < {NOW} ORDER BY ts + INTERVAL 3 DAY, event_id LIMIT 50")
 def st_sla(spark, d):
     status = F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "error", "IN_PROGRESS").otherwise("DONE")
@@ -144,13 +128,6 @@ def st_wf(spark, d):
     return moved.withColumn("error", error).select("id", F.when(F.col("error").isNull(), F.col("wanted")).otherwise(F.col("was")).alias("status"), "error")
 
 
-@query("SELECT job_id, status, wait FROM (SELECT event_id AS job_id, CASE WHEN event_type = 'error' AND event_id % 5 + 1 >= 3 THEN 'DEAD_LETTER' WHEN event_type = 'error' THEN 'RETRYING' ELSE 'DONE' END AS status, CASE WHEN event_type = 'error' AND event_id % 5 + 1 < 3 THEN 5 * (2 ** (event_id % 5))::INT END AS wait FROM events)")
-def snk_dlq(spark, d):
-    """Failures wait longer each time, and the last one goes to the dead letters."""
-    j = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "error", "FAILED").otherwise("DONE").alias("status"), (F.col("event_id") % 5).alias("attempt"))
-    return lifecycle.retried(j).select("job_id", "status", "wait")
-
-
 @query("SELECT c_custkey AS id, max(v) AS version, arg_max(shown, v) AS shown FROM (SELECT c_custkey, c_name AS shown, 1 AS v FROM customer UNION ALL SELECT o_custkey, o_orderpriority, 2 + o_orderkey FROM orders) GROUP BY 1")
 def snk_upsert(spark, d):
     """Bulk upsert on a natural key: the latest batch's row stays."""

@@ -87,12 +87,6 @@ def src_s3key(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), readers.object_key(raw, "bucket").alias("k")).select("id", "k.*")
 
 
-@query()
-def src_html_orders(spark, d):
-    """Links of each page, each once in page order."""
-    return readers.page_links(table(spark, d, "pages"))
-
-
 @query()
 def txt_chunk(spark, d):
     """Chunks of every whole text."""

@@ -98,3 +98,38 @@ def object_key(raw: Column, bucket: str) -> Column:
     part = lambda p: F.when(error.isNull(), F.nullif(F.regexp_extract(k, p, 1), F.lit("")))
     court = part(r"(?:^|/)court=([^/]+)(?:/|$)")
     return F.struct(F.when(error.isNull(), k).alias("key"), part(r"(?:^|/)year=(\d{4})(?:/|$)").cast("int").alias("year"), F.url_decode(court).alias("court"), error.alias("error"))
+
+
+# What a link to a judgment's file looks like, dates, and wording of final orders.
+FILES, DATED, FINAL = r"(?i)(?:view_?order|display_pdf|order_?pdf|viewpdf|\.pdf)", r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", r"(?i)judg|final order|disposed|disposal"
+
+
+def order_links(pages: DataFrame) -> DataFrame:
+    """(page_id, place, ref, order_date, label, is_judgment): links to order files of case pages (page_id, html), each once.
+
+    The date and the wording come from the link and its table row.  Links
+    outside of rows follow those in rows.
+    """
+    plain = lambda c: F.btrim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
+    anchors = lambda c: F.regexp_extract_all(c, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), 0)
+    rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>.*?</tr>"), 0)
+    inside = F.flatten(F.transform(rows, lambda r: F.transform(anchors(r), lambda a: F.struct(a.alias("a"), plain(r).alias("row")))))
+    outside = F.transform(anchors(F.regexp_replace("html", r"(?is)<tr[^>]*>.*?</tr>", " ")), lambda a: F.struct(a.alias("a"), F.lit("").alias("row")))
+    each = pages.select("page_id", F.posexplode(F.concat(inside, outside)).alias("k", "x")).select("page_id", "k", "x.a", "x.row")
+    href = F.regexp_extract("a", r"(?is)\shref\s*=\s*[\"']([^\"']*)[\"']", 1)
+    click = F.coalesce(F.nullif(F.regexp_extract("a", r'(?is)\sonclick\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract("a", r"(?is)\sonclick\s*=\s*'([^']*)'", 1))
+    quoted = F.filter(F.regexp_extract_all(click, F.lit("['\"]([^'\"]+)['\"]"), 1), lambda v: v.rlike(FILES) | F.contains(v, F.lit("=")))
+    ref = F.when(href.rlike(FILES), href).when(click.rlike(FILES), F.get(quoted, F.lit(0)))
+    told = each.select("page_id", "k", ref.alias("ref"), plain(F.col("a")).alias("label"), F.concat_ws(" ", plain(F.col("a")), "row").alias("said")).where("ref is not null")
+    first = told.groupBy("page_id", "ref").agg(F.min_by(F.struct("k", "label", "said"), "k").alias("x"))
+    date = F.nullif(F.regexp_extract("x.said", DATED, 1), F.lit(""))
+    return first.select("page_id", F.col("x.k").alias("place"), "ref", date.alias("order_date"), F.coalesce(F.nullif("x.label", F.lit("")), F.lit("order")).alias("label"), F.col("x.said").rlike(FINAL).alias("is_judgment"))
+
+
+def chosen_orders(links: DataFrame) -> DataFrame:
+    """(page_id, ref): of each page the newest link worded as a judgment, else the newest of all; undated ones are oldest."""
+    parts = F.transform(F.split("order_date", "[-/]"), lambda p: p.cast("int"))
+    year = F.when(parts[2] < 100, parts[2] + 2000).otherwise(parts[2])
+    when = F.coalesce(F.struct(year.alias("y"), parts[1].alias("m"), parts[0].alias("d")), F.struct(F.lit(0).alias("y"), F.lit(0).alias("m"), F.lit(0).alias("d")))
+    when = F.when(F.col("order_date").isNull(), F.struct(F.lit(0).alias("y"), F.lit(0).alias("m"), F.lit(0).alias("d"))).otherwise(when)
+    return links.groupBy("page_id").agg(F.max_by("ref", F.struct("is_judgment", when.alias("w"), (-F.col("place")).alias("p"))).alias("ref"))

@@ -149,3 +149,46 @@ def overdue(tasks: DataFrame, now: Column, n: int = 50) -> DataFrame:
     """The oldest open tasks past their due time. tasks: task_id, status, due_at."""
     late = F.col("status").isin("PENDING", "IN_PROGRESS") & (F.col("due_at") < now)
     return tasks.where(late).orderBy("due_at", "task_id").limit(n)
+
+
+# What becomes of a queue row by the outcome of its attempt, and of a case whose status is final.
+DONE_BY, BLOCKED_BY, FINAL = {"hit": "succeeded", "miss": "miss"}, ["captcha_required", "captcha_failed", "blocked_by_policy"], ["text_ready", "blocked", "dead"]
+
+
+def attempted(queue: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(attempt rows, queue after them) of fetched queue rows.
+
+    queue: id, case_id, source, status, attempt, most, next_at, error; results: id, outcome, error.
+    Rate limits wait longer each time until the last attempt fails.
+    """
+    got = queue.join(results.select("id", "outcome", F.col("error").alias("__said")), "id", "left")
+    tried, n = F.col("outcome").isNotNull(), F.col("attempt") + 1
+    known = F.create_map(*(F.lit(x) for pair in DONE_BY.items() for x in pair))
+    status = F.coalesce(F.try_element_at(known, F.col("outcome")), F.when(F.col("outcome").isin(BLOCKED_BY), "blocked").when(n < F.col("most"), "rate_limited").otherwise("failed"))
+    waits = now + F.make_dt_interval(secs=backoff(n))
+    got = got.withColumn("__next", F.when(tried & (status == "rate_limited"), waits).when(~tried, F.col("next_at")))
+    after = got.withColumns({"status": F.when(tried, status).otherwise(F.col("status")), "attempt": F.when(tried, n).otherwise(F.col("attempt")), "error": F.when(tried, F.col("__said")).otherwise(F.col("error"))})
+    after = after.withColumn("next_at", F.col("__next"))
+    rows = got.where(tried).select("id", "case_id", "source", "outcome", F.when(F.col("outcome") == "captcha_required", "required").alias("captcha"), F.col("__said").alias("notes"))
+    return rows, after.select(queue.columns)
+
+
+def after_attempts(cases: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``cases`` (case_id, status) after attempts (case_id, source, outcome, at): the last that says something counts; final states stay."""
+    from casewright.functions.classify import case_status
+
+    silent = (F.col("outcome") == "http_error") | ((F.col("outcome") == "blocked_by_policy") & (F.col("source") != "ecourts"))
+    told = attempts.where(~silent).groupBy("case_id").agg(F.max_by(case_status(F.col("source"), F.col("outcome")), "at").alias("__new"))
+    return cases.join(told, "case_id", "left").withColumn("status", F.when(F.col("status").isin(FINAL) | F.col("__new").isNull(), F.col("status")).otherwise(F.col("__new"))).drop("__new")
+
+
+def dead_letters(known: DataFrame, failed: DataFrame) -> DataFrame:
+    """Keyed upsert of failures (external_id, source, error, failed_at): a repeat keeps its row, counts a retry and takes the newest error.
+
+    known has retry_count as well.
+    """
+    last = failed.groupBy("external_id", "source").agg(F.max_by("error", "failed_at").alias("e"), F.max("failed_at").alias("at"), F.count("*").alias("n"))
+    j = known.join(last, ["external_id", "source"], "full")
+    again = F.col("e").isNotNull()
+    count = F.when(F.col("retry_count").isNull(), F.col("n") - 1).otherwise(F.col("retry_count") + F.coalesce("n", F.lit(0)))
+    return j.select("external_id", "source", F.when(again, F.col("e")).otherwise(F.col("error")).alias("error"), F.when(again, F.col("at")).otherwise(F.col("failed_at")).alias("failed_at"), count.cast("bigint").alias("retry_count"))
