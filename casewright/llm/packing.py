@@ -29,6 +29,8 @@ from casewright.llm.storage import materialize
 from casewright.llm.tokens import crc_rows, default_path, encoder, with_end
 from casewright.llm.words import as_bytes, slices
 
+#: Words that a worker keeps: packing runs after other stages, in executors that these have filled.
+WORDS = 700_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = f"{PIECE}, offset bigint"
 BIN = f"fill int, full boolean, items array<struct<{PLACED.replace(' ', ':').replace(',:', ',')}>>"
@@ -64,7 +66,7 @@ def _cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.Reco
     """From documents to bins of one piece each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, WORDS)
         for batch in batches:
             texts, doc = as_bytes(batch.column(1)), batch.column(0)
             for i, j in slices(texts):

@@ -187,9 +187,9 @@ def _pieces(text: bytes) -> list[bytes]:
     return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, max_words: int = 2_000_000) -> WordEncoder:
     """The worker's encoder for this file, kept until the worker needs another model."""
-    return only(f"tokens {path}", lambda: WordEncoder(path))
+    return only(f"tokens {path} {max_words}", lambda: WordEncoder(path, max_words))
 
 
 def default_path() -> str:
