@@ -87,3 +87,10 @@ def normalized_ranks(hits: DataFrame, least: float = 0.001) -> DataFrame:
 def changed(vectors: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (id, hash, ...) that have no vector of this very content yet. known: id, hash."""
     return vectors.join(known.select("id", "hash").distinct(), ["id", "hash"], "left_anti")
+
+
+def numbered(rows: DataFrame, key: str, place: Column, source: Column, page: Column, text: Column) -> DataFrame:
+    """(key, context): the passages of each key in order as numbered evidence with source and page."""
+    own = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), source.alias("source"), page.cast("string").alias("page"), F.coalesce(text, F.lit("")).alias("text")))).alias("x"))
+    block = lambda x, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] [Source: "), x["source"], F.lit(", Page "), x["page"], F.lit("]:\n"), x["text"])
+    return own.select(key, F.array_join(F.transform("x", block), "\n\n").alias("context"))

@@ -164,15 +164,15 @@ def audit(asked: dict[str, object]) -> Column:
     return all_of(*same, *span)
 
 
-def echo(asked: dict[str, object], integers: set[str] = frozenset()) -> dict[str, list[str]]:
-    """Filters as understood: lower case, sorted, blanks and non-integers dropped; commercial safety always shows."""
-    out = {}
-    for name, value in asked.items():
-        if name == "commercial_safe":
-            out[name] = ["false" if str(value).lower() == "false" else "true"]
-            continue
-        words = sorted({str(v).strip().lower() for v in (value if isinstance(value, (list, tuple)) else [value]) if v is not None})
-        words = [w for w in words if w and (name not in integers or w.lstrip("-").isdigit())]
-        if words:
-            out[name] = words
-    return out
+def echo(asked: Column, integers: list[str]) -> Column:
+    """Filters (map of lists of texts) as understood: lower case, sorted, each value once; blanks and non-integers drop out, empty filters too; commercial safety always shows."""
+    plain = F.map_filter(asked, lambda k, v: k != "commercial_safe")
+
+    def clean(k: Column, v: Column) -> Column:
+        words = F.transform(F.filter(v, lambda x: x.isNotNull()), lambda x: F.lower(F.btrim(x)))
+        kept = F.filter(words, lambda w: (w != "") & (~k.isin(integers) | w.rlike("^-?[0-9]+$")))
+        return F.array_sort(F.array_distinct(kept))
+
+    understood = F.map_filter(F.transform_values(plain, clean), lambda k, v: F.size(v) > 0)
+    said = F.lower(F.element_at(F.coalesce(F.try_element_at(asked, F.lit("commercial_safe")), F.array(F.lit("true"))), 1))
+    return F.map_concat(understood, F.create_map(F.lit("commercial_safe"), F.array(F.when(said == "false", "false").otherwise("true"))))

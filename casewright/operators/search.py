@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from casewright.functions.text import case_scope, scopes_match, terms, trigrams
-from casewright.shared import small
+from casewright.shared import small, written
 
 # Boosts of wiki sources and graph paths by question profile.
 BOOSTS = {"doctrine": (0.18, 0.12), "officer_lesson": (0.22, 0.12), "precedent_trace": (0.12, 0.20), "pattern_analysis": (0.12, 0.16), "comparison": (0.10, 0.14)}
@@ -95,7 +95,7 @@ def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) ->
 
 def lexical(docs: DataFrame, text: Column, queries: DataFrame, k: int) -> DataFrame:
     """(q, id, rank): documents that hold any term, by the sum of 1 + ln(tf), over length; ties by id."""
-    wanted = queries.select("q", F.explode(terms(F.col("text"))).alias("term"))
+    wanted = written(queries.select("q", F.explode(terms(F.col("text"))).alias("term")), "wanted")
     hits = postings(docs, text, wanted).join(small(wanted), "term").groupBy("q", "id").agg((F.sum(1 + F.log("tf")) / (1 + F.log(F.first("len").cast("double")))).alias("rank"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("rank", 9)), "id"))
     return hits.withColumn("k", best).where(F.col("k") <= k).drop("k")

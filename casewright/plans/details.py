@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import case_rows, details, exports
+from casewright.operators import case_rows, details, entities, exports, filters
 from casewright.plans.cases import CASES_SQL, DIMS, FACTS_SQL, cases, facts
 from casewright.registry import query, table
+from casewright.shared import written
+from casewright.sources import readers
+from casewright.streaming import lifecycle
 
 CELL = """CASE WHEN regexp_matches({0}, '[",\\n\\r]') THEN '"' || replace({0}, '"', '""') || '"' ELSE coalesce({0}, '') END"""
 
@@ -267,3 +270,86 @@ def src_keymap(spark, d):
     n, r, c, p = (table(spark, d, x) for x in ("nation", "region", "customer", "part"))
     named = r.select(F.concat(F.lit(" "), F.col("r_regionkey").cast("string"), F.lit(".0 ")).alias("code"), "r_name")
     return case_rows.code_maps({"state": (named, ["code"], "r_name"), "district": (n, ["n_regionkey", "n_nationkey"], "n_name"), "court": (c.withColumn("no", F.col("c_custkey") % 40), ["c_nationkey", "no"], "c_mktsegment"), "type": (p, ["p_name"], "p_type")})
+
+
+@query("WITH c AS (SELECT c_custkey AS id, c_nationkey AS n, c_mktsegment AS m FROM customer), f AS (SELECT id, unnest([['states', array_to_string(list_sort(list_distinct([n::VARCHAR, '9'])), '|')], ['statutes', lower(m) || CASE WHEN id % 2 = 0 THEN '' ELSE '' END], ['commercial_safe', CASE WHEN id % 3 = 0 THEN 'false' ELSE 'true' END]]) AS kv FROM c) SELECT id, kv[1] AS filter, kv[2] AS applied FROM f")
+def prj_filter_echo(spark, d):
+    """The filters of each request as they were understood."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    asked = F.create_map(
+        F.lit("states"), F.array(F.lit(" 9"), F.col("c_nationkey").cast("string"), F.lit("x"), F.lit("9")), F.lit("statutes"), F.array(F.concat(F.col("c_mktsegment"), F.lit(" ")), F.lit(None).cast("string"), F.lit("")),
+        F.lit("sections"), F.array(F.lit(" ")), F.lit("commercial_safe"), F.when(k % 3 == 0, F.array(F.lit("False"))).when(k % 3 == 1, F.array(F.lit("yes"))),
+    )
+    return c.select(k.alias("id"), F.explode(filters.echo(asked, ["states"])).alias("filter", "v")).select("id", "filter", F.array_join("v", "|").alias("applied"))
+
+
+@query("SELECT lower(n_name) AS category, CASE WHEN n_nationkey % 4 = 0 THEN [] ELSE [(300 + n_nationkey)::VARCHAR, 'A' || n_nationkey] END AS sections FROM nation UNION ALL SELECT lower(r_name), [r_regionkey::VARCHAR] FROM region")
+def src_yaml(spark, d):
+    """Rules of configuration files, one written of the nations and one of the regions."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    k = F.col("n_nationkey")
+    own = F.when(k % 4 == 0, F.lit("  sections: []")).otherwise(F.concat(F.lit("  sections: ['"), (300 + k).cast("string"), F.lit("', \"A"), k.cast("string"), F.lit("\"]  ")))
+    lines = F.concat(F.lit("# a rule\n- category: "), F.lower("n_name"), F.lit("\n"), own, F.lit("\n  note: x: y"))
+    one = exports.export(n, [F.col("n_nationkey")], lines, None)
+    two = exports.export(r, [F.col("r_regionkey")], F.concat(F.lit("- category: '"), F.lower("r_name"), F.lit("'\n  sections: ["), F.col("r_regionkey").cast("string"), F.lit("]")), None)
+    return readers.rules(spark, f"{one}/*.txt").unionByName(readers.rules(spark, f"{two}/*.txt"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'a \"' || c_name || '\",' || chr(10) || c_mktsegment AS name FROM customer")
+def src_csv(spark, d):
+    """A CSV file with a byte-order mark, quotes, commas and line feeds in its cells, written and read."""
+    c = table(spark, d, "customer")
+    name = F.concat(F.lit('a "'), "c_name", F.lit('",\n'), "c_mktsegment")
+    folder = exports.export(c, [F.col("c_custkey")], exports.csv_line([F.col("c_custkey"), name]), "\ufeffid,name", most=1_000_000)
+    return readers.csv(spark, folder)
+
+
+@query("SELECT r_regionkey AS k, r_name AS name, NULL::INT AS more FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src_parquet(spark, d):
+    """Files of differing schemas, read by name."""
+    a = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    b = table(spark, d, "nation").select(F.col("n_regionkey").alias("more"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    paths = [f.rsplit("/", 1)[0] for x in (a, b) for f in written(x, "parts").inputFiles()[:1]]
+    return readers.parquet_by_name(spark, paths).select("k", "name", "more")
+
+
+@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'WorksFor' WHEN 2 THEN 'related_to' END AS kind FROM part")
+def gr_edge_type(spark, d):
+    """Edge types by the ontology: leaked field names and absent ones go, unknown ones become related_to."""
+    n = F.col("p_size") % 4
+    given = F.when(n == 0, "works for").when(n == 1, "Source-Entity").when(n == 2, F.col("p_type"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), entities.edge_type(given, ["WorksFor", "related_to"], closed=False).alias("kind"))
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC)::INT AS place FROM documents")
+def rd_versions(spark, d):
+    """Every version of each source, newest first."""
+    rows = details.children("source", [("version", table(spark, d, "documents"), F.col("doc_id"), [F.desc("doc_id")], None)])
+    return rows.select("source", F.col("child").alias("doc_id"), "place")
+
+
+@query("WITH o AS (SELECT doc_id, 'hi' AS target, left(sha256(coalesce(text, '')), 8) AS hash, 1 AS version FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'mr' ELSE 'hi' END AS target, left(sha256(coalesce(lang, '')), 8) AS hash FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.target, n.target) AS target, coalesce(n.hash, o.hash) AS hash, CASE WHEN n.hash IS NULL THEN o.version ELSE 2 END AS version FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.target = n.target")
+def dml_translation(spark, d):
+    """Upsert of translations by document and target language."""
+    t = table(spark, d, "documents")
+    sha = lambda c: F.left(F.sha2(F.coalesce(c, F.lit("")), 256), F.lit(8)).alias("hash")
+    old = t.where("doc_id % 2 = 0").select("doc_id", F.lit("hi").alias("target"), sha("text"), F.lit(1).alias("version"))
+    new = t.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "mr").otherwise("hi").alias("target"), sha("lang"), F.lit(2).alias("version"))
+    return lifecycle.latest_wins(old, new, ["doc_id", "target"], [])
+
+
+@query("WITH j AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'seed' WHEN 'click' THEN 'discover' WHEN 'error' THEN 'process' ELSE event_type END AS t, CASE WHEN event_id % 2 = 0 THEN event_id % 50 END AS v FROM events), a AS (SELECT id, t, unnest(CASE t WHEN 'seed' THEN [{'name': 'limit', 'usual': 1000}] WHEN 'discover' THEN [{'name': 'start', 'usual': 1}, {'name': 'count', 'usual': 100}] WHEN 'process' THEN [{'name': 'limit', 'usual': 100}] END) AS x, v FROM j) SELECT id, x.name AS name, CASE WHEN x.name = 'start' THEN 1 ELSE coalesce(nullif(v, 0), x.usual) END::INT AS number, NULL AS error FROM a UNION ALL SELECT id, NULL, NULL, 'unsupported job type: ' || t FROM j WHERE t NOT IN ('seed', 'discover', 'process')")
+def st_batch(spark, d):
+    """Batch jobs with the numbers that their handlers take; unknown kinds are refused."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "seed").when(F.col("event_type") == "click", "discover").when(F.col("event_type") == "error", "process").otherwise(F.col("event_type"))
+    v = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 50).cast("string"))
+    jobs = e.select(F.col("event_id").alias("id"), kind.alias("job_type"), F.to_json(F.struct(v.alias("limit"), v.alias("count"), F.lit("?").alias("start"))).alias("params"))
+    out = lifecycle.dispatched(jobs)
+    return out.where("error is null").select("id", F.explode("arguments").alias("name", "number"), "error").unionByName(out.where("error is not null").select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("number"), "error"))
+
+
+@query("SELECT conv_id, string_agg('[' || k || '] [Source: ' || role || ', Page ' || turn || ']:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY 1")
+def txt_context(spark, d):
+    """Numbered evidence of each conversation as one text."""
+    return details.numbered(table(spark, d, "conversations"), "conv_id", F.col("turn"), F.col("role"), F.col("turn"), F.col("text")).select("conv_id", "context")

@@ -28,14 +28,6 @@ def gr_name(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), entities.short_name(given).alias("name"))
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'WorksFor' WHEN 1 THEN NULL WHEN 2 THEN 'related_to' END AS kind FROM part WHERE p_size % 4 < 3")
-def gr_edge_type(spark, d):
-    """Edge types by the ontology: leaked field names go, unknown ones become related_to."""
-    n = F.col("p_size") % 4
-    given = F.when(n == 0, "works for").when(n == 1, "Source-Entity").otherwise("likes")
-    return table(spark, d, "part").where("p_size % 4 < 3").select(F.col("p_partkey").alias("id"), entities.edge_type(given, ["WorksFor", "related_to"], closed=False).alias("kind"))
-
-
 @query("WITH h AS (SELECT l_orderkey AS doc, l_linenumber AS chunk, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN '12/2020' WHEN l_linenumber = 2 THEN '99/2019' END AS signal FROM lineitem), m AS (SELECT doc, chunk FROM h WHERE signal = '12/2020') SELECT doc, chunk, 'MATCH' AS status FROM m UNION ALL SELECT doc, chunk, 'UNKNOWN' FROM h WHERE signal IS NULL AND doc IN (SELECT doc FROM m)")
 def fus_scope_filter(spark, d):
     """Hits of the asked case, then those of the same documents that name no case; others' hits go."""
@@ -66,20 +58,6 @@ def src_html_case(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), readers.case_fields(page).alias("f")).select("id", F.col("f")["title"].alias("title"), F.col("f")["act"].alias("act"), F.to_date(F.col("f")["filing date"], "dd-MM-yyyy").alias("filed"))
 
 
-@query("SELECT n_nationkey AS n, n_name AS name FROM nation")
-def src_csv(spark, d):
-    """A CSV file written and read again."""
-    return readers.round_trip(table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name")), "csv").select(F.col("n").cast("int").alias("n"), "name")
-
-
-@query("SELECT r_regionkey AS k, r_name AS name, NULL AS more FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
-def src_parquet(spark, d):
-    """Files of different columns by name."""
-    a = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
-    b = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("more"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @query("SELECT n_nationkey::VARCHAR AS id, n_name AS text FROM nation WHERE n_nationkey % 5 > 0")
 def src_hldc(spark, d):
     """JSON records normalised; those without an id are set apart."""
@@ -94,9 +72,3 @@ def src_xml(spark, d):
     """Keys and sizes of storage listings."""
     xml = F.concat(F.lit("<L><Contents><Key>"), "n_name", F.lit("/x</Key><Size>"), F.col("n_nationkey").cast("string"), F.lit("</Size></Contents></L>"))
     return readers.xml_listing(table(spark, d, "nation").select(xml.alias("xml")))
-
-
-@query("SELECT 'theft' AS category, ['379', '380'] AS sections UNION ALL SELECT 'murder', ['302']")
-def src_yaml(spark, d):
-    """Rules of a small configuration as rows."""
-    return readers.rules(spark, "- category: theft\n  sections: ['379', '380']\n- category: murder\n  sections: ['302']\n")

@@ -129,9 +129,3 @@ def flt_sql_guard(spark, d):
     n = F.col("turn") % 5
     sql = F.when(n == 0, F.concat(F.lit("SELECT "), "role", F.lit(" FROM t;"))).when(n == 1, "with a as (select 1) select * from a").when(n == 2, "DROP TABLE t").when(n == 3, "SELECT 1; SELECT 2").otherwise("select a into b from c")
     return table(spark, d, "conversations").select("conv_id", "turn", f.read_only(sql).alias("allowed"))
-
-
-@query("SELECT 'states' AS filter, ['1', '9'] AS applied UNION ALL SELECT 'statutes', ['ipc'] UNION ALL SELECT 'commercial_safe', ['true']")
-def prj_filter_echo(spark, d):
-    """The filters as they were understood."""
-    return spark.createDataFrame(list(f.echo({"states": ["9", "1", "x"], "statutes": "IPC ", "sections": [], "commercial_safe": None}, integers={"states"}).items()), "filter string, applied array<string>")

@@ -77,14 +77,6 @@ def txt_split_table(spark, d):
     return table(spark, d, "part").where("p_size * 3 + 1 > 50").select(F.col("p_partkey").alias("id"), F.size(chunking.by_rows(body)).alias("parts"))
 
 
-@query("SELECT conv_id, string_agg('[' || k || '] [Source: ' || role || ', Page ' || turn || ']:' || chr(10) || length(text), chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3 GROUP BY 1")
-def txt_context(spark, d):
-    """Numbered evidence of each conversation, the first three passages."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))), 1, 3).alias("rows"))
-    block = lambda r, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] [Source: "), r["role"], F.lit(", Page "), r["turn"].cast("string"), F.lit("]:\n"), r["n"].cast("string"))
-    return rows.select("conv_id", F.array_join(F.transform("rows", block), "\n\n").alias("context"))
-
-
 @query("SELECT vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.e), 5) AS similarity FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 21) b ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.e) DESC, vec_id LIMIT 15")
 def topk_vector(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))

@@ -65,20 +65,6 @@ def dml_soft_delete(spark, d):
     return out.select("doc_id", "status", (F.col("status") == "DELETED").alias("hidden"))
 
 
-@query("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS version, left(sha256(text), 16) AS source_hash FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
-def dml_translation(spark, d):
-    """One translation row a document and target; a text in the target language is its own version 0."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
-    return docs.select("doc_id", "lang", F.when(F.col("lang") == "en", 0).otherwise(1).alias("version"), F.left(F.sha2("text", 256), F.lit(16)).alias("source_hash"))
-
-
-@query("SELECT CASE WHEN event_type IN ('view', 'click') THEN 'process' WHEN event_type = 'error' THEN 'discover' ELSE 'seed' END AS job, count(*) AS n FROM events GROUP BY 1")
-def st_batch(spark, d):
-    """Which job of a batch each row belongs to."""
-    job = F.when(F.col("event_type").isin("view", "click"), "process").when(F.col("event_type") == "error", "discover").otherwise("seed")
-    return table(spark, d, "events").groupBy(job.alias("job")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT o_orderkey AS case_id, source, priority, place FROM orders, (VALUES ('hldc', 100, 1), ('ecourts', 90, 2), ('indian_kanoon', 80, 3)) p(source, priority, place) WHERE o_totalprice > 200000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def st_seed(spark, d):
     """A plan of three sources for each target that is not queued."""
@@ -134,10 +120,3 @@ def snk_upsert(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("shown"), F.lit(1).cast("bigint").alias("v"))
     new = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("shown"), (F.col("o_orderkey") + 2).alias("v"))
     return old.unionByName(new).groupBy("id").agg(F.max("v").alias("version"), F.max_by("shown", "v").alias("shown"))
-
-
-@query("SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) WHERE place <= 10")
-def rd_versions(spark, d):
-    """The ten newest versions of each source."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
-    return table(spark, d, "documents").select("source", "doc_id", place.alias("place")).where("place <= 10")

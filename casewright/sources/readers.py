@@ -39,25 +39,6 @@ def xml_listing(rows: DataFrame, column: str = "xml") -> DataFrame:
     return rows.select(F.explode(F.arrays_zip(keys.alias("key"), sizes.alias("size"))).alias("x")).select("x.key", F.col("x.size").cast("bigint").alias("size"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, place, href, label): each link once, at its first place."""
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*href=[\"']?[^\"'\s>]+[\"']?[^>]*>.*?</a>"), 0)).alias("place", "a"))
-    parts = found.select("page_id", "place", F.regexp_extract("a", r"(?is)href=[\"']?([^\"'\s>]+)", 1).alias("href"), F.btrim(F.regexp_replace("a", r"<[^>]+>", "")).alias("label"))
-    return parts.groupBy("page_id", "href").agg(F.min("place").alias("place"), F.min_by("label", "place").alias("label"))
-
-
-def write_csv(df: DataFrame, path: str, order: list, most: int = 10_000) -> None:
-    """A bounded export; cells are quoted only where they must be."""
-    df.orderBy(*order).limit(most).coalesce(1).write.csv(path, header=True, quoteAll=False, escape='"')
-
-
-def round_trip(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` in the shared folder as csv or json and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/casewright/{kind}-{uuid.uuid4().hex}"
-    df.write.format(kind).option("header", True).save(path)
-    return df.sparkSession.read.format(kind).option("header", True).load(path)
-
-
 def text_file(rows: DataFrame) -> str:
     """Path of a text file in the shared folder with a line for each row (value)."""
     path = f"{shared_dir(rows.sparkSession)}/casewright/text-{uuid.uuid4().hex}"
@@ -74,19 +55,18 @@ def case_fields(page: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def rules(spark: SparkSession, text: str) -> DataFrame:
-    """(category, sections) of a list of flat mappings, a small subset of YAML."""
-    out: list[dict] = []
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if line.startswith("- "):
-            out.append({})
-            line = line[2:]
-        name, _, value = line.strip().partition(":")
-        items = [v.strip().strip("'\"") for v in value.strip().strip("[]").split(",") if v.strip()]
-        out[-1][name] = items if value.strip().startswith("[") else "".join(items)
-    return spark.createDataFrame([(r["category"], r.get("sections", [])) for r in out], "category string, sections array<string>")
+def rules(spark: SparkSession, path: str) -> DataFrame:
+    """(category, sections) of files with lists of flat mappings, a small subset of YAML; one row a mapping.
+
+    A mapping begins with a dash at the start of a line; comments and unknown names are passed over.
+    """
+    files = spark.read.text(path, wholetext=True)
+    entries = F.slice(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", r"(?m)^\s*#.*$", "")), "\n- "), 2, 1_000_000_000)
+    each = files.select(F.explode(entries).alias("e"))
+    value = lambda name: F.nullif(F.regexp_extract("e", rf"(?m)^\s*{name}\s*:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
+    bare = lambda c: F.regexp_replace(F.btrim(c), "^['\"]|['\"]$", "")
+    items = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(value("sections"), F.lit("")), r"^\[|\]$", ""), ","), bare), lambda x: x != "")
+    return each.select(bare(value("category")).alias("category"), items.alias("sections")).where("category is not null")
 
 
 def object_key(raw: Column, bucket: str) -> Column:

@@ -192,3 +192,17 @@ def dead_letters(known: DataFrame, failed: DataFrame) -> DataFrame:
     again = F.col("e").isNotNull()
     count = F.when(F.col("retry_count").isNull(), F.col("n") - 1).otherwise(F.col("retry_count") + F.coalesce("n", F.lit(0)))
     return j.select("external_id", "source", F.when(again, F.col("e")).otherwise(F.col("error")).alias("error"), F.when(again, F.col("at")).otherwise(F.col("failed_at")).alias("failed_at"), count.cast("bigint").alias("retry_count"))
+
+
+# Kinds of batch jobs with the numbers that they take and what these are by default.
+BATCH = {"seed": {"limit": 1000}, "discover": {"start": 1, "count": 100}, "process": {"limit": 100}}
+
+
+def dispatched(jobs: DataFrame) -> DataFrame:
+    """``jobs`` (job_type, params as JSON) with ``arguments``, a map of the numbers of their kind, and ``error`` for unknown kinds."""
+    arguments = F.lit(None).cast("map<string,int>")
+    for kind, names in BATCH.items():
+        given = [x for name, usual in names.items() for x in (F.lit(name), F.coalesce(F.nullif(F.get_json_object("params", f"$.{name}").try_cast("int"), F.lit(0)), F.lit(usual)))]
+        arguments = F.when(F.col("job_type") == kind, F.create_map(*given)).otherwise(arguments)
+    known = F.coalesce(F.col("job_type").isin(*BATCH), F.lit(False))
+    return jobs.withColumns({"arguments": arguments, "error": F.when(~known, F.concat(F.lit("unsupported job type: "), F.coalesce("job_type", F.lit(""))))})
