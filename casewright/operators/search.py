@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,42 +100,6 @@ def lexical(docs: DataFrame, text: Column, queries: DataFrame, k: int) -> DataFr
     return hits.withColumn("k", best).where(F.col("k") <= k).drop("k")
 
 
-def matches_all(docs: DataFrame, text: Column, must: list[str], should: list[str], must_not: list[str]) -> DataFrame:
-    """Documents by a parsed web-search query: every ``must`` group, any ``should`` term, no ``must_not`` term."""
-    words = F.split(F.lower(text), "[^0-9a-z]+")
-    keep = F.lit(True)
-    for phrase in must:
-        keep = keep & F.array_contains(words, phrase) if " " not in phrase else keep & F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {phrase} "))
-    if should:
-        keep = keep & F.arrays_overlap(words, F.array(*(F.lit(t) for t in should)))
-    if must_not:
-        keep = keep & ~F.arrays_overlap(words, F.array(*(F.lit(t) for t in must_not)))
-    return docs.where(keep)
-
-
-def weighted(fields: dict[str, float], terms: list[str]) -> Column:
-    """Sum of the weights of the fields that hold any of the terms as a word."""
-    out = F.lit(0.0)
-    for name, weight in fields.items():
-        words = F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^0-9a-z]+")
-        out = out + F.when(F.arrays_overlap(words, F.array(*(F.lit(t) for t in terms))), weight).otherwise(0.0)
-    return out
-
-
-def websearch(query: str) -> tuple[list[str], list[str], list[str]]:
-    """(must, should, must not) of a query with quotes, OR and minus; phrases keep one blank between words."""
-    must, should, without, either = [], [], [], False
-    parts = re.findall(r'-?"[^"]*"|\S+', query.lower())
-    for n, part in enumerate(parts):
-        if part == "or":
-            continue
-        words = " ".join(re.findall("[0-9a-z]+", part))
-        either = (n + 1 < len(parts) and parts[n + 1] == "or") or (n > 0 and parts[n - 1] == "or")
-        if words:
-            (without if part.startswith("-") else should if either else must).append(words)
-    return must, should, without
-
-
 def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1000, grams: Callable[[Column], Column] = trigrams, inclusive: bool = False, shortest: float = 0.0) -> DataFrame:
     """(a, b, similarity): names whose trigram sets pass ``least``, or reach it if ``inclusive``.
 

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import entities, graph, search
-from casewright.plans.graphs import EDGES_SQL, edges
+from casewright.operators import entities, search
 from casewright.registry import query, table
 from casewright.sources import readers
 
-SEEDS = "s AS (SELECT vec_id AS node FROM (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.e) AS c FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) b WHERE c > 0.3 ORDER BY c DESC, vec_id LIMIT 10))"
-
-
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'LandUseZone' WHEN p_size % 4 = 1 THEN 'Person' WHEN p_size % 4 = 2 AND contains(p_name, 'widget') THEN 'Device' ELSE 'Concept' END AS type FROM part")
 def gr_type_map(spark, d):
     """Extracted types by the ontology: as they are, by letters and digits alone, by the longest keyword, or the fallback."""

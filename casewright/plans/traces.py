@@ -85,14 +85,16 @@ def topk_cache(spark, d):
 DUE = "q AS (SELECT event_id AS id, user_id AS case_id, (['ecourts', 'indian_kanoon', 'hldc'])[1 + (user_id % 3)::INT] AS source, ts, (event_id % 4)::INT AS attempt, (['hit', 'miss', 'rate_limited', 'captcha_required', 'http_error', 'blocked_by_policy'])[1 + (event_id % 6)::INT] AS outcome, event_type IN ('view', 'click') AS tried FROM events)"
 
 
-@query(f"WITH {DUE} SELECT id, CASE WHEN NOT tried THEN 'pending' WHEN outcome = 'hit' THEN 'succeeded' WHEN outcome = 'miss' THEN 'miss' WHEN outcome IN ('captcha_required', 'blocked_by_policy') THEN 'blocked' WHEN attempt + 1 < 3 THEN 'rate_limited' ELSE 'failed' END AS status, CASE WHEN tried THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN tried AND outcome IN ('rate_limited', 'http_error') AND attempt + 1 < 3 THEN 5 * 2 ** (attempt + 1) END::BIGINT AS wait, CASE WHEN tried AND outcome = 'captcha_required' THEN 'required' END AS captcha FROM q")
+@query(f"WITH {DUE}, d AS (SELECT * REPLACE (tried AND source <> 'hldc' AS tried), tried AS due FROM q) SELECT id, CASE WHEN NOT tried THEN CASE WHEN due THEN 'pending' ELSE 'done' END WHEN outcome = 'hit' THEN 'succeeded' WHEN outcome = 'miss' THEN 'miss' WHEN outcome IN ('captcha_required', 'blocked_by_policy') THEN 'blocked' WHEN attempt + 1 < 3 THEN 'rate_limited' ELSE 'failed' END AS status, CASE WHEN tried THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN tried AND outcome IN ('rate_limited', 'http_error') AND attempt + 1 < 3 THEN 5 * 2 ** (attempt + 1) END::BIGINT AS wait, CASE WHEN tried AND outcome = 'captcha_required' THEN 'required' END AS captcha FROM d")
 def st_acquire(spark, d):
-    """Queue rows after the attempts of those that were due: status, count, wait and captcha of each."""
+    """Queue rows after the attempts of those that were due, none of a paused source: status, count, wait and captcha of each."""
     e = table(spark, d, "events")
     pick = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
     now = F.lit("2024-02-01").cast("timestamp")
-    queue = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), pick(["ecourts", "indian_kanoon", "hldc"], F.col("user_id") % 3).alias("source"), F.lit("pending").alias("status"), (F.col("event_id") % 4).cast("int").alias("attempt"), F.lit(3).alias("most"), F.lit(None).cast("timestamp").alias("next_at"), F.lit(None).cast("string").alias("error"))
-    results = e.where("event_type IN ('view', 'click')").select(F.col("event_id").alias("id"), pick(["hit", "miss", "rate_limited", "captcha_required", "http_error", "blocked_by_policy"], F.col("event_id") % 6).alias("outcome"), F.lit(None).cast("string").alias("error"))
+    queue = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), pick(["ecourts", "indian_kanoon", "hldc"], F.col("user_id") % 3).alias("source"), F.when(F.col("event_type").isin("view", "click"), "pending").otherwise("done").alias("status"), (F.col("event_id") % 4).cast("int").alias("attempt"), F.lit(3).alias("most"), F.lit(None).cast("timestamp").alias("next_at"), F.lit(None).cast("string").alias("error"))
+    due = queue.select("id", "source", "status", F.lit(0).alias("priority"), now.alias("due_at"))
+    taken = lifecycle.acquired(due, spark.createDataFrame([("hldc",)], "source string"), now, 1_000_000_000).select("id")
+    results = e.join(taken, e["event_id"] == taken["id"], "left_semi").select(F.col("event_id").alias("id"), pick(["hit", "miss", "rate_limited", "captcha_required", "http_error", "blocked_by_policy"], F.col("event_id") % 6).alias("outcome"), F.lit(None).cast("string").alias("error"))
     rows, after = lifecycle.attempted(queue, results, now)
     return after.join(rows.select("id", "captcha"), "id", "left").select("id", "status", "attempt", (F.unix_seconds("next_at") - F.unix_seconds(now)).alias("wait"), "captcha")
 
