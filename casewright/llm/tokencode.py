@@ -1,20 +1,22 @@
 """Token ids as files: an adaptive context-mixing range coder.
 
-A file holds the ids of consecutive documents in blocks of ``BLOCK`` ids, and
-in its head the id frequencies of the whole file.  In each block the coder
-starts anew.  The ids that last followed the same two ids (order 2) and the
-same id (order 1) are kept with a trust; the better of them is the guess.  Its
-chance is mixed in the logistic domain, with weights that learn, from what
-order 2, order 1 and the block's share of hits (order 0) promise.  An id that is
-not the guess is coded by order 0: its class by the block's own counts, which are
-taken up every ``RENEW`` ids, then its place in the class by the frequencies in
-the head.  All arithmetic is in
+A file holds the ids of consecutive documents in blocks of ``BLOCK`` ids.  In
+its head each id has a class, of ids that follow like ids, and a context, of ids
+that like ids follow, with the shares of the classes after each context (order
+1) and of the ids in their class (order 0), counted over the whole file.  In
+each block the coder starts anew.  The ids that last followed the same two ids
+(order 2) and the same id (order 1) are kept with a trust; the better of them is
+the guess.  Its chance is mixed in the logistic domain, with weights that learn,
+from what order 2, order 1 and the block's share of hits (order 0) promise.  An
+id that is not the guess is coded by the head: its class after the context of
+the id before, then its place in the class.  All arithmetic of the coder is in
 integers, so that a file decodes alike on every machine, and all blocks of a
 file advance together, one id a step, as lanes of numpy arrays.
 
-File: ``TKR2``, vocabulary, documents, ids, blocks, bytes of the document table
-and of the frequencies (little-endian u32, ids u64), the table (zlib: int64
-ids, u32 counts), the frequencies (zlib: u32 ids, u16 shares), then for each
+File: ``TKR3``, vocabulary, documents, ids, blocks, bytes of the document table
+and of the head's tables (little-endian u32, ids u64), the document table (zlib:
+int64 ids, u32 counts), the head's tables (zlib: u16 widths of classes by
+context, u32 steps of ids, u16 shares, u8 classes, u8 contexts), then for each
 block ids, 16-bit words, crc32 of the ids, and after all heads the words.
 
 Defined cases: null or empty text is the end id alone; repeated rows are
@@ -39,9 +41,16 @@ from casewright.llm.storage import materialize
 from casewright.llm.tokens import crc_rows, default_path, encoder, with_end
 from casewright.llm.words import as_bytes, slices
 
-BLOCK, LANES = 512, 4096
+BLOCK, LANES = 768, 2730
 SLOTS, TRUST_BITS = 128, 4
-CLASSES, CLASS_BITS, SHARE_BITS, LEAST, RENEW = 16, 14, 14, 40, 32
+CLASSES, CONTEXTS, CLASS_BITS, SHARE_BITS, LEAST, RENEW = 16, 64, 14, 14, 4, 32
+#: Ids of a class at most, kinds of neighbours, and the most frequent ids by which groups are made.
+MEMBERS, FEATURES, TAUGHT = 8192, 256, 2048
+#: Pairs of neighbours by which ids are grouped; all shares are counted over all ids.
+SAMPLE = 1 << 19
+#: Chances of 4096 at the start of a block: of the guess of order 2 and of order 1 by their trust, and of hits at all.
+CHANCE = np.array([[60, 700, 1300, 1800, 2100, 2400, 2600, 2800, 2900, 3000, 3100, 3200, 3250, 3300, 3350, 3400], [60, 400, 800, 1200, 1500, 1800, 2000, 2200, 2400, 2500, 2600, 2700, 2800, 2900, 3000, 3100]], np.int32)
+BASE = 500
 _HEAD = struct.Struct("<4sIIQIII")
 _U = np.uint64
 _16, _48 = _U(16), _U(48)
@@ -63,33 +72,110 @@ STRETCH = _stretch_table(SQUASH)
 
 
 class _Prior:
-    """Order-0 shares of a file's ids within their classes, each class summing to 2 ** SHARE_BITS."""
+    """What the head of a file says of its ids: class and context of each, its place in the class, and the classes after each context.
 
-    def __init__(self, vocab: int, ids: np.ndarray, shares: np.ndarray):
-        self.ids, self.shares = ids, shares
-        self.shift = max(0, int(vocab - 1).bit_length() - 4)
-        if self.shift > SHARE_BITS - 1:
+    In each class the shares sum to 2 ** SHARE_BITS, after each context those of
+    the classes to 2 ** CLASS_BITS.  The last context is that before a block.
+    """
+
+    def __init__(self, vocab: int, ids: np.ndarray, kinds: np.ndarray, contexts: np.ndarray, shares: np.ndarray, widths: np.ndarray):
+        self.ids, self.kinds, self.contexts, self.shares, self.widths = ids, kinds, contexts, shares, widths
+        if vocab > CLASSES * MEMBERS:
             raise ValueError(f"a vocabulary of {vocab} is too large")
-        ends, total = np.cumsum(shares, dtype=np.int64), 1 << SHARE_BITS
+        total = 1 << SHARE_BITS
+        self.kind, self.context = np.zeros(vocab, np.uint8), np.zeros(vocab, np.uint8)
+        self.kind[ids], self.context[ids] = kinds, contexts
+        order = np.argsort(kinds, kind="stable")
+        own, n = ids[order], shares[order]
+        ends = np.cumsum(n)
         self.place = np.zeros(vocab, np.uint32)  # where an id begins in its class, and its share
-        self.place[ids] = ((ends - shares) % total) << 16 | shares
-        own = np.unique(ids >> self.shift)
+        self.place[own] = ((ends - n) % total) << 16 | n
         self.symbol = np.zeros(CLASSES * total, np.int32)
-        if len(own):
-            self.symbol[(own[:, None] * total + np.arange(total)).reshape(-1)] = np.repeat(ids, shares)
+        have = np.unique(kinds)
+        if len(have):
+            self.symbol[(have[:, None] * total + np.arange(total)).reshape(-1)] = np.repeat(own, n)
+        ends = np.cumsum(widths, axis=1)
+        self.packed = ((ends - widths) << 16 | widths).astype(np.uint32).reshape(-1)
+        self.class_at = np.repeat(np.tile(np.arange(CLASSES), CONTEXTS + 1), widths.reshape(-1)).astype(np.uint8)
 
     @staticmethod
     def of(vocab: int, ids: np.ndarray) -> _Prior:
-        shift, total = max(0, int(vocab - 1).bit_length() - 4), 1 << SHARE_BITS
         count = np.bincount(ids, minlength=1)
         have = np.flatnonzero(count)
+        number = np.cumsum(count > 0) - 1
+        x, count = number[ids], count[have]
+        before = np.concatenate([np.full(min(1, len(x)), -1), x[:-1]])
+        before[::BLOCK] = -1
+        kinds, contexts = _grouped(x, before, count)
         shares = np.ones(len(have), np.int64)
-        for c in np.unique(have >> shift):
-            own = np.flatnonzero(have >> shift == c)
-            n = count[have[own]]
-            shares[own] += n * (total - len(own)) // n.sum()
-            shares[own[n.argmax()]] += total - shares[own].sum()
-        return _Prior(vocab, have, shares)
+        for c in np.unique(kinds):
+            own = np.flatnonzero(kinds == c)
+            n = count[own]
+            shares[own] += n * ((1 << SHARE_BITS) - len(own)) // n.sum()
+            shares[own[n.argmax()]] += (1 << SHARE_BITS) - shares[own].sum()
+        told = np.concatenate([contexts, np.full(1, CONTEXTS)])[before]
+        seen = np.bincount(told * CLASSES + kinds[x], minlength=(CONTEXTS + 1) * CLASSES).reshape(-1, CLASSES)
+        widths = LEAST + seen * ((1 << CLASS_BITS) - CLASSES * LEAST) // np.maximum(1, seen.sum(1, keepdims=True))
+        widths[np.arange(len(widths)), widths.argmax(1)] += (1 << CLASS_BITS) - widths.sum(1)
+        return _Prior(vocab, have, kinds, contexts, shares, widths)
+
+    def pack(self) -> bytes:
+        parts = [self.widths.astype("<u2"), np.diff(self.ids, prepend=0).astype("<u4"), self.shares.astype("<u2"), self.kinds.astype(np.uint8), self.contexts.astype(np.uint8)]
+        return zlib.compress(b"".join(x.tobytes() for x in parts), 6)
+
+    @staticmethod
+    def unpack(vocab: int, data: bytes) -> _Prior:
+        raw = zlib.decompress(data)
+        head = 2 * (CONTEXTS + 1) * CLASSES
+        n = (len(raw) - head) // 8
+        read = lambda kind, at: np.frombuffer(raw, kind, n, at).astype(np.int64)
+        return _Prior(vocab, np.cumsum(read("<u4", head)), read(np.uint8, head + 6 * n), read(np.uint8, head + 7 * n), read("<u2", head + 4 * n), np.frombuffer(raw, "<u2", head // 2).astype(np.int64).reshape(-1, CLASSES))
+
+
+def _alike(rows: np.ndarray, weight: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
+    """Groups 0 to k - 1 of rows of counts with like shares; the most frequent rows make the groups."""
+    share = np.sqrt(rows / np.maximum(rows.sum(1, keepdims=True), 1)).astype(np.float32)
+    top = np.argsort(-weight, kind="stable")[:TAUGHT]
+    own, centres = share[top], share[top[np.linspace(0, len(top) - 1, k).astype(int)]].copy()
+
+    def nearest(x: np.ndarray) -> np.ndarray:
+        return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+    for _ in range(rounds):
+        at = nearest(own)
+        load = np.zeros((k, len(top)), np.float32)
+        load[at, np.arange(len(top))] = weight[top]
+        sums = load.sum(1, keepdims=True)
+        centres = np.where(sums > 0, (load @ own) / np.maximum(sums, 1), centres)
+    return np.concatenate([nearest(share[i : i + 4096]) for i in range(0, len(share), 4096)])
+
+
+def _grouped(x: np.ndarray, before: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and context of each distinct id: ids after like ids, and ids before like ids.
+
+    Neighbours are told apart up to FEATURES kinds: the most frequent by
+    themselves, all others by a remainder.
+    """
+    n = len(count)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(n)
+    told = np.where(rank < FEATURES // 2, rank, FEATURES // 2 + rank % (FEATURES // 2))
+    step = max(1, len(x) // SAMPLE)
+    a, b = before[::step], x[::step]
+    a, b = a[a >= 0], b[a >= 0]
+    left = np.bincount(b * FEATURES + told[a], minlength=n * FEATURES).reshape(n, FEATURES)
+    right = np.bincount(a * FEATURES + told[b], minlength=n * FEATURES).reshape(n, FEATURES)
+    kinds, contexts = _alike(left, count, CLASSES), _alike(right, count, CONTEXTS)
+    for _ in range(CLASSES):  # a class has places for MEMBERS ids; the rarest of more go where most is free
+        size = np.bincount(kinds, minlength=CLASSES)
+        full, free = int(size.argmax()), int(size.argmin())
+        if size[full] <= MEMBERS:
+            break
+        own = np.flatnonzero(kinds == full)
+        kinds[own[np.argsort(count[own], kind="stable")[: min(size[full] - MEMBERS, MEMBERS - size[free])]]] = free
+    return kinds, contexts
 
 
 class _Out:
@@ -170,7 +256,7 @@ class _In:
     def classes(self) -> np.ndarray:
         self.by_class = (self.range - self.guess) >> _U(CLASS_BITS)
         self.rest = self.code - np.where(self.hit, _U(0), self.guess)
-        return np.minimum(self.rest // self.by_class, _U((1 << CLASS_BITS) - 1)).astype(np.int16)
+        return np.minimum(self.rest // self.by_class, _U((1 << CLASS_BITS) - 1)).astype(np.int64)
 
     def places(self, of_class: np.ndarray) -> np.ndarray:
         self.rest -= np.where(self.hit, _U(0), self.by_class * (of_class >> _16))
@@ -193,50 +279,32 @@ class _In:
             more = more[self.range[more] < _SMALL]
 
 
-_FIRST = 4
-_BORDER = np.arange(CLASSES + 1)[:, None]
-
-
 def _run(coder: _Out | _In, grid: np.ndarray, sizes: list[int], prior: _Prior, known: bool) -> None:
     """Codes ``grid`` (steps, lanes), or fills it in; only the last lane may be shorter."""
     n = len(sizes)
-    state = [np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32), np.full(2 * n << TRUST_BITS, 2048, np.int32)]
-    lane = [np.full(n, 2048, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)]
+    state = [np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32), np.repeat(CHANCE[:, None], n, axis=1).reshape(-1)]
+    lane = [np.full(n, BASE, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)]
     weight = np.full((3, n), 22000, np.int32)
-    counts = np.full((CLASSES, n), _FIRST, np.int32)
     for k, begin, end in ((n, 0, sizes[-1]), (n - 1, sizes[-1], sizes[0])):
         if k and begin < end:
-            _steps(coder.first(k), grid[:, :k], begin, end, prior, known, *state, weight[:, :k], counts, *(x[:k] for x in lane))
-
-
-def _borders(counts: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the classes of each lane end, of 2 ** CLASS_BITS, LEAST apart at least; and start and width packed."""
-    ends = np.zeros((CLASSES + 1, counts.shape[1]), np.int32)
-    np.cumsum(counts, axis=0, out=ends[1:])
-    ends = ends * ((1 << CLASS_BITS) - CLASSES * LEAST) // (CLASSES * _FIRST + seen) + _BORDER * LEAST
-    return ends[1:CLASSES].astype(np.int16), ((ends[:-1] << 16) | (ends[1:] - ends[:-1])).astype(np.uint32).reshape(-1)
+            _steps(coder.first(k), grid[:, :k], begin, end, prior, known, *state, weight[:, :k], n, *(x[:k] for x in lane))
 
 
-def _steps(coder, grid, begin, end, prior, known, two_ids, one_id, chance, weight, counts, base, last, before) -> None:
+def _steps(coder, grid, begin, end, prior, known, two_ids, one_id, chance, weight, n, base, last, before) -> None:
     """One id of each lane a step; ``last`` and ``before`` are scrambled forms of the two ids before."""
-    n, k, shift, top = counts.shape[1], grid.shape[1], prior.shift, (1 << TRUST_BITS) - 1
+    k, top = grid.shape[1], (1 << TRUST_BITS) - 1
     lanes = np.arange(k)
-    slots, bases, flat_counts = lanes * SLOTS, np.arange(2)[:, None] * (n << TRUST_BITS) + (lanes << TRUST_BITS), counts.reshape(-1)
+    slots, bases = lanes * SLOTS, np.arange(2)[:, None] * (n << TRUST_BITS) + (lanes << TRUST_BITS)
     context, s = np.empty((2, k), np.int64), np.empty((3, k), np.int32)
-    if begin % RENEW:  # the borders of the last multiple, from counts that went on
-        past = counts.copy()
-        for t in range(begin - begin % RENEW, begin):
-            np.subtract.at(past, (grid[t] >> shift, lanes), 1)
-        ends, packed = _borders(past, begin - begin % RENEW)
+    told = prior.context[grid[begin - 1]] if begin else np.full(k, CONTEXTS, np.uint8)
     for t in range(begin, end):
-        if t % RENEW == 0:
-            ends, packed = _borders(counts, t)
-            if known:
-                ahead = grid[t : min(end, t + RENEW)]
-                low_of, place_of = (ahead >> shift) * np.int64(n) + lanes, prior.place[ahead].astype(_U)
-        elif known and t == begin:
-            ahead = grid[t - t % RENEW : min(end, t - t % RENEW + RENEW)]
-            low_of, place_of = (ahead >> shift) * np.int64(n) + lanes, prior.place[ahead].astype(_U)
+        if known and (t == begin or t % RENEW == 0):  # what is known of the next ids
+            since = t
+            ahead = grid[t : min(end, t - t % RENEW + RENEW)]
+            after = prior.context[ahead]
+            behind = np.concatenate([told[None], after[:-1]]).astype(np.int32)
+            told = after[-1]
+            class_of, place_of = prior.packed[behind * CLASSES + prior.kind[ahead]].astype(_U), prior.place[ahead].astype(_U)
         slot2 = slots + (((last + (before >> 3)) >> 7) & (SLOTS - 1))
         slot1 = slots + ((last >> 9) & (SLOTS - 1))
         two, one = two_ids[slot2], one_id[slot1]
@@ -250,19 +318,18 @@ def _steps(coder, grid, begin, end, prior, known, two_ids, one_id, chance, weigh
         dot = weight * s
         mixed = SQUASH.take(((dot[0] + dot[1] + dot[2]) >> 16) + 2047, mode="clip")
         if known:
-            got, low = grid[t], low_of[t % RENEW]
+            got = grid[t]
             hit = got == guess
-            coder.put(mixed.astype(_U), hit, packed[low].astype(_U), place_of[t % RENEW])
+            coder.put(mixed.astype(_U), hit, class_of[t - since], place_of[t - since])
         else:
             hit = coder.hits(mixed.astype(_U))
-            kind = np.add.reduce((ends[:, :k] <= coder.classes()).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-            low = kind * n + lanes
-            other = prior.symbol[(kind << SHARE_BITS) + coder.places(packed[low].astype(_U))]
+            told = told.astype(np.int64)
+            kind = prior.class_at[(told << CLASS_BITS) + coder.classes()].astype(np.int64)
+            other = prior.symbol[(kind << SHARE_BITS) + coder.places(prior.packed[told * CLASSES + kind].astype(_U))]
             coder.take(prior.place[other].astype(_U))
             got = np.where(hit, guess, other)
             grid[t] = got
-            low = (got >> shift) * np.int64(n) + lanes
-        flat_counts[low] += 1
+            told = prior.context[got]
         goal = hit * np.int32(4095)
         chance[context] = p + ((goal - p) >> 4)
         base += (goal - base) >> 5
@@ -306,24 +373,23 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocab:
     prior = _Prior.of(vocab, ids)
     sizes, coded = encode_blocks(ids, prior)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes(), 6)
-    shares = zlib.compress(prior.ids.astype("<u4").tobytes() + prior.shares.astype("<u2").tobytes(), 6)
+    shares = prior.pack()
     ends = np.cumsum(sizes)
     crcs = crc_rows(ids, ends - sizes, np.array(sizes))
     heads = np.array([sizes, [len(c) // 2 for c in coded], crcs], np.int64).T.astype("<u4").tobytes()
-    return _HEAD.pack(b"TKR2", vocab, len(doc_ids), len(ids), len(sizes), len(docs), len(shares)) + docs + shares + heads + b"".join(coded)
+    return _HEAD.pack(b"TKR3", vocab, len(doc_ids), len(ids), len(sizes), len(docs), len(shares)) + docs + shares + heads + b"".join(coded)
 
 
 def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, counts, token ids); raises ValueError for a damaged file."""
     magic, vocab, n_docs, n_ids, n_blocks, table, shares = _HEAD.unpack_from(data)
-    if magic != b"TKR2":
+    if magic != b"TKR3":
         raise ValueError("not a token file")
     at = _HEAD.size
     raw = zlib.decompress(data[at : at + table])
     doc_ids, counts = np.frombuffer(raw, "<i8", n_docs), np.frombuffer(raw, "<u4", n_docs, 8 * n_docs)
     at += table
-    raw = zlib.decompress(data[at : at + shares])
-    prior = _Prior(vocab, np.frombuffer(raw, "<u4", len(raw) // 6).astype(np.int64), np.frombuffer(raw, "<u2", len(raw) // 6, len(raw) // 6 * 4).astype(np.int64))
+    prior = _Prior.unpack(vocab, data[at : at + shares])
     at += shares
     heads = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3).astype(np.int64)
     ends = at + 12 * n_blocks + np.cumsum(2 * heads[:, 1])

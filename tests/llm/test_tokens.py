@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +59,24 @@ def test_file_round_trip(ids):
     assert back.tolist() == ids.tolist() and doc.tolist() == [5, 9]
 
 
+def test_files_are_smaller_than_by_frequencies():
+    texts = [t.as_py() or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0)]
+    ids, counts = encoder(default_path()).encode([t.encode() for t in texts])
+    n = np.bincount(ids)
+    share = n[n > 0] / len(ids)
+    data = tokencode.encode_file(np.arange(len(counts)), counts, ids, 49_408)
+    assert 8 * len(data) / len(ids) < 8.0 < -(share * np.log2(share)).sum()
+
+
+def test_more_ids_of_a_class_than_it_has_places(monkeypatch):
+    monkeypatch.setattr(tokencode, "MEMBERS", 70)
+    ids = np.concatenate([np.arange(1000), np.zeros(3000, np.int64), np.arange(1000)]).astype(np.uint32)
+    prior = tokencode._Prior.of(1000, ids)
+    assert np.bincount(prior.kinds).max() <= 70
+    data = tokencode.encode_file(np.array([1]), np.array([len(ids)]), ids, 1000)
+    assert (tokencode.decode_file(data)[2] == ids).all()
+
+
 def test_damage_is_seen():
     ids = np.arange(5000, dtype=np.uint32) % 700
     data = bytearray(tokencode.encode_file(np.array([1]), np.array([5000]), ids, 49_408))
