@@ -12,35 +12,42 @@ from casewright.llm.storage import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in every whole text, with the forest's chance; texts without a candidate have no row."""
     model = secrets.train(secrets.made_findings(spark))
     return secrets.scan(table(spark, sf_dir, "documents"), model).withColumnRenamed("doc", "doc_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document; null texts have no words and fail the base rule."""
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they hold, by score and place."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("doc", "doc_id")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null or empty html has an empty text."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, written to archives and read back from them."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and verdict of every document, at a similarity of 0.8 over word pairs."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("keep").alias("kept"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from four fifths of the labelled documents."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.fold() != 0))
     out = langid.identify(docs, model)
@@ -48,14 +55,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids from token files that are written and read back."""
     return tokencode.read_files(tokencode.write_files(table(spark, sf_dir, "documents")))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and dropped lines of every document, and the digest of what stays."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("__kept_text", "UTF-8"), 256).alias("kept_sha256"))
 

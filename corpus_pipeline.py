@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept and returns the columns of documents, the last one its packed pieces.  A
 stage's result is written as parquet in the shared folder and read again.
+
+Defined cases, in all stages: rows with a null id stay until packing, which
+packs them as well; a null or empty text has no language and goes in the first
+stage; rows that repeat an id are judged together by the stages that remove
+documents; columns besides those of documents pass through, all but the last;
+an empty table stays empty.  Very long texts are read whole.
 """
 
 from __future__ import annotations
