@@ -43,3 +43,13 @@ def seeds(vectors: DataFrame, question: DataFrame, names: DataFrame, entities: D
     both = by_vector.select("id", F.lit("vector").alias("via"), "similarity").unionByName(by_name.select("id", F.lit("name").alias("via"), "similarity"))
     once = Window.partitionBy("id").orderBy(F.desc("via"))
     return both.withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k")
+
+
+def articles(vectors: DataFrame, question: DataFrame, ranks: DataFrame, most: int = 10, weights: tuple[float, float] = (0.65, 0.35)) -> DataFrame:
+    """(id, score): articles by weighted similarity and rank, then confidence, then the newest.
+
+    vectors: id, vec, confidence, updated; question: one row v; ranks: id, rank, absent for no rank.
+    """
+    near = vectors.crossJoin(F.broadcast(question.limit(1))).join(ranks.select("id", "rank"), "id", "left")
+    score = weights[0] * cosine(F.col("vec"), F.col("v")) + weights[1] * F.coalesce("rank", F.lit(0.0))
+    return near.withColumn("score", score).orderBy(F.desc(F.round("score", 9)), F.desc("confidence"), F.desc("updated"), "id").limit(most).select("id", "score")

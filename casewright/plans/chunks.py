@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import chunking
+from casewright.operators import chunking, tables
 from casewright.registry import query, table
 
 WS = r"[ \t\n\x0b\f\r]"
@@ -83,3 +83,14 @@ def txt_page_assign(spark, d):
     rows = _docs(spark, d).select("doc_id", clean.alias("clean"), starts.alias("starts"), c.alias("c"))
     out = rows.select("doc_id", F.posexplode(chunking.located(F.col("c"), F.col("clean"), F.col("starts"))).alias("place", "x"))
     return out.select("doc_id", (F.col("place") + 1).alias("place"), "x.page_start", "x.page_end")
+
+
+@query(r"""WITH RECURSIVE b AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id, list_filter(string_split(regexp_replace(body, '(\n{2,}|\f)', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') AS ps FROM b WHERE length(body) > 500)),
+parts AS (SELECT id, substr(p, k * 500 + 1, 500) AS part, row_number() OVER (PARTITION BY id ORDER BY i, k) AS k FROM (SELECT id, p, i, unnest(range(0, (length(p) - 1) // 500 + 1)) AS k FROM cut)),
+f AS (SELECT id, k, part AS now, NULL::VARCHAR AS closed FROM parts WHERE k = 1 UNION ALL SELECT q.id, q.k, CASE WHEN length(f.now) + length(q.part) > 500 THEN q.part ELSE f.now || q.part END, CASE WHEN length(f.now) + length(q.part) > 500 THEN f.now END FROM f JOIN parts q ON q.id = f.id AND q.k = f.k + 1),
+done AS (SELECT id, k, closed AS content FROM f WHERE closed IS NOT NULL UNION ALL SELECT id, k + 0.5, now FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
+SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY k)::INT AS place, content FROM done UNION ALL SELECT id, 1, body FROM b WHERE length(body) <= 500""")
+def txt_split_tr(spark, d):
+    """Segments for translation of at most 500 characters, cut at blank lines where that is possible; every line break is one here."""
+    return _exploded(_docs(spark, d), tables.segments(F.replace("text", F.lit("\n"), F.lit("\n\n")), 500))

@@ -56,14 +56,6 @@ def txt_lists(spark, d):
     return tables.lists(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("SELECT doc_id, greatest(1, ceil(length(text) / 500.0))::INT AS least, length(text) AS chars FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || chr(10)) AND NOT contains(text, chr(12))")
-def txt_split_tr(spark, d):
-    """Segments for translation; a text without blank lines is cut every 500 characters."""
-    s = tables.segments(F.col("text"), 500)
-    plain = table(spark, d, "documents").where("text IS NOT NULL").where(~F.contains("text", F.lit("\n\n")) & ~F.contains("text", F.lit("\f")))
-    return plain.select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("least"), F.aggregate("s", F.lit(0), lambda n, x: n + F.length(x)).alias("chars"))
-
-
 @query()
 def txt_seqmatch(spark, d):
     """The known name most like each shortened one, among those that share enough trigrams; matching blocks lie outside of SQL."""
@@ -93,15 +85,6 @@ def txt_trgm(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(text.jaccard(text.trigrams(F.col("p_name")), text.trigrams(F.col("p_type"))), 6).alias("similarity"))
 
 
-@query("SELECT vec_id AS id, round(0.65 * list_cosine_similarity(a.embedding::DOUBLE[], b.e) + 0.35 * (vec_id % 10) / 10, 5) AS score FROM embeddings a, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) b ORDER BY 0.65 * list_cosine_similarity(a.embedding::DOUBLE[], b.e) + 0.35 * (vec_id % 10) / 10 DESC, vec_id LIMIT 10")
-def vec_wiki(spark, d):
-    """Articles by 0.65 of similarity and 0.35 of rank."""
-    e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 7").select(F.col("embedding").alias("v"))  # one row
-    score = 0.65 * search.cosine(F.col("embedding"), F.col("v")) + 0.35 * (F.col("vec_id") % 10) / 10
-    return e.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("id"), score.alias("s")).orderBy(F.desc("s"), "id").limit(10).select("id", F.round("s", 5).alias("score"))
-
-
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vec_cos(spark, d):
     """Neighbours by id, compared."""

@@ -149,3 +149,14 @@ def gr_consolidate(spark, d):
     new = table(spark, d, "documents").select(F.col("doc_id").alias("at"), title.alias("name"))
     known = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return resolution.consolidated(new, known).select(F.col("at").alias("doc_id"), "name", "resolved")
+
+
+@query(f"WITH r AS (SELECT p_partkey AS id, p_retailprice, ((regexp_matches(p_name, '\\bring\\b')::INT + regexp_matches(p_name, '\\bwidget\\b')::INT) * 0.1::DOUBLE / 1.64493406685) / 2 AS rank FROM part) SELECT id, round(s, 5) AS score FROM (SELECT a.vec_id AS id, 0.65 * {COS} + 0.35 * coalesce(rank, 0) AS s, p_retailprice FROM embeddings a JOIN r ON r.id = a.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 7) b) ORDER BY round(s, 9) DESC, p_retailprice DESC, id DESC LIMIT 20")
+def vec_wiki(spark, d):
+    """Articles by 0.65 of their similarity and 0.35 of their rank for the question's words, then confidence and age."""
+    e, p = table(spark, d, "embeddings"), table(spark, d, "part")
+    rows = e.join(p, e["vec_id"] == p["p_partkey"]).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("p_retailprice").alias("confidence"), F.col("vec_id").alias("updated"))
+    index = fulltext.index(p.select(F.col("p_partkey").alias("id"), "p_name"), [(F.col("p_name"), fulltext.D)])
+    ranks = fulltext.any_term(index, spark.createDataFrame([(1, "rings and widgets")], "q int, text string"))
+    question = e.where("vec_id = 7").select(F.col("embedding").alias("v"))
+    return graph_search.articles(rows, question, ranks, 20).withColumn("score", F.round("score", 5))
