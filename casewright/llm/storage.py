@@ -14,7 +14,7 @@ from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARKS_OWN, BATCH_BYTES = f"{64 << 20}b", 8 << 20
+SPARKS_OWN, BATCH_BYTES = f"{64 << 20}b", 4 << 20
 _own: dict[str, str] = {}
 
 
