@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casewright import catalog
 from casewright.functions import classify, text
-from casewright.operators import chunking, filters, graph, search
+from casewright.operators import chunking, filters, graph, search, tables
 from casewright.sources import readers
 from casewright.streaming import lifecycle
 
@@ -192,3 +193,13 @@ def test_table_chunks(spark):
     parts = one(spark, tables.chunked(tables.heading(t, F.lit(1)), tables.sentences(t), 10_000, 2))
     assert len(parts) == 2 and parts[0].startswith("Table 1\n\nColumns: Date; Date; Column 3.") and parts[1].endswith("Row 3. Date is 7. Date is 8. Column 3 is 9.")
     assert one(spark, tables.header_keys(F.array(F.lit("Date"), F.lit(""), F.lit("Date")))) == ["date", "column_2", "date_2"]
+
+
+def test_a_wide_table_is_parsed_once(spark):
+    wide = "<!-- TABLE_START -->\n" + "\n".join("|".join(f"c{r}.{k}" for k in range(12)) for r in range(60)) + "\n<!-- TABLE_END -->"
+    rows = spark.range(400).select(F.concat(F.lit(wide), F.col("id").cast("string")).alias("text"))
+    t = F.get(tables.parsed(F.col("text")), F.lit(0))
+    made = text.bound(t, lambda t: tables.chunked(tables.heading(t, F.lit(1)), tables.sentences(t), 100_000, 7))
+    began = time.time()
+    sizes = rows.select(F.size(made).alias("n"), F.length(text.bound(t, lambda t: tables.worded(t, F.lit(1)))).alias("w")).groupBy("n", "w").count().collect()
+    assert [(r["n"], r["count"]) for r in sizes] == [(9, 400)] and time.time() - began < 60
