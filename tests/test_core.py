@@ -203,3 +203,14 @@ def test_a_wide_table_is_parsed_once(spark):
     began = time.time()
     sizes = rows.select(F.size(made).alias("n"), F.length(text.bound(t, lambda t: tables.worded(t, F.lit(1)))).alias("w")).groupBy("n", "w").count().collect()
     assert [(r["n"], r["count"]) for r in sizes] == [(9, 400)] and time.time() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("name", "made", "most"),
+    [
+        ("txt_table_sem", "regexp_extract_all(", 1),
+    ],
+)
+def test_made_values_are_computed_once_a_row(spark, sf, name, made, most):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(made) <= most
