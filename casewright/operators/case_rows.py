@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import classify
+from casewright.functions.text import bound
 
 # States by their code, and texts that stand for nothing.
 STATES = {1: "Maharashtra", 3: "Karnataka", 9: "Uttar Pradesh", 10: "Tamil Nadu", 26: "Delhi"}
@@ -70,22 +71,24 @@ def chunk_metadata(document: Column, extraction: Column) -> Column:
 
     A translation is the extraction's, else the document's.
     """
-    own = F.get_json_object(extraction, "$.translation")
-    from_extraction = own.isNotNull() & ~own.isin(EMPTY)
-
-    def at(path: str) -> Column:
-        if path.startswith("translation."):
-            return F.when(from_extraction, F.get_json_object(extraction, f"$.{path}")).otherwise(F.get_json_object(document, f"$.{path}"))
-        return F.get_json_object(document, f"$.{path}")
-
-    def value(key: str, paths: list[str]) -> Column:
-        told = [at(p) for p in paths]
-        if key == "commercial_safe":
-            return F.coalesce(*told)
-        return F.coalesce(*(F.when(~t.isin(EMPTY), t) for t in told[:-1]), told[-1])
-
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), value(k, paths).alias("value")) for k, paths in CHUNK_KEYS.items()))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+    def entries(document: Column, extraction: Column, from_extraction: Column) -> Column:
+        def at(path: str) -> Column:
+            if path.startswith("translation."):
+                return F.when(from_extraction, F.get_json_object(extraction, f"$.{path}")).otherwise(F.get_json_object(document, f"$.{path}"))
+            return F.get_json_object(document, f"$.{path}")
+
+        def value(key: str, paths: list[str]) -> Column:
+            told = [at(p) for p in paths]
+            if key == "commercial_safe":
+                return F.coalesce(*told)
+            return F.coalesce(*(bound(t, lambda t: F.when(~t.isin(EMPTY), t)) for t in told[:-1]), told[-1])
+
+        pairs = F.array(*(F.struct(F.lit(k).alias("key"), value(k, paths).alias("value")) for k, paths in CHUNK_KEYS.items()))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+    translated = lambda x: bound(F.get_json_object(x, "$.translation"), lambda own: own.isNotNull() & ~own.isin(EMPTY))
+    return bound(document, lambda d: bound(extraction, lambda x: bound(translated(x), lambda found: entries(d, x, found))))
 
 
 def judgment_id(row: Column) -> Column:
