@@ -17,8 +17,7 @@ def first_text(row: Column, *keys: str) -> Column:
     """The first of these entries that says something, trimmed."""
 
     def said(k: str) -> Column:
-        t = F.regexp_replace(F.try_element_at(row, F.lit(k)), r"^\s+|\s+$", "")
-        return F.when((t != "") & ~F.lower(t).isin(NOTHING), t)
+        return bound(F.regexp_replace(F.try_element_at(row, F.lit(k)), r"^\s+|\s+$", ""), lambda t: F.when((t != "") & ~F.lower(t).isin(NOTHING), t))
 
     return F.coalesce(*map(said, keys))
 
@@ -34,25 +33,33 @@ def canonical(row: Column, rules: list[dict], flags: dict[str, list[str]], versi
     ``rules`` name offence categories as in :func:`classify.offences`; ``flags``
     names the sensitive flags of categories.
     """
-    t = lambda *keys: first_text(row, *keys)
-    raw = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(row, F.lit(k)), F.lit("")) for k in keys))
-    state, district, court = (classify.loose_int(x) for x in (raw("state_code"), raw("district_code", "dist_code"), raw("court_no")))
-    acts, sections = classify.tokens(F.coalesce(raw("act", "acts_cited"), F.lit(""))), classify.sections(F.coalesce(raw("section", "sections_cited"), F.lit("")))
-    said = F.concat_ws(" ", F.map_values(row))
-    found = classify.offences(sections, F.coalesce(raw("act", "acts_cited"), F.lit("")), said, rules)
-    categories = F.array_distinct(F.concat(found, classify.tokens(F.coalesce(raw("offence_category_override"), F.lit("")))))
     names = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
     of = F.create_map(*(x for k, v in flags.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    sensitive = F.array_distinct(F.flatten(F.transform(found, lambda c: F.coalesce(F.try_element_at(of, c), F.array().cast("array<string>")))))
-    stable = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(row)))), 256)
-    kind, position = t("case_type", "type_name_s", "type_name"), t("judge_position")
-    return F.struct(
-        F.coalesce(t("ddl_case_id", "case_id", "cino", "cnr"), stable).alias("source_case_id"), t("cino", "cnr").alias("cnr"), F.lit(version).alias("dataset_version"), state.alias("state_code"), F.coalesce(t("state_name"), F.try_element_at(names, state)).alias("state_name"),
-        district.alias("district_code"), t("district_name").alias("district_name"), court.alias("court_no"), court_code(state, district, court).alias("court_code"), t("court_name").alias("court_name"), classify.court_level(position, kind).alias("court_level"), kind.alias("case_type"),
-        classify.loose_date(raw("filing_date", "date_of_filing")).alias("filing_date"), classify.loose_date(raw("registration_date")).alias("registration_date"), classify.loose_date(raw("decision_date", "date_of_decision")).alias("decision_date"), t("disp_name_s", "disp_name", "disposition").alias("disposition"),
-        t("purpose_name_s", "purpose_name").alias("purpose_name"), position.alias("judge_position"), classify.loose_bool(raw("bailable")).alias("bailable"), classify.loose_bool(raw("under_trial")).alias("under_trial"), acts.alias("acts_cited"), sections.alias("sections_cited"),
-        categories.alias("offence_categories"), ((F.size(found) > 0) | F.coalesce(classify.loose_bool(raw("force_criminal_target")), F.lit(False))).alias("is_target"), F.lit(True).alias("commercial_safe"), F.lit("commercial_safe").alias("license"), sensitive.alias("sensitive_flags"),
-    )
+
+    def parts(row: Column) -> Column:
+        """What several fields are made of."""
+        raw = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(row, F.lit(k)), F.lit("")) for k in keys))
+        listed = lambda *keys: F.coalesce(raw(*keys), F.lit(""))
+        state, district, court = (classify.loose_int(x) for x in (raw("state_code"), raw("district_code", "dist_code"), raw("court_no")))
+        return F.struct(state.alias("state"), district.alias("district"), court.alias("court"), listed("act", "acts_cited").alias("act"), classify.sections(listed("section", "sections_cited")).alias("sections"), F.concat_ws(" ", F.map_values(row)).alias("said"), first_text(row, "case_type", "type_name_s", "type_name").alias("kind"), first_text(row, "judge_position").alias("position"))
+
+    def fields(row: Column, p: Column, found: Column) -> Column:
+        t = lambda *keys: first_text(row, *keys)
+        raw = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(row, F.lit(k)), F.lit("")) for k in keys))
+        state, district, court = p["state"], p["district"], p["court"]
+        categories = F.array_distinct(F.concat(found, classify.tokens(F.coalesce(raw("offence_category_override"), F.lit("")))))
+        sensitive = F.array_distinct(F.flatten(F.transform(found, lambda c: F.coalesce(F.try_element_at(of, c), F.array().cast("array<string>")))))
+        stable = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(row)))), 256)
+        return F.struct(
+            F.coalesce(t("ddl_case_id", "case_id", "cino", "cnr"), stable).alias("source_case_id"), t("cino", "cnr").alias("cnr"), F.lit(version).alias("dataset_version"), state.alias("state_code"), F.coalesce(t("state_name"), F.try_element_at(names, state)).alias("state_name"),
+            district.alias("district_code"), t("district_name").alias("district_name"), court.alias("court_no"), court_code(state, district, court).alias("court_code"), t("court_name").alias("court_name"), classify.court_level(p["position"], p["kind"]).alias("court_level"), p["kind"].alias("case_type"),
+            classify.loose_date(raw("filing_date", "date_of_filing")).alias("filing_date"), classify.loose_date(raw("registration_date")).alias("registration_date"), classify.loose_date(raw("decision_date", "date_of_decision")).alias("decision_date"), t("disp_name_s", "disp_name", "disposition").alias("disposition"),
+            t("purpose_name_s", "purpose_name").alias("purpose_name"), p["position"].alias("judge_position"), classify.loose_bool(raw("bailable")).alias("bailable"), classify.loose_bool(raw("under_trial")).alias("under_trial"), classify.tokens(p["act"]).alias("acts_cited"), p["sections"].alias("sections_cited"),
+            categories.alias("offence_categories"), ((F.size(found) > 0) | F.coalesce(classify.loose_bool(raw("force_criminal_target")), F.lit(False))).alias("is_target"), F.lit(True).alias("commercial_safe"), F.lit("commercial_safe").alias("license"), sensitive.alias("sensitive_flags"),
+        )
+
+    hits = lambda p: classify.offences(p["sections"], p["act"], p["said"], rules)
+    return bound(row, lambda row: bound(parts(row), lambda p: bound(hits(p), lambda found: fields(row, p, found))))
 
 
 # Metadata of a chunk; where each value is looked for, first to last.

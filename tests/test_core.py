@@ -211,6 +211,7 @@ def test_a_wide_table_is_parsed_once(spark):
         ("txt_table_sem", "regexp_extract_all(", 1),
         ("txt_split_table", "transform(sequence(1,", 1),
         ("txt_legalmeta", "StructsToJsonEvaluator(", 2),
+        ("cls_row", "map(ddl_case_id,", 1),
     ],
 )
 def test_made_values_are_computed_once_a_row(spark, sf, name, made, most):
