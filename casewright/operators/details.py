@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.shared import small
+
 
 def children(key: str, parts: list[tuple[str, DataFrame, Column, list[Column], int | None]]) -> DataFrame:
     """(key, part, place, child) of child frames: name, rows, id, order, and how many of each parent at most."""
@@ -38,15 +40,20 @@ def accessible(docs: DataFrame, users: DataFrame, grants: DataFrame, now: Column
     """(user, document): by clearance, by an unexpired grant of the document, or by one of its level.
 
     docs: document, level; users: user, clearance; grants: user, document, level, expires_at.
-    Levels are few: users of a clearance meet the documents of the levels below it, never all documents by a condition.
+    Levels are few: documents are grouped by the levels that they bear, and each user meets each group once, so that
+    the pairs themselves, as many as users times documents, are neither compared nor shuffled.
     """
     rank = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
     below = F.array_compact(F.array(*(F.when(F.try_element_at(rank, F.col("clearance")) >= n, F.lit(level)) for level, n in ranks.items())))
-    by_rank = users.select("user", F.explode(below).alias("level")).join(docs, "level").select("user", "document")
+    grouped = docs.groupBy("document").agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    groups = grouped.select("levels").distinct().select("levels", F.explode("levels").alias("level"))
     live = grants.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).join(users.select("user"), "user", "left_semi")
-    by_doc = live.where("document is not null").select("user", "document").join(docs.select("document"), "document", "left_semi").select("user", "document")
-    by_level = live.where("document is null").select("user", "level").distinct().join(docs, "level").select("user", "document")
-    return by_rank.unionByName(by_doc).unionByName(by_level).distinct()
+    by_rank = users.select("user", F.explode(below).alias("level"))
+    open_ = by_rank.unionByName(live.where("document is null").select("user", "level")).join(small(groups), "level").select("user", "levels").distinct()
+    by_doc = live.where("document is not null").select("user", "document").distinct().join(grouped, "document").join(open_, ["user", "levels"], "left_anti")
+    # few rows make very many, so that tasks are not to be merged by the size of what they read
+    dealt = open_.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user")
+    return dealt.join(small(grouped), "levels").select("user", "document").unionByName(by_doc.select("user", "document"))
 
 
 def invalidated(cache: DataFrame, workspaces: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:

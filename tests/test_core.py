@@ -217,3 +217,15 @@ def test_a_wide_table_is_parsed_once(spark):
 def test_made_values_are_computed_once_a_row(spark, sf, name, made, most):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count(made) <= most
+
+
+def test_pairs_of_users_and_documents_are_not_shuffled(spark, sf):
+    from casewright.operators import details
+
+    docs = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B"), (3, "A"), (2, "B"), (4, None), (5, "B")], "document int, level string")
+    users = spark.createDataFrame([(1, "A"), (2, "B"), (3, None), (1, "A")], "user int, clearance string")
+    grants = spark.createDataFrame([(1, 2, None, None), (1, 2, None, 9), (1, 1, None, None), (3, None, "A", None), (3, 4, None, None), (3, 4, None, 1), (2, 5, None, None), (9, 1, None, None), (1, 99, None, None)], "user int, document int, level string, expires_at int")
+    out = details.accessible(docs, users, grants, F.lit(5), {"A": 0, "B": 1})
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 3), (3, 4)]
+    out = catalog.QUERIES["flt_access_doc"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert out.lstrip().startswith("Union")
