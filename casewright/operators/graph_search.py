@@ -38,8 +38,11 @@ def seeds(vectors: DataFrame, question: DataFrame, names: DataFrame, entities: D
     vectors: id, vec; question: one row v; names and entities: id, name.
     """
     by_vector = vectors.crossJoin(F.broadcast(question.limit(1))).select("id", cosine(F.col("vec"), F.col("v")).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(near).where(F.col("similarity") > least)
-    like = trigram_join(names, entities, least)
-    by_name = like.groupBy(F.col("a").alias("id")).agg(F.max("similarity").alias("similarity")).orderBy("id").limit(named)
+    # many nodes bear one name: names are compared, each once, and then stand for their nodes
+    own, asked = names.where("name is not null").groupBy("name").agg(F.min("id").alias("id")), entities.where("name is not null").groupBy("name").agg(F.min("id").alias("id"))
+    like = trigram_join(own, asked, least).groupBy(F.col("a").alias("id")).agg(F.max("similarity").alias("similarity"))
+    found = like.join(own, "id").select("name", "similarity")
+    by_name = names.join(found, "name").groupBy("id").agg(F.max("similarity").alias("similarity")).orderBy("id").limit(named)
     both = by_vector.select("id", F.lit("vector").alias("via"), "similarity").unionByName(by_name.select("id", F.lit("name").alias("via"), "similarity"))
     once = Window.partitionBy("id").orderBy(F.desc("via"))
     return both.withColumn("__k", F.row_number().over(once)).where("__k = 1").drop("__k")
