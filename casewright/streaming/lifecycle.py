@@ -6,9 +6,15 @@ timestamp; "now" is always a parameter.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.shared import written
+
+#: Rows that a limit may gather in one task.
+HELD = 100_000
 # The step that follows each step.
 STEPS = ["VALIDATE", "SPLIT", "NORMALIZE", "CONVERT", "METADATA_EXTRACT", "REDACT", "TRANSLATE", "CHUNK", "EMBED", "KG_EXTRACT"]
 
@@ -121,8 +127,23 @@ def reprocessed(docs: DataFrame, jobs: DataFrame, most: int = 500) -> tuple[Data
 
 def acquired(queue: DataFrame, paused: DataFrame, now: Column, n: int) -> DataFrame:
     """Due rows of sources that aren't paused. queue: id, source, status, priority, due_at; paused: source."""
-    due = queue.where(F.col("status").isin("pending", "retry") & (F.col("due_at") <= now))
-    return due.join(paused.select("source").distinct(), "source", "left_anti").orderBy(F.desc("priority"), "due_at", "id").limit(n)
+    due = queue.where(F.col("status").isin("pending", "retry") & (F.col("due_at") <= now)).join(paused.select("source").distinct(), "source", "left_anti")
+    return first_rows(due, [F.desc("priority"), F.col("due_at"), F.col("id")], n)
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order.  A limit gathers its rows in one task: beyond HELD rows the parts of the sort are counted and cut."""
+    if n <= HELD:
+        return rows.orderBy(*order).limit(n)
+    if rows.count() <= n:
+        return rows.orderBy(*order)
+    # the upper bits of the id are the part of the sort, the lower ones the place in it
+    placed = written(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "placed")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a part
+    starts = zip((k for k, _ in sizes), accumulate((c for _, c in sizes), initial=0), strict=False)
+    start = F.create_map(*(F.lit(x).cast("bigint") for pair in starts for x in pair))[part]
+    return placed.where(start + place < n).orderBy("__id").drop("__id")
 
 
 def seeded(targets: DataFrame, queue: DataFrame, plan: list[tuple[str, int]]) -> DataFrame:

@@ -74,3 +74,16 @@ def test_a_refresh_without_its_log_is_not_seen(spark):
     t.refresh(f, ["a"])
     f.withColumn("metadata_cases", F.lit(99).cast("bigint")).write.partitionBy("workspace_id").parquet(f"{folder}/facts/broken")
     assert [r.metadata_cases for r in t.read().collect()] == [2]
+
+
+def test_first_rows_beyond_what_one_task_may_hold(spark, monkeypatch):
+    from casewright.streaming import lifecycle
+
+    monkeypatch.setattr(lifecycle, "HELD", 10)
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("priority"))
+    order = [F.desc("priority"), F.col("id")]
+    want = sorted(((r, r % 7) for r in range(1000)), key=lambda r: (-r[1], r[0]))
+    for n in (5, 10, 11, 345, 999, 1000, 5000):
+        out = lifecycle.first_rows(rows, order, n)
+        assert list(map(tuple, out.collect())) == want[:n]
+        assert n <= 10 or "GlobalLimit" not in out._jdf.queryExecution().optimizedPlan().toString()
