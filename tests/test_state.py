@@ -87,3 +87,41 @@ def test_first_rows_beyond_what_one_task_may_hold(spark, monkeypatch):
         out = lifecycle.first_rows(rows, order, n)
         assert list(map(tuple, out.collect())) == want[:n]
         assert n <= 10 or "GlobalLimit" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_state_is_asked_once_a_document_and_batch():
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Held())  # noqa: N815
+        getMapState = None  # noqa: N815
+        registerTimer = staticmethod(lambda at: calls.append("timer"))  # noqa: N815
+
+    import pandas as pd
+
+    jobs = stateful.Jobs(3_600_000, 24 * stateful.HOUR, 3, True)
+    jobs.init(Handle())
+    batch = pd.DataFrame({"event": [*range(500), 7], "kind": ["submit", "claim"] * 250 + ["claim"], "at_ms": [k * 60_000 for k in [*range(500), 7]]})
+    rows = pd.concat(jobs.handleInputRows((1,), iter([batch]), None))
+    assert rows["status"].tolist()[:3] == ["PENDING", "PROCESSING", "RETRYING"] and len(calls) < 10
+    calls.clear()
+    assert not len(pd.concat(jobs.handleInputRows((1,), iter([batch]), None))) and len(calls) < 10
