@@ -108,15 +108,19 @@ def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1
     A pair above ``least`` shares a trigram among the rarest of each set
     (prefix filtering: all but the last ceil(least x size) trigrams of a set, plus one), so that
     trigrams that many names share hold no candidates together.  What they do
-    hold together is dealt over shares of ``cells`` names a trigram.
+    hold together is dealt over shares of ``cells`` names a trigram.  Of what
+    two sets must share, all but the rest behind one's rarest trigrams lies
+    among those of both, so that most pairs fall by their count before the sets
+    themselves are met.  Sets are never broadcast: files that compress well
+    would pass for small tables.
     """
     lt = left.select(F.col("id").alias("a"), grams(F.col("name")).alias("ta"), F.length("name").alias("la"))
     rt = right.select(F.col("id").alias("b"), grams(F.col("name")).alias("tb"), F.length("name").alias("lb"))
     each = lt.select(F.explode("ta").alias("g")).union(rt.select(F.explode("tb").alias("g")))
-    seen = each.groupBy("g").agg(F.count("*").alias("df"))
+    seen = small(written(each.groupBy("g").agg(F.count("*").alias("df")), "seen"))
 
     def prefix(sets: DataFrame, key: str, value: str, length: str) -> DataFrame:
-        one = sets.select(key, length, F.size(value).alias("n"), F.explode(value).alias("g")).join(seen, "g")
+        one = sets.select(key, length, F.size(value).alias("n"), F.explode(value).alias("g")).hint("merge").join(seen, "g")
         place = F.row_number().over(Window.partitionBy(key).orderBy("df", "g"))
         return one.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
 
@@ -124,8 +128,10 @@ def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1
     pa = prefix(lt, "a", "ta", "la").select("a", "la", "g", F.col("n").alias("na"), F.pmod(F.xxhash64("a"), shares + 1).alias("share"))
     pb = prefix(rt, "b", "tb", "lb").select("b", "lb", "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), shares)).alias("share"))
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * least) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest)
-    pairs = pa.join(pb, ["g", "share"]).where(near).select("a", "b").distinct()
-    both = pairs.join(lt, "a").join(rt, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    shared = pa.hint("merge").join(pb.hint("merge"), ["g", "share"]).where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    rest = F.greatest(F.ceil(F.col("na") * least), F.ceil(F.col("nb") * least)) - 1
+    pairs = shared.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b")
+    both = pairs.join(lt.hint("merge"), "a").join(rt.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.select("a", "b", (F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= least if inclusive else F.col("similarity") > least)
 
 
