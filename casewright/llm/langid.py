@@ -219,22 +219,18 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 20_000, quantile: float = 0.999, slack: float = 0.5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", quantile: float = 0.999, slack: float = 0.5) -> Model:
     """A model from all labelled documents.
 
     It has every counted n-gram of every language, so that no language and no
     singleton is lost; the driver and each task hold it whole.  The rejection limit of a
-    language is the ``quantile`` of its entropies over about
-    ``calibration_rows`` labelled documents drawn by a hash of their text, plus ``slack`` bits.
+    language is the ``quantile`` of its entropies over all labelled documents, plus ``slack`` bits.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counted = _tables(count_grams(rows))
     langs = list(counted)
     model = Model(langs, [counted.pop(lang) for lang in langs])
     if langs:
-        share = min(1.0, calibration_rows / max(1, docs.where(F.col(lang_col).isNotNull()).count()))
-        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-
         get = _sent(docs, model)
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +241,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calib
                 use = n >= 20
                 yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(e[np.arange(len(own)), own][use])], names=["k", "bits"])
 
-        for r in sample.mapInArrow(bits, "k bigint, bits double").groupBy("k").agg(F.percentile_approx("bits", quantile, 10000).alias("q")).collect():
+        for r in rows.mapInArrow(bits, "k bigint, bits double").groupBy("k").agg(F.percentile_approx("bits", quantile, 10000).alias("q")).collect():
             model.limit[r["k"]] = r["q"] + slack
     return model
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from casewright.llm import langid
 
@@ -107,3 +108,13 @@ def test_chances_against_plain_kneser_ney():
     packed = np.array([(a << 48) | (b << 32) | (c << 16) | d for a, b, c, d in grams], np.uint64)
     got = np.exp2(model.scores(packed)[:, 0].astype(float))
     assert np.allclose(got, [chance(g) for g in grams], rtol=1e-4)
+
+
+def test_limits_come_from_all_labelled_texts(spark):
+    import string
+
+    words = ["".join(string.ascii_lowercase[(k * m + k // 26) % 26] for m in (1, 3, 7, 11, 5)) for k in range(400)]
+    docs = spark.range(40_000).select(F.array(*(F.lit(w) for w in words)).alias("w"), "id").select(F.concat_ws(" ", *(F.get("w", (F.col("id") * k + k) % 400) for k in (1, 3, 7, 11, 13))).alias("text"), F.lit("aa").alias("lang"))
+    model = langid.train(docs)
+    seen = sorted(model.entropies([r["text"] for r in docs.select("text").collect()])[0][:, 0].tolist())
+    assert abs(model.limit[0] - 0.5 - seen[int(len(seen) * 0.999) - 1]) < 1e-3
