@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions.text import whole_trigrams
+from casewright.functions.text import jaccard, whole_trigrams
 from casewright.operators.components import components
 from casewright.operators.search import trigram_join
 from casewright.shared import written
 
 BOOST = 0.85
+#: Longer names meet by their trigrams, since each of their spans would carry the whole name.
+LONGEST = 300
 
 
 def bare(name: Column) -> Column:
@@ -51,6 +53,69 @@ def _similar(least: float):
     return score
 
 
+def spans(n: int, least: float) -> list[tuple[int, int]]:
+    """A name of ``n`` characters in one span more than a name no longer than it can differ in, if they agree by ``least``."""
+    k = int(2 * (1 - least) * n + 1e-6) + 1
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
+def _signed(least: float, cut: bool):
+    """Spans of names at the places where shorter names may hold them; or all that a longer name may look for in these."""
+    widths: dict[int, list[int]] = {}
+
+    def width(m: int) -> list[int]:
+        if m not in widths:
+            widths[m] = sorted({hi - lo for n in range(m, int(m * (2 - least) / least + 1e-6) + 1) for lo, hi in spans(n, least)} - {0})
+        return widths[m]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                rows: list[tuple] = []
+                for key in b["key"].iloc[at : at + 1000]:
+                    n = len(key)
+                    if cut:
+                        rows += [(key[lo:hi], lo + s, key, n, i, s) for i, (lo, hi) in enumerate(spans(n, least)) for s in range(-i, i + 1, 2) if 0 <= lo + s and hi + s <= n]
+                    else:
+                        rows += [(key[p : p + w], p, key, n) for w in width(n) for p in range(n - w + 1)]
+                yield pd.DataFrame(rows, columns=["gram", "at", "x", "n", "i", "s"] if cut else ["gram", "at", "y", "m"])
+
+    return run
+
+
+def alike(names: DataFrame, least: float) -> DataFrame:
+    """(x, y): all pairs of ``names`` (key) that may agree by ``least`` in order, the longer one first, and some that do not.
+
+    Of T characters of both names at most D = (1 - least) T lie outside of
+    matching blocks.  The longer name is cut into more than D spans.  For the
+    first i such that spans 0 to i have no more than i of these characters, span
+    i has none, and if i > 0 those before it have exactly i: so the other name
+    holds span i, moved by some s of the parity of i between -i and i, and what
+    follows differs by at most D - i.  Spans at places are joined, and most of
+    what meets falls by its edit distance in the join itself.
+    """
+    longer = names.mapInPandas(_signed(least, True), "gram string, at int, x string, n int, i int, s int")
+    shorter = names.mapInPandas(_signed(least, False), "gram string, at int, y string, m int")
+    d = F.floor((F.col("n") + F.col("m")) * (1 - least) + 1e-6).cast("int")
+    order = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
+    met = longer.hint("merge").join(shorter.hint("merge"), ["gram", "at"]).where(order & (F.abs(F.col("s") - (F.col("m") - F.col("n"))) <= d - F.col("i")))
+    return met.withColumn("d", d).where(F.expr("levenshtein(x, y, d) >= 0")).select("x", "y").distinct()
+
+
+def candidates(asked: DataFrame, named: DataFrame, least: float, cutoff: float) -> DataFrame:
+    """(a, b): names of ``asked`` and ``named`` (id, name) that share ``cutoff`` of their trigrams and may be similar enough."""
+    # of two names of lengths m < n at most 2m / (m + n) agrees
+    shortest = least / (2 - least)
+    if least <= BOOST:  # a name may lie inside of any longer one
+        return trigram_join(asked, named, cutoff, grams=whole_trigrams, inclusive=True).where("a <> b").select("a", "b")
+    short = written(alike(named.where(F.length("name") <= LONGEST).select(F.col("name").alias("key")), least), "alike")
+    both = short.select(F.col("x").alias("a"), F.col("y").alias("b")).union(short.select(F.col("y").alias("a"), F.col("x").alias("b")))
+    own = both.hint("merge").join(asked.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").where(jaccard(whole_trigrams(F.col("a")), whole_trigrams(F.col("b"))) >= cutoff)
+    long = F.length("name") >= LONGEST * shortest
+    pairs = trigram_join(asked.where(long), named.where(long), cutoff, grams=whole_trigrams, inclusive=True, shortest=shortest).where("a <> b")
+    return own.unionByName(pairs.where(F.greatest(F.length("a"), F.length("b")) > LONGEST).select("a", "b"))
+
+
 def replayed(rows: list[tuple[str, str, int, bool, list[tuple[str, float]]]]) -> Iterator[tuple[str, list[tuple[int, str]]]]:
     """(key, [(from, name)]) of the names of one component; rows: key, name, at, known, [(other key, similarity)].
 
@@ -85,9 +150,7 @@ def consolidated(new: DataFrame, known: DataFrame, least: float = 0.90, cutoff:
     entries = written(there.select("key", "name", F.lit(-1).cast("bigint").alias("at"), F.lit(True).alias("known")).unionByName(first.select("key", "name", F.col("at").cast("bigint"), F.lit(False).alias("known"))), "entries")
     named = entries.select(F.col("key").alias("id"), F.col("key").alias("name"))
     asked = entries.where("not known").select(F.col("key").alias("id"), F.col("key").alias("name"))
-    # of two names of lengths m < n at most 2m / (m + n) agrees
-    shortest = 0.0 if least <= BOOST else least / (2 - least)
-    pairs = trigram_join(asked, named, cutoff, grams=whole_trigrams, inclusive=True, shortest=shortest).where("a <> b").select("a", "b")
+    pairs = candidates(asked, named, least, cutoff)
     near = written(pairs.withColumn("r", _similar(least)("a", "b")).where(F.col("r") >= least), "near")
     grouped = near.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct("b", "r")).alias("near"))
     members = components(near).withColumnRenamed("node", "key").join(entries, "key").join(grouped, "key", "left")
