@@ -82,11 +82,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 5_000,
 def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) -> DataFrame:
     """(term, id, tf, len) of the words of more than one character, or only of the ``wanted`` (term) ones.
 
-    The words are split once a document, below the explode, and terms that
-    nobody asks for leave before the shuffle.
+    The words are split and counted below the explode, which else would carry
+    all words of a text beside each, and terms that nobody asks for leave
+    before the shuffle.
     """
-    split = docs.select("id", F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: F.length(w) > 1).alias("words"))
-    words = split.select("id", F.size("words").alias("len"), F.explode_outer("words").alias("term")).where("term is not null")
+    split = docs.select("id", F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: F.length(w) > 1).alias("words")).select("id", F.size("words").alias("len"), "words")
+    words = split.select("id", "len", F.explode_outer("words").alias("term")).where("term is not null")
     if wanted is not None:
         words = words.join(small(wanted.select("term").distinct()), "term", "left_semi")
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))

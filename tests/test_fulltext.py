@@ -123,3 +123,34 @@ def test_fields_weigh(spark):
 def test_empty_index(spark, docs):
     none = fulltext.index(docs.where("false"), [(F.col("text"), fulltext.D)])
     assert fulltext.matches(none, docs.where("false"), "court").count() == 0
+
+
+def test_a_stem_opens_its_word():
+    """What the choice of words before stemming rests on."""
+    import itertools
+
+    from casewright.functions import stems
+
+    roots = ["la", "sens", "hop", "control", "gener", "commun", "vi", "duplic", "y", "dyi", "log", "bb", "arsen", "a"]
+    ends = ["", *stems.STEP_2, *stems.STEP_3, *stems.STEP_4, "bility", "ies", "ied", "sses", "ing", "ed", "eedly", "ingly", "y", "s", "e", "ll"]
+    made = {r + a + b for r, a, b in itertools.product(roots, ends, ends)} | set(stems.WHOLE) | set(stems.KEPT)
+    for w in made:
+        t = stems.stem(w)
+        assert w[:1] == t[:1] and w.startswith(t[: max(1, len(t) - stems.CHANGED)])
+
+
+def test_postings_of_some_terms_are_those_of_all(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    asked = [(t,) for t in ("la", "thi", "tion", "onent", "nothing")]
+    some = fulltext.postings(docs, [(F.col("text"), fulltext.D)], spark.createDataFrame(asked, "term string"))
+    every = fulltext.postings(docs, [(F.col("text"), fulltext.D)]).where(F.col("term").isin([t for (t,) in asked]))
+    rows = lambda df: sorted((r.term, r.id, r.len, [tuple(p) for p in r.places]) for r in df.collect())
+    assert rows(some) == rows(every) != []
+
+
+def test_no_word_carries_its_text(spark):
+    """The explode keeps the number of words, not the words themselves, beside each word."""
+    docs = spark.createDataFrame([(1, "a b")], "id int, text string")
+    plan = fulltext.postings(docs, [(F.col("text"), fulltext.D)])._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(x for x in plan.splitlines() if "Generate posexplode" in x)
+    assert "[2]" in generate.split("),")[1] or "[1]" in generate
