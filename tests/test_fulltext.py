@@ -154,3 +154,10 @@ def test_no_word_carries_its_text(spark):
     plan = fulltext.postings(docs, [(F.col("text"), fulltext.D)])._jdf.queryExecution().optimizedPlan().toString()
     generate = next(x for x in plan.splitlines() if "Generate posexplode" in x)
     assert "[2]" in generate.split("),")[1] or "[1]" in generate
+
+
+def test_quality_trims_a_text_once(spark):
+    from casewright.functions import text
+
+    plan = spark.createDataFrame([(" a​ ",)], "t string").select(text.quality(F.col("t")))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t#") == 1
