@@ -44,9 +44,8 @@ def src_docs(spark, d):
     end = F.when(kind == 1, ".csv").when(kind == 2, ".log").when(kind == 4, ".pdf").otherwise(".txt")
     folder = _folder(spark, "texts")
     archives.write_files(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), end).alias("name"), content.alias("content")), folder)
-    good, bad = archives.text_files(spark, folder)
-    doc = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint").alias("doc_id")
-    return good.select(doc, "text", F.lit(None).cast("string").alias("reason")).unionByName(bad.select(doc, F.lit(None).cast("string").alias("text"), "reason"))
+    doc = F.regexp_extract("path", r"(-?[0-9]+)\.[a-z]+$", 1).cast("bigint").alias("doc_id")
+    return archives.told(archives.stored_files(spark, folder)).select(doc, "text", "reason")
 
 
 CHUNKS = r"""WITH RECURSIVE parts AS (SELECT doc_id AS doc, (list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')), lambda s: s <> '')) AS ss FROM documents WHERE text IS NOT NULL),
