@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.operators import fact_table
 from casewright.registry import query, table
-from casewright.shared import shared_dir
+from casewright.shared import shared_dir, written
 
 ARTIFACTS_SQL = """artifacts AS (SELECT l_orderkey AS case_id, bool_or(l_returnflag IN ('A','R')) AS has_text, bool_or(l_linestatus = 'O') AS ocr_required,
   bool_or(l_discount > 0.08) AS redacted, bool_or(l_tax >= 0.07) AS translated, max(nullif(l_returnflag, '')) AS artifact_language, min(l_shipdate)::DATE AS first_ship,
@@ -42,6 +42,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_or(F.col("l_returnflag").isin("A", "R")).alias("has_text"), F.bool_or(F.col("l_linestatus") == "O").alias("ocr_required"),
         F.bool_or(F.col("l_discount") > 0.08).alias("redacted"), F.bool_or(F.col("l_tax") >= 0.07).alias("translated"),
         F.max(F.nullif("l_returnflag", F.lit(""))).alias("artifact_language"), F.min("l_shipdate").cast("date").alias("first_ship"), F.array_sort(F.collect_set("l_returnflag")).alias("offences"),
+        F.min("l_returnflag").alias("first_offence"),  # for those who need no more of them: a set makes the aggregate one of objects
         F.count_if(F.col("l_quantity") > 45).alias("failed"),
     )
 
@@ -65,18 +66,30 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ws-"), F.col("o_custkey") % 2).alias("workspace_id"), F.when(F.col("o_orderkey") % 7 == 0, "BNS").otherwise("IPC").alias("statute"), (300 + F.col("o_orderkey") % 3).cast("string").alias("section"),
         F.concat(F.lit("src"), F.col("o_orderkey") % 2).alias("source_name"), F.when(F.col("o_orderkey") % 2 == 0, "open").otherwise("restricted").alias("license_classification"),
         *(F.coalesce(c, off).alias(c) for c in ("has_text", "ocr_required", "redacted", "translated")), F.coalesce("artifact_language", F.lit("unknown")).alias("language"),
-        F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"), F.coalesce("offences", F.array().cast("array<string>")).alias("offences"),
+        F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"), F.coalesce("offences", F.array().cast("array<string>")).alias("offences"), "first_offence",
     )
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily facts of fourteen dimensions; only a case's first offence counts, and the percentile is exact."""
+    """Daily facts of fourteen dimensions; only a case's first offence counts, and the percentile is exact.
+
+    Cases are counted by dimensions and days first; the percentile lies between two of these counts in the order of
+    days, so that no aggregate holds objects.
+    """
     days = F.datediff("decision_date", "registration_date")
-    rows = cases(spark, sf_dir).select("*", F.coalesce("decision_date", "registration_date").alias("fact_date"), F.nullif(F.get("offences", F.lit(0)), F.lit("")).alias("offence"))
-    return rows.groupBy(*DIMS).agg(
-        F.count("*").alias("metadata_cases"), F.count_if(F.col("amount") > 200000).alias("targets"), F.count_if("has_text").alias("with_text"), F.count_if("ocr_required").alias("with_ocr"),
-        F.count_if("translated").alias("with_translation"), F.count_if("redacted").alias("with_redaction"), F.sum("failed").alias("failed_fetches"), F.avg(days).alias("avg_days"), F.percentile(days, F.lit(0.95)).alias("p95_days"),
-    )
+    rows = cases(spark, sf_dir).select("*", F.coalesce("decision_date", "registration_date").alias("fact_date"), F.nullif("first_offence", F.lit("")).alias("offence"), days.alias("days"))
+    told = {"targets": F.count_if(F.col("amount") > 200000), "with_text": F.count_if("has_text"), "with_ocr": F.count_if("ocr_required"), "with_translation": F.count_if("translated"), "with_redaction": F.count_if("redacted"), "failed_fetches": F.sum("failed")}
+    daily = rows.groupBy(*DIMS, "days").agg(F.count("*").alias("metadata_cases"), *(c.alias(name) for name, c in told.items()))
+    n = F.when(F.col("days").isNotNull(), F.col("metadata_cases")).otherwise(0)
+    order = Window.partitionBy(*DIMS).orderBy(F.asc_nulls_last("days"))
+    placed = daily.select("*", n.alias("n"), F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("known"))
+    at = (F.col("known") - 1) * F.lit(0.95)
+    day_of = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col("days")))
+    low, high = day_of(F.floor(at)), day_of(F.ceil(at))
+    out = placed.groupBy(*DIMS).agg(F.sum("metadata_cases").alias("metadata_cases"), *(F.sum(name).alias(name) for name in told), F.sum(F.col("days") * F.col("n")).alias("sum"), F.max("known").alias("known"), low.alias("low"), high.alias("high"))
+    share = at - F.floor(at)
+    p95 = F.when(F.col("low") == F.col("high"), F.col("low").cast("double")).otherwise((1 - share) * F.col("low") + share * F.col("high"))
+    return out.select(*DIMS, "metadata_cases", *told, F.try_divide(F.col("sum").cast("double"), F.col("known")).alias("avg_days"), p95.alias("p95_days"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT * REPLACE (round(avg_days, 4) AS avg_days, round(p95_days, 4) AS p95_days) FROM facts")
@@ -96,7 +109,7 @@ def agg_fact_log(spark, d):
 @query(f"WITH {FACTS_SQL}, old AS (SELECT workspace_id, metadata_cases FROM facts WHERE fact_date < DATE '1997-01-01') SELECT workspace_id, count(*) AS fact_rows, sum(metadata_cases)::BIGINT AS cases FROM (SELECT * FROM old WHERE workspace_id <> 'ws-1' UNION ALL SELECT workspace_id, metadata_cases FROM facts WHERE workspace_id = 'ws-1') GROUP BY 1")
 def agg_fact_reload(spark, d):
     """A table of facts of which one workspace is refreshed; the others keep what they have."""
-    f = facts(spark, d)
+    f = written(facts(spark, d), "facts")  # read three times
     store = fact_table.FactTable(spark, f"{shared_dir(spark)}/casewright/facts-{uuid.uuid4().hex}", f.schema)
     every = [r["workspace_id"] for r in f.select("workspace_id").distinct().toLocalIterator()]
     store.refresh(f.where("fact_date < DATE '1997-01-01'"), every)
