@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from casewright.functions.text import case_scope, scopes_match, terms, trigrams
+from casewright.functions.text import bound, case_scope, scopes_match, terms, trigrams
 from casewright.shared import small, written
 
 # Boosts of wiki sources and graph paths by question profile.
@@ -32,28 +33,56 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a vector of zeros stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
+    return bound(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm)))
 
 
-def _best_of_block(queries: list[tuple], kind: pa.DataType, k: int, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k best rows of each query in a batch (and those that tie with the last), by one matrix product for each."""
-    names, asked = [q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+def _best_of_part(queries: list[tuple], kind: pa.DataType, k: int, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best rows of each query among those that a task has read so far (and those that nearly tie with the last).
+
+    One product of single precision leaves out what can't be among them, by a
+    bound of its error; the others are compared in doubles.  Of equal rows of
+    a batch, those with the k smallest ids stay.
+    """
+    names, asked = pa.array([q for q, _ in queries], kind), np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    size = asked.shape[1]
+    short, error = asked.astype(np.float32), (size + 8) * 2.0**-22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(asked), k), -np.inf)  # the best similarities so far, in no order
         for b in batches:
-            if not b.num_rows:
+            own = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, size)
+            norm = np.sqrt(np.einsum("ij,ij->i", own, own))
+            ids = b.column(0).filter(pa.array(np.isfinite(norm)))
+            own, norm = own[np.isfinite(norm)], norm[np.isfinite(norm)]
+            if not len(own):
                 continue
-            ids, flat = b.column(0), b.column(1)
-            own = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            for at in range(0, len(names), max(1, CELLS // b.num_rows)):
-                like = asked[at : at + max(1, CELLS // b.num_rows)] @ own.T
-                floor = np.partition(like, -k, axis=1)[:, -k] if k < b.num_rows else np.full(len(like), -np.inf)
-                keep = like >= floor[:, None] - 1e-12
+            own /= np.where(norm == 0, 1, norm)[:, None]
+            place = np.empty(len(own), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(own))
+            columns = np.ascontiguousarray(own.astype(np.float32).T)
+            step = max(1, CELLS // len(own))
+            for at in range(0, len(asked), step):
+                like, held = short[at : at + step] @ columns, top[at : at + step]
+                floor = held.min(axis=1)
+                if k < len(own) and np.isneginf(floor).any():
+                    floor = np.maximum(floor, np.partition(like, -k, axis=1)[:, -k] - error)
+                if least is not None:
+                    floor = np.maximum(floor, least)
+                q, row = np.nonzero(like >= (floor - error)[:, None].astype(np.float32))
+                value = np.einsum("ij,ij->i", asked[at + q], own[row])
+                order = np.lexsort((place[row], -value, q))
+                q, row, value = q[order], row[order], value[order]
+                first = np.searchsorted(q, np.arange(len(held)))
+                rank = np.arange(len(q)) - first[q]
+                best = np.full(held.shape, -np.inf)
+                best[q[rank < k], rank[rank < k]] = value[rank < k]
+                held[:] = np.partition(np.hstack([held, best]), k, axis=1)[:, k:]
+                begins = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (value[1:] != value[:-1])][: len(q)])
+                equal = np.arange(len(q)) - np.repeat(begins, np.diff(np.r_[begins, len(q)]))
+                keep = (value >= held.min(axis=1)[q] - 1e-12) & (equal < k)
                 if least is not None:
-                    keep &= like >= least - 1e-12
-                q, row = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in q.tolist()], kind), ids.take(pa.array(row)), pa.array(like[q, row])], names=["q", "id", "similarity"])
+                    keep &= value >= least - 1e-12
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at + q[keep])), ids.take(pa.array(row[keep])), pa.array(value[keep])], names=["q", "id", "similarity"])
 
     return run
 
@@ -61,19 +90,20 @@ def _best_of_block(queries: list[tuple], kind: pa.DataType, k: int, least: float
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 5_000, least: float | None = None) -> DataFrame:
     """(q, id, similarity): the k nearest of each query, exact, or those of them that reach ``least``.
 
-    ``queries`` (q, v) is a stated set; it goes out in blocks of at most
-    ``block`` rows, and a batch of vectors leaves about k rows a query before
-    anything is shuffled.  Vectors are brought to length 1 once; null vectors
-    and vectors of another length than the queries' are left out.
+    ``queries`` (q, v) is a stated set; it goes out in blocks of about
+    ``block`` rows, and a task leaves little more than the k best rows a query
+    that it meets.  Every pair is compared, which grows with the product of
+    both; null vectors, those with a part that is no number and those of
+    another length than the queries' are left out.
     """
-    asked = queries.select("q", unit(F.col("v")).alias("w")).where("w is not null")
+    asked = written(queries.select("q", unit(F.col("v")).alias("w")).where("w is not null and not exists(w, x -> x is null or isnan(x))"), "asked")
     size = asked.agg(F.max(F.size("w")).alias("n"), F.count("*").alias("c")).first()
-    own = vectors.where(F.size("vec") == F.lit(size["n"] or 0)).select("id", unit(F.col("vec")).alias("u"))
+    own = vectors.where(F.size("vec") == F.lit(size["n"] or 0)).select("id", "vec")
     schema = f"q {queries.schema['q'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
     blocks, out = max(1, -(-size["c"] // block)), None
     for n in range(blocks):
-        rows = [(r["q"], r["w"]) for r in asked.where((F.size("w") == F.lit(size["n"] or 0)) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)).toLocalIterator()]
-        part = own.mapInArrow(_best_of_block(rows, to_arrow_type(queries.schema["q"].dataType), k, least), schema) if rows else own.select(F.lit(None).cast(queries.schema["q"].dataType).alias("q"), "id", F.lit(0.0).alias("similarity")).where("false")
+        rows = [(r["q"], r["w"]) for r in asked.where((F.size("w") == F.lit(size["n"] or 0)) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)).collect()]
+        part = own.mapInArrow(_best_of_part(rows, to_arrow_type(queries.schema["q"].dataType), k, least), schema) if rows else own.select(F.lit(None).cast(queries.schema["q"].dataType).alias("q"), "id", F.lit(0.0).alias("similarity")).where("false")
         out = part if out is None else out.unionByName(part)
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 12)), "id"))
     return out.withColumn("k", best).where(F.col("k") <= k).drop("k")
