@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.operators.search import cosine
-
 APART, CHARS = 0.3, 2048
 CHUNKS = "doc bigint, chunk int, first int, sentences int, content string"
+SCHEMA = pa.schema([("doc", pa.int64()), ("chunk", pa.int32()), ("first", pa.int32()), ("sentences", pa.int32()), ("content", pa.string())])
 
 
 def sentences(docs: DataFrame, text: Column) -> DataFrame:
@@ -26,22 +27,39 @@ def sentences(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select("doc", F.posexplode(F.filter(parts, lambda s: s != "")).alias("k", "sentence"))
 
 
-def apart(rows: DataFrame, threshold: float = APART) -> DataFrame:
-    """``rows`` (doc, k, vec, ...) with ``apart``: less like the sentence before than the threshold; unknown vectors part nothing."""
-    before = F.lag("vec").over(Window.partitionBy("doc").orderBy("k"))
-    return rows.withColumn("__before", before).withColumn("apart", F.coalesce(cosine(F.col("vec"), F.col("__before")) < threshold, F.lit(False))).drop("__before")
+def _parted(vectors: pa.ListArray, threshold: float) -> np.ndarray:
+    """Of each vector but the first: is it less like the one before than the threshold; unknown ones part nothing.
+
+    Products are added in the order of the parts, as a sum in SQL does.
+    """
+    flat, offsets = pc.cast(vectors.values, pa.float64()).to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+    size = np.where(vectors.is_null().to_numpy(zero_copy_only=False), -1, np.diff(offsets))
+    both, out = np.where(size[1:] == size[:-1], size[1:], -1), np.zeros(max(0, len(size) - 1), bool)
+    for n in np.unique(both[both >= 0]):
+        at = np.flatnonzero(both == n)
+        ab, aa, bb = np.zeros((3, len(at)))
+        for k in range(n):
+            x, y = flat[offsets[at] + k], flat[offsets[at + 1] + k]
+            ab, aa, bb = ab + x * y, aa + x * x, bb + y * y
+        norm = np.sqrt(aa) * np.sqrt(bb)
+        out[at] = np.where(norm == 0, 0.0, ab / np.where(norm == 0, 1.0, norm)) < threshold
+    return out
 
 
-def _chunker(most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, chunk, first, held, size = None, 0, 0, [], 0
+def _chunker(threshold: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, chunk, first, held, size, last = None, 0, 0, [], 0, None
 
-        def closed() -> tuple:
-            return doc, chunk, first, len(held), " ".join(held)
+        def closed() -> dict:
+            return {"doc": doc, "chunk": chunk, "first": first, "sentences": len(held), "content": " ".join(held)}
 
         for b in batches:
-            out = []
-            for d, k, sentence, cut in zip(b["doc"], b["k"], b["sentence"], b["apart"], strict=True):
+            if not b.num_rows:
+                continue
+            vectors, out = b.column(3), []
+            cuts = _parted(pa.concat_arrays([vectors[:1] if last is None else last, vectors]), threshold)
+            last = vectors[-1:]
+            for d, k, sentence, cut in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), cuts.tolist(), strict=True):
                 if d != doc:
                     if held:
                         out.append(closed())
@@ -51,14 +69,13 @@ def _chunker(most: int):
                     chunk, first, held, size = chunk + 1, k, [], 0
                 held.append(sentence)
                 size += len(sentence) + 1
-            yield pd.DataFrame(out, columns=["doc", "chunk", "first", "sentences", "content"])
+            yield pa.RecordBatch.from_pylist(out, SCHEMA)
         if held:
-            yield pd.DataFrame([closed()], columns=["doc", "chunk", "first", "sentences", "content"])
+            yield pa.RecordBatch.from_pylist([closed()], SCHEMA)
 
     return run
 
 
 def chunked(rows: DataFrame, threshold: float = APART, most: int = CHARS) -> DataFrame:
     """(doc, chunk, first, sentences, content) of sentences (doc, k, sentence, vec); doc is not null."""
-    cut = apart(rows, threshold).select("doc", "k", "sentence", "apart")
-    return cut.repartition("doc").sortWithinPartitions("doc", "k").mapInPandas(_chunker(most), CHUNKS)
+    return rows.select("doc", "k", "sentence", "vec").repartition("doc").sortWithinPartitions("doc", "k").mapInArrow(_chunker(threshold, most), CHUNKS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import patterns, semantic
 from casewright.registry import query, table
-from casewright.shared import shared_dir
+from casewright.shared import shared_dir, small
 from casewright.sources import archives
 
 
@@ -61,9 +61,9 @@ SELECT doc, chunk, min(k)::INT AS first, count(*)::INT AS sentences, string_agg(
 def txt_chunk_sem(spark, d):
     """Chunks of whole texts by the likeness of neighbouring sentences; vectors come from the table of embeddings, three sentences each."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("v"), F.col("embedding").alias("vec"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("v"), F.col("embedding").alias("vec")).where("abs(v) < 500")  # no sentence has another
     told = semantic.sentences(docs, F.col("text")).withColumn("v", F.expr("(doc * 31 + k div 3 * 7) % 500"))
-    return semantic.chunked(told.join(vectors, "v").drop("v"), most=600)
+    return semantic.chunked(told.join(small(vectors), "v").drop("v"), most=600)
 
 
 PATTERNS = [
