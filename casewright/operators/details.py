@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.shared import small
+from casewright.shared import shares, small
+
+#: Users of an array, about, documents of one (as many as parquet packs in a run), and pairs of a task, about.
+USERS, DOCUMENTS, PAIRS = 1_000, 504, 200_000_000
+#: Rows of a batch.
+ROWS = 50_000
 
 
 def children(key: str, parts: list[tuple[str, DataFrame, Column, list[Column], int | None]]) -> DataFrame:
@@ -36,12 +45,26 @@ def newest_text(extractions: DataFrame) -> DataFrame:
     return extractions.where("kind = 'TEXT'").groupBy("document").agg(F.max_by("text", F.struct("created_at", "text")).alias("text"))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each user and document of arrays of both; Spark's explode would hold all pairs of a row in memory."""
+    for b in batches:
+        for users, documents in zip(b.column(0), b.column(1), strict=True):
+            n = len(documents.values)
+            step = max(1, ROWS // n)
+            for at in range(0, len(users.values), step):
+                some = users.values.slice(at, step)
+                rows = np.arange(len(some) * n)
+                yield pa.RecordBatch.from_arrays([some.take(pa.array(rows // n)), documents.values.take(pa.array(rows % n))], names=["user", "document"])
+
+
 def accessible(docs: DataFrame, users: DataFrame, grants: DataFrame, now: Column, ranks: dict[str, int]) -> DataFrame:
     """(user, document): by clearance, by an unexpired grant of the document, or by one of its level.
 
     docs: document, level; users: user, clearance; grants: user, document, level, expires_at.
     Levels are few: documents are grouped by the levels that they bear, and each user meets each group once, so that
-    the pairs themselves, as many as users times documents, are neither compared nor shuffled.
+    the pairs themselves, as many as users times documents, are neither compared nor shuffled.  Arrays of users meet
+    arrays of documents, and the users of one array follow each other with the same documents in the same order: a
+    page of a file holds these many times, and pairs take little of the disk when they are written.
     """
     rank = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
     below = F.array_compact(F.array(*(F.when(F.try_element_at(rank, F.col("clearance")) >= n, F.lit(level)) for level, n in ranks.items())))
@@ -51,9 +74,16 @@ def accessible(docs: DataFrame, users: DataFrame, grants: DataFrame, now: Column
     by_rank = users.select("user", F.explode(below).alias("level"))
     open_ = by_rank.unionByName(live.where("document is null").select("user", "level")).join(small(groups), "level").select("user", "levels").distinct()
     by_doc = live.where("document is not null").select("user", "document").distinct().join(grouped, "document").join(open_, ["user", "levels"], "left_anti")
+    people, papers = users.count(), docs.count()
+    chunks = open_.groupBy("levels", F.pmod(F.xxhash64("user"), F.lit(people // USERS + 1)).alias("chunk")).agg(F.array_sort(F.collect_list("user")).alias("users"))
+    block = F.floor((F.row_number().over(Window.partitionBy("levels").orderBy("document")) - 1) / DOCUMENTS)
+    blocks = grouped.withColumn("block", block).groupBy("levels", "block").agg(F.array_sort(F.collect_list("document")).alias("documents"))
     # few rows make very many, so that tasks are not to be merged by the size of what they read
-    dealt = open_.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user")
-    return dealt.join(small(grouped), "levels").select("user", "document").unionByName(by_doc.select("user", "document"))
+    dealt = chunks.repartition(shares(docs.sparkSession, people * papers, PAIRS), "chunk")
+    met = dealt.join(small(blocks, 10_000), "levels").select("users", "documents")
+    kinds = (users.schema["user"].dataType, docs.schema["document"].dataType)
+    each = met.mapInArrow(_pairs, f"user {kinds[0].simpleString()}, document {kinds[1].simpleString()}")
+    return each.unionByName(by_doc.select("user", "document"))
 
 
 def invalidated(cache: DataFrame, workspaces: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:

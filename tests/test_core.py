@@ -229,3 +229,14 @@ def test_pairs_of_users_and_documents_are_not_shuffled(spark, sf):
     assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 5), (3, 1), (3, 3), (3, 4)]
     out = catalog.QUERIES["flt_access_doc"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert out.lstrip().startswith("Union")
+
+
+def test_pairs_of_users_and_documents_take_little_disk(spark, tmp_path):
+    from casewright.operators import details
+
+    docs, users = spark.range(20_000).select(F.col("id").alias("document"), F.lit("A").alias("level")), spark.range(300).select(F.col("id").alias("user"), F.lit("A").alias("clearance"))
+    grants = spark.createDataFrame([], "user bigint, document bigint, level string, expires_at int")
+    details.accessible(docs, users, grants, F.lit(5), {"A": 0, "B": 1}).write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs"))
+    assert tuple(rows.agg(F.count("*"), F.sum("user"), F.sum("document"), F.sum(F.col("user") * F.col("document"))).first()) == (6_000_000, 44_850 * 20_000, 199_990_000 * 300, 44_850 * 199_990_000)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2_500_000
