@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from casewright.functions.text import bound, case_scope, scopes_match, terms, trigrams
-from casewright.shared import small, written
+from casewright.shared import shares, small, written
 
 # Boosts of wiki sources and graph paths by question profile.
 BOOSTS = {"doctrine": (0.18, 0.12), "officer_lesson": (0.22, 0.12), "precedent_trace": (0.12, 0.20), "pattern_analysis": (0.12, 0.16), "comparison": (0.10, 0.14)}
 OTHER_BOOST = (0.08, 0.08)
 #: Similarities of one matrix product.
 CELLS = 4_000_000
+#: Bits that stand for the trigrams of a name.
+BITS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -131,37 +134,52 @@ def lexical(docs: DataFrame, text: Column, queries: DataFrame, k: int) -> DataFr
     return hits.withColumn("k", best).where(F.col("k") <= k).drop("k")
 
 
+def _sum(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
 def trigram_join(left: DataFrame, right: DataFrame, least: float, cells: int = 1000, grams: Callable[[Column], Column] = trigrams, inclusive: bool = False, shortest: float = 0.0) -> DataFrame:
     """(a, b, similarity): names whose trigram sets pass ``least``, or reach it if ``inclusive``.
 
     Names whose lengths differ by more than the factor ``shortest`` are left out.
 
-    A pair above ``least`` shares a trigram among the rarest of each set
-    (prefix filtering: all but the last ceil(least x size) trigrams of a set, plus one), so that
-    trigrams that many names share hold no candidates together.  What they do
-    hold together is dealt over shares of ``cells`` names a trigram.  Of what
-    two sets must share, all but the rest behind one's rarest trigrams lies
-    among those of both, so that most pairs fall by their count before the sets
-    themselves are met.  Sets are never broadcast: files that compress well
-    would pass for small tables.
+    Of n and m trigrams, such a pair shares o = least / (1 + least) x (n + m) at
+    least.  In one order of all trigrams, it shares one among all but the last
+    o - 1 of each set (prefix filtering), with o for the smallest set there is
+    on the other side.  The order is by the pairs that a trigram would bring
+    together: those that only one side has come first, and bring none; those
+    that many names share come last, and hold no candidates together.  What a
+    trigram does hold together is dealt over shares of ``cells`` names.  Most of what meets falls in the join
+    itself: what is left behind the shared trigram of either set is less than
+    o, or the bits that stand for their trigrams agree in too few (of n
+    trigrams on k bits, n - k more than the bits may agree).  Sets are never
+    broadcast: files that compress well would pass for small tables.
     """
-    lt = left.select(F.col("id").alias("a"), grams(F.col("name")).alias("ta"), F.length("name").alias("la"))
-    rt = right.select(F.col("id").alias("b"), grams(F.col("name")).alias("tb"), F.length("name").alias("lb"))
-    each = lt.select(F.explode("ta").alias("g")).union(rt.select(F.explode("tb").alias("g")))
-    seen = small(written(each.groupBy("g").agg(F.count("*").alias("df")), "seen"))
-
-    def prefix(sets: DataFrame, key: str, value: str, length: str) -> DataFrame:
-        one = sets.select(key, length, F.size(value).alias("n"), F.explode(value).alias("g")).hint("merge").join(seen, "g")
-        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "g"))
-        return one.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-
-    shares = F.floor(F.col("df") / cells)
-    pa = prefix(lt, "a", "ta", "la").select("a", "la", "g", F.col("n").alias("na"), F.pmod(F.xxhash64("a"), shares + 1).alias("share"))
-    pb = prefix(rt, "b", "tb", "lb").select("b", "lb", "g", F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), shares)).alias("share"))
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest)
-    shared = pa.hint("merge").join(pb.hint("merge"), ["g", "share"]).where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rest = F.greatest(F.ceil(F.col("na") * least), F.ceil(F.col("nb") * least)) - 1
-    pairs = shared.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b")
+    tasks = shares(left.sparkSession, 0)
+    # one small file may hold all names, and one task would make all sets
+    lt = written(left.select("id", "name").repartition(tasks, "id").select(F.col("id").alias("a"), grams(F.col("name")).alias("ta"), F.length("name").alias("la")), "left")
+    rt = written(right.select("id", "name").repartition(tasks, "id").select(F.col("id").alias("b"), grams(F.col("name")).alias("tb"), F.length("name").alias("lb")), "right")
+    each = lt.select(F.explode("ta").alias("g"), F.lit(1).alias("l")).union(rt.select(F.explode("tb").alias("g"), F.lit(0).alias("l")))
+    counts = each.groupBy("g").agg(F.sum("l").alias("l"), F.count("*").alias("df")).where("l > 0 and df > l")
+    seen = small(written(counts.select("g", "df", (F.col("l").cast("double") * (F.col("df") - F.col("l"))).alias("weight")), "seen"))
+    needed = lambda n, m: F.ceil((n + m) * (least / (1 + least)) - 1e-9)
+    words = range(BITS // 64)
+
+    def prefix(sets: DataFrame, key: str, value: str, length: str, others: DataFrame, other: str) -> DataFrame:
+        smallest = others.agg(F.min(F.when(F.size(other) > 0, F.size(other))).alias("smallest"))  # one row
+        one = sets.select(key, length, F.size(value).alias("n"), F.explode(value).alias("g")).hint("merge").join(seen, "g").withColumn("bit", F.pmod(F.xxhash64("g"), F.lit(BITS)))
+        own = Window.partitionBy(key)
+        bits = {f"w{k}": F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).over(own) for k in words}
+        placed = one.withColumns({"place": F.row_number().over(own.orderBy("weight", "g")), "both": F.count("*").over(own)} | bits).withColumn("behind", F.col("both") - F.col("place"))
+        placed = placed.withColumn("lost", F.col("both") - _sum(F.bit_count(f"w{k}") for k in words)).crossJoin(F.broadcast(smallest))
+        return placed.where(F.col("behind") + 1 >= needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * least - 1e-9))))
+
+    parts = F.floor(F.col("df") / cells)
+    pa = prefix(lt, "a", "ta", "la", rt, "tb").select("a", "la", "g", *(F.col(c).alias(f"{c}a") for c in ("n", "behind", "lost")), *(F.col(f"w{k}").alias(f"wa{k}") for k in words), F.pmod(F.xxhash64("a"), parts + 1).alias("share"))
+    pb = prefix(rt, "b", "tb", "lb", lt, "ta").select("b", "lb", "g", *(F.col(c).alias(f"{c}b") for c in ("n", "behind", "lost")), *(F.col(f"w{k}").alias(f"wb{k}") for k in words), F.explode(F.sequence(F.lit(0).cast("bigint"), parts)).alias("share"))
+    agree = _sum(F.bit_count(F.col(f"wa{k}").bitwiseAND(F.col(f"wb{k}"))) for k in words) + F.least("losta", "lostb")
+    near = (F.least("behinda", "behindb") + 1 >= needed(F.col("na"), F.col("nb"))) & (agree >= needed(F.col("na"), F.col("nb"))) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest)
+    pairs = pa.hint("merge").join(pb.hint("merge"), ["g", "share"]).where(near).select("a", "b").distinct()
     both = pairs.join(lt.hint("merge"), "a").join(rt.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.select("a", "b", (F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))).alias("similarity")).where(F.col("similarity") >= least if inclusive else F.col("similarity") > least)
 
