@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casewright.functions.text import bound
+
 # Field names that extraction leaks as relation types, and where a sentence's first clause ends.
 LEAKED = ["source_entity", "target_entity", "source", "target", "relationship_type", "relationship", "type", "description", "evidence"]
 CLAUSE_ENDS = [". ", "; ", ", ", " — ", " - ", ": "]
@@ -42,14 +44,21 @@ def edge_type(given: Column, valid: list[str], closed: bool) -> Column:
 
 def short_name(given: Column) -> Column:
     """A phrase of at most eight words; of a sentence its first clause."""
-    t = F.regexp_replace(given, r"^\s+|\s+$", "")
     n = lambda c: F.size(F.split(c, r"\s+"))
-    clause = t
-    for end in reversed(CLAUSE_ENDS):  # the first of the list that occurs decides
-        clause = F.when(F.contains(t, F.lit(end)), F.split_part(t, F.lit(end), F.lit(1))).otherwise(clause)
-    clause = F.regexp_replace(clause, r"[.!?]+$|\s+$", "")
-    few = F.when(n(clause) > WORDS, F.array_join(F.slice(F.split(clause, r"\s+"), 1, WORDS), " ")).otherwise(clause)
-    return F.when(t.rlike(r"[.!?]$") | (n(t) > WORDS), F.coalesce(F.nullif(few, F.lit("")), F.left(t, F.lit(120)))).otherwise(t)
+
+    def clause(t: Column) -> Column:
+        found = t
+        for end in reversed(CLAUSE_ENDS):  # the first of the list that occurs decides
+            found = F.when(F.contains(t, F.lit(end)), F.split_part(t, F.lit(end), F.lit(1))).otherwise(found)
+        return F.regexp_replace(found, r"[.!?]+$|\s+$", "")
+
+    def few(c: Column) -> Column:
+        return bound(F.split(c, r"\s+"), lambda words: F.when(F.size(words) > WORDS, F.array_join(F.slice(words, 1, WORDS), " ")).otherwise(c))
+
+    def short(t: Column) -> Column:
+        return F.when(t.rlike(r"[.!?]$") | (n(t) > WORDS), F.coalesce(F.nullif(bound(clause(t), few), F.lit("")), F.left(t, F.lit(120)))).otherwise(t)
+
+    return bound(F.regexp_replace(given, r"^\s+|\s+$", ""), short)
 
 
 def composed(c: Column) -> Column:

@@ -15,19 +15,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.text import jaccard, whole_trigrams
 from casewright.operators.components import components
 from casewright.operators.search import trigram_join
-from casewright.shared import written
+from casewright.shared import shares, written
 
 BOOST = 0.85
 #: Longer names meet by their trigrams, since each of their spans would carry the whole name.
 LONGEST = 300
+#: Lengths of names that are joined as one.
+WIDE = 8
+#: Rows of a batch, about.
+ROWS = 50_000
 
 
 def bare(name: Column) -> Column:
@@ -59,26 +66,60 @@ def spans(n: int, least: float) -> list[tuple[int, int]]:
     return [(n * i // k, n * (i + 1) // k) for i in range(k)]
 
 
-def _signed(least: float, cut: bool):
-    """Spans of names at the places where shorter names may hold them; or all that a longer name may look for in these."""
-    widths: dict[int, list[int]] = {}
+def differ(n: int, m: int, least: float) -> int:
+    """Characters of names of ``n`` and ``m`` outside of matching blocks, at most, if they agree by ``least``."""
+    return int((n + m) * (1 - least) + 1e-6)
+
+
+def _bits(name: str) -> list[int]:
+    """256 bits, 8 for as many characters of each of 32 classes; to take or add a character changes one at most."""
+    seen, found = [0] * 32, 0
+    for c in map(ord, name):
+        k = c % 32
+        if seen[k] < 8:
+            found |= 1 << (k * 8 + seen[k])
+            seen[k] += 1
+    return [(found >> 64 * k) % 2**64 - 2**63 for k in range(4)]
 
-    def width(m: int) -> list[int]:
-        if m not in widths:
-            widths[m] = sorted({hi - lo for n in range(m, int(m * (2 - least) / least + 1e-6) + 1) for lo, hi in spans(n, least)} - {0})
-        return widths[m]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(least: float, cut: bool):
+    """Spans of names at the places where shorter names may hold them; or all that a longer name may look for in these.
+
+    Lengths of shorter names that a span may meet go with it, ``WIDE`` of them in one.
+    """
+    known: dict[int, np.ndarray] = {}
+
+    def of_longer(n: int) -> list[tuple[int, ...]]:
+        rows, m_least = [], next(m for m in range(n + 1) if int(m * (2 - least) / least + 1e-6) >= n)
+        for i, (lo, hi) in enumerate(spans(n, least)):
+            for s in range(-i, i + 1, 2):
+                shorter = [m for m in range(max(m_least, hi + s), n + 1) if lo + s >= 0 and abs(s - (m - n)) <= differ(n, m, least) - i]
+                rows += [(lo, hi, lo + s, wide, i, s) for wide in sorted({m // WIDE for m in shorter}) if hi > lo]
+        return rows
+
+    def of_shorter(m: int) -> list[tuple[int, ...]]:
+        widths = sorted({hi - lo for n in range(m, int(m * (2 - least) / least + 1e-6) + 1) for lo, hi in spans(n, least)} - {0})
+        return [(p, p + w, p, m // WIDE, 0, 0) for w in widths for p in range(m - w + 1)]
+
+    def rows(n: int) -> np.ndarray:
+        if n not in known:
+            known[n] = np.array((of_longer if cut else of_shorter)(n), np.int32).reshape(-1, 6)
+        return known[n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 1000):
-                rows: list[tuple] = []
-                for key in b["key"].iloc[at : at + 1000]:
-                    n = len(key)
-                    if cut:
-                        rows += [(key[lo:hi], lo + s, key, n, i, s) for i, (lo, hi) in enumerate(spans(n, least)) for s in range(-i, i + 1, 2) if 0 <= lo + s and hi + s <= n]
-                    else:
-                        rows += [(key[p : p + w], p, key, n) for w in width(n) for p in range(n - w + 1)]
-                yield pd.DataFrame(rows, columns=["gram", "at", "x", "n", "i", "s"] if cut else ["gram", "at", "y", "m"])
+            keys = b.column(0).to_pylist()
+            number = np.array([len(rows(len(key))) for key in keys], np.int64)
+            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(np.cumsum(number) // ROWS)) + 1):
+                own = np.repeat(part, number[part])
+                if not len(own):
+                    continue
+                made = np.concatenate([rows(len(keys[k])) for k in part])
+                gram = [keys[k][lo:hi] for k in part for lo, hi in rows(len(keys[k]))[:, :2].tolist()]
+                size, bits = np.array([len(keys[k]) for k in part], np.int32), np.array([_bits(keys[k]) for k in part], np.int64)
+                at, wide, i, s = np.ascontiguousarray(made[:, 2:].T)
+                columns = [pa.array(gram, pa.string()), pa.array(at), pa.array(wide), b.column(0).take(pa.array(own)), *(pa.array(c[own - part[0]]) for c in (size, *bits.T))]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(i), pa.array(s)] if cut else []), names=["gram", "at", "wide", *(["x", "n", "x0", "x1", "x2", "x3", "i", "s"] if cut else ["y", "m", "y0", "y1", "y2", "y3"])])
 
     return run
 
@@ -91,14 +132,17 @@ def alike(names: DataFrame, least: float) -> DataFrame:
     first i such that spans 0 to i have no more than i of these characters, span
     i has none, and if i > 0 those before it have exactly i: so the other name
     holds span i, moved by some s of the parity of i between -i and i, and what
-    follows differs by at most D - i.  Spans at places are joined, and most of
-    what meets falls by its edit distance in the join itself.
+    follows differs by at most D - i.  Spans at places are joined for lengths that
+    may agree, and most of what meets falls in the join itself, by the bits that
+    count characters, the rest by its edit distance.
     """
-    longer = names.mapInPandas(_signed(least, True), "gram string, at int, x string, n int, i int, s int")
-    shorter = names.mapInPandas(_signed(least, False), "gram string, at int, y string, m int")
+    dealt = names.select("key").repartition(shares(names.sparkSession, 0), "key")
+    longer = dealt.mapInArrow(_signed(least, True), "gram string, at int, wide int, x string, n int, x0 bigint, x1 bigint, x2 bigint, x3 bigint, i int, s int")
+    shorter = dealt.mapInArrow(_signed(least, False), "gram string, at int, wide int, y string, m int, y0 bigint, y1 bigint, y2 bigint, y3 bigint")
     d = F.floor((F.col("n") + F.col("m")) * (1 - least) + 1e-6).cast("int")
     order = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
-    met = longer.hint("merge").join(shorter.hint("merge"), ["gram", "at"]).where(order & (F.abs(F.col("s") - (F.col("m") - F.col("n"))) <= d - F.col("i")))
+    unlike = reduce(lambda u, v: u + v, (F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4)))
+    met = longer.hint("merge").join(shorter.hint("merge"), ["gram", "at", "wide"]).where((F.abs(F.col("s") - (F.col("m") - F.col("n"))) <= d - F.col("i")) & (unlike <= d) & order)
     return met.withColumn("d", d).where(F.expr("levenshtein(x, y, d) >= 0")).select("x", "y").distinct()
 
 
@@ -108,9 +152,12 @@ def candidates(asked: DataFrame, named: DataFrame, least: float, cutoff: float)
     shortest = least / (2 - least)
     if least <= BOOST:  # a name may lie inside of any longer one
         return trigram_join(asked, named, cutoff, grams=whole_trigrams, inclusive=True).where("a <> b").select("a", "b")
-    short = written(alike(named.where(F.length("name") <= LONGEST).select(F.col("name").alias("key")), least), "alike")
+    # few bytes and much work again; shares of trigrams are columns of what is written, since a filter would move into the join of spans
+    agreed = jaccard(whole_trigrams(F.col("x")), whole_trigrams(F.col("y")))
+    met = alike(named.where(F.length("name") <= LONGEST).select(F.col("name").alias("key")), least)
+    short = written(met.repartition(shares(named.sparkSession, 0), "x", "y").withColumn("agreed", agreed), "alike").where(F.col("agreed") >= cutoff)
     both = short.select(F.col("x").alias("a"), F.col("y").alias("b")).union(short.select(F.col("y").alias("a"), F.col("x").alias("b")))
-    own = both.hint("merge").join(asked.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").where(jaccard(whole_trigrams(F.col("a")), whole_trigrams(F.col("b"))) >= cutoff)
+    own = both.hint("merge").join(asked.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi")
     long = F.length("name") >= LONGEST * shortest
     pairs = trigram_join(asked.where(long), named.where(long), cutoff, grams=whole_trigrams, inclusive=True, shortest=shortest).where("a <> b")
     return own.unionByName(pairs.where(F.greatest(F.length("a"), F.length("b")) > LONGEST).select("a", "b"))
@@ -151,15 +198,20 @@ def consolidated(new: DataFrame, known: DataFrame, least: float = 0.90, cutoff:
     named = entries.select(F.col("key").alias("id"), F.col("key").alias("name"))
     asked = entries.where("not known").select(F.col("key").alias("id"), F.col("key").alias("name"))
     pairs = candidates(asked, named, least, cutoff)
-    near = written(pairs.withColumn("r", _similar(least)("a", "b")).where(F.col("r") >= least), "near")
+    tasks = shares(new.sparkSession, 0)
+    # pairs and components are few bytes and much work, so that tasks are not to be merged by the size of what they read
+    near = written(pairs.repartition(tasks, "a", "b").withColumn("r", _similar(least)("a", "b")).where(F.col("r") >= least), "near")
     grouped = near.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct("b", "r")).alias("near"))
-    members = components(near).withColumnRenamed("node", "key").join(entries, "key").join(grouped, "key", "left")
+    parts = shares(new.sparkSession, near.count(), 20_000)
+    members = components(near).withColumnRenamed("node", "key").join(entries, "key").join(grouped, "key", "left").withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)))
 
     def replay(batch: pd.DataFrame) -> pd.DataFrame:
-        group = [(r.key, r.name_, r.at, r.known, [(n["b"], n["r"]) for n in (r.near if r.near is not None else [])]) for r in batch.rename(columns={"name": "name_"}).itertuples()]
-        return pd.DataFrame([(key, [{"since": s, "name": n} for s, n in steps]) for key, steps in replayed(group)], columns=["key", "steps"])
+        groups: dict[str, list[tuple]] = {}
+        for r in batch.rename(columns={"name": "name_"}).itertuples():
+            groups.setdefault(r.component, []).append((r.key, r.name_, r.at, r.known, [(n["b"], n["r"]) for n in (r.near if r.near is not None else [])]))
+        return pd.DataFrame([(key, [{"since": s, "name": n} for s, n in steps]) for group in groups.values() for key, steps in replayed(group)], columns=["key", "steps"])
 
-    steps = written(members.groupBy("component").applyInPandas(replay, "key string, steps array<struct<since:bigint,name:string>>"), "steps")
+    steps = written(members.repartition(parts, "part").groupBy("part").applyInPandas(replay, "key string, steps array<struct<since:bigint,name:string>>"), "steps")
     own = entries.select("key", F.col("name").alias("__own")).join(steps, "key", "left").withColumnRenamed("key", "__key")
     earlier = F.filter("steps", lambda s: s["since"] < F.col("at"))
     resolved = F.when(F.size("steps") > 0, F.coalesce(F.try_element_at(earlier, F.lit(-1))["name"], F.col("steps")[0]["name"])).otherwise(F.col("__own"))

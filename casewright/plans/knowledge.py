@@ -145,7 +145,7 @@ def txt_mask_names(spark, d):
 @query()
 def gr_consolidate(spark, d):
     """Titles of documents, in order, brought together with the names of parts and with each other; order lies outside of SQL and is tested by a loop."""
-    title = short_name(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    title = short_name(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
     new = table(spark, d, "documents").select(F.col("doc_id").alias("at"), title.alias("name"))
     known = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return resolution.consolidated(new, known).select(F.col("at").alias("doc_id"), "name", "resolved")
