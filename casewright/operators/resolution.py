@@ -83,7 +83,7 @@ def _bits(name: str) -> list[int]:
 
 
 def _signed(least: float, cut: bool):
-    """Spans of names at the places where shorter names may hold them; or all that a longer name may look for in these.
+    """Spans of names at the places where shorter names may hold them; or all that longer names may look for in these.
 
     Lengths of shorter names that a span may meet go with it, ``WIDE`` of them in one.
     """
@@ -98,8 +98,11 @@ def _signed(least: float, cut: bool):
         return rows
 
     def of_shorter(m: int) -> list[tuple[int, ...]]:
-        widths = sorted({hi - lo for n in range(m, int(m * (2 - least) / least + 1e-6) + 1) for lo, hi in spans(n, least)} - {0})
-        return [(p, p + w, p, m // WIDE, 0, 0) for w in widths for p in range(m - w + 1)]
+        asked = set()
+        for n in range(m, int(m * (2 - least) / least + 1e-6) + 1):
+            for i, (lo, hi) in enumerate(spans(n, least)):
+                asked |= {(lo + s, hi + s) for s in range(-i, i + 1, 2) if hi > lo and lo + s >= 0 and hi + s <= m and abs(s - (m - n)) <= differ(n, m, least) - i}
+        return [(lo, hi, lo, m // WIDE, 0, 0) for lo, hi in sorted(asked)]
 
     def rows(n: int) -> np.ndarray:
         if n not in known:
