@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casewright.shared import shares, small
 
 #: Users of an array, about, documents of one (as many as parquet packs in a run), and pairs of a task, about.
-USERS, DOCUMENTS, PAIRS = 1_000, 504, 200_000_000
+USERS, DOCUMENTS, PAIRS = 250, 504, 200_000_000
 #: Rows of a batch.
 ROWS = 50_000
 
@@ -78,8 +78,8 @@ def accessible(docs: DataFrame, users: DataFrame, grants: DataFrame, now: Column
     chunks = open_.groupBy("levels", F.pmod(F.xxhash64("user"), F.lit(people // USERS + 1)).alias("chunk")).agg(F.array_sort(F.collect_list("user")).alias("users"))
     block = F.floor((F.row_number().over(Window.partitionBy("levels").orderBy("document")) - 1) / DOCUMENTS)
     blocks = grouped.withColumn("block", block).groupBy("levels", "block").agg(F.array_sort(F.collect_list("document")).alias("documents"))
-    # few rows make very many, so that tasks are not to be merged by the size of what they read
-    dealt = chunks.repartition(shares(docs.sparkSession, people * papers, PAIRS), "chunk")
+    # few rows make very many, so that tasks are to hold as many, and not to be merged by the size of what they read
+    dealt = chunks.repartition(shares(docs.sparkSession, people * papers, PAIRS))
     met = dealt.join(small(blocks, 10_000), "levels").select("users", "documents")
     kinds = (users.schema["user"].dataType, docs.schema["document"].dataType)
     each = met.mapInArrow(_pairs, f"user {kinds[0].simpleString()}, document {kinds[1].simpleString()}")
